@@ -15,6 +15,16 @@ SCALE_FLOOR = 1e-12
 MAD_FACTOR = 1.4826
 KEYS = ["campaign_id", "compound"]
 
+# Features of the divergence vector and of its extended view.
+PRIMARY_FEATURES = [
+    "ttft_p95", "total_latency_p95", "post_first_token_duration_p95", "ttft_median", "total_latency_median",
+    "post_first_token_duration_median", "scheduler_slip_p95", "successful_requests_per_second",
+]
+EXTENDED_FEATURES = [
+    "host_cpu_median", "host_cpu_p95", "dependency_duration_median", "dependency_duration_p95",
+    "server_prompt_tokens_median", "server_output_tokens_median",
+]
+
 
 def _placed(long: DataFrame) -> DataFrame:
     return long.where("value is not null").join(F.broadcast(factorial_cells(long.sparkSession)), "condition_id")

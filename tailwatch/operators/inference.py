@@ -263,7 +263,7 @@ def sign_masks(df: DataFrame, keys: Sequence[str], order: str, draws: int = 2000
     Adds ``mask``, ``sign`` and ``patterns``. Row counts grow with patterns, never with row pairs.
     """
     rows = _numbered(df, keys, order).withColumn("_exact", F.col("_n") <= EXACT_FLIP_LIMIT)
-    patterns = F.when(F.col("_exact"), F.shiftleft(F.lit(1), F.least(F.col("_n"), F.lit(EXACT_FLIP_LIMIT)).cast("int"))).otherwise(draws)
+    patterns = F.when(F.col("_exact"), F.expr(f"shiftleft(1, cast(least(_n, {EXACT_FLIP_LIMIT}) as int))")).otherwise(draws)
     grown = rows.withColumn("patterns", patterns).withColumn("mask", F.explode(F.sequence(F.lit(0), F.col("patterns") - 1)))
     # The shift is an integer column, which the function form does not take.
     exact = F.expr("cast(((shiftright(mask, least(_i - 1, 30)) & 1) * 2 - 1) as double)")

@@ -4,6 +4,9 @@ from importlib import import_module
 
 MODULES = [
     "telemetry_queries",
+    "inference_queries",
+    "temporal_queries",
+    "diagnosis_queries",
 ]
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 
 from ..functions.student import normal_quantile, quantile_table
+from ..operators.csd import EXTENDED_FEATURES, PRIMARY_FEATURES
 from ..operators.derive import SLO_LIMITS
 from ..operators.design import COMPARISONS, CELLS, CONDITIONS, FACTORIAL
 from ..operators.runs import DIRECT_EVIDENCE, QUEUE_METRICS, SUMMARY_METRICS
@@ -84,6 +85,18 @@ def unpivot_sql(source: str, keys: str, columns: list[str], name: str = "feature
     return parts
 
 
+def _residuals(scale: str, features: list[str]) -> str:
+    names = ", ".join(f"'{f}'" for f in features)
+    return (f"SELECT q.campaign_id, q.compound, q.metric AS feature, q.repetition, q.a0b0, q.a1b0, q.a0b1, q.a1b1, s.scale, q.a1b0 + q.a0b1 - q.a0b0 AS predicted, "
+            f"q.a1b1 - q.a1b0 - q.a0b1 + q.a0b0 AS delta, (q.a1b1 - q.a1b0 - q.a0b1 + q.a0b0) / s.scale AS z FROM quads q JOIN {scale} s "
+            f"ON s.campaign_id = q.campaign_id AND s.compound = q.compound AND s.feature = q.metric WHERE q.metric IN ({names}) AND s.scale > 1e-12")
+
+
+def _means(source: str) -> str:
+    return ("SELECT campaign_id, compound, feature, avg(a0b0) AS control_mean, avg(a1b0) AS a_only_mean, avg(a0b1) AS b_only_mean, avg(a1b1) AS observed_mean, "
+            f"avg(predicted) AS predicted_mean, avg(delta) AS raw_residual, avg(z) AS zbar, max(scale) AS scale FROM {source} GROUP BY campaign_id, compound, feature")
+
+
 _flags = {"ttft_p95": "ttft_slo_violated", "total_latency_p95": "total_latency_slo_violated", "post_first_token_duration_p95": "decode_duration_slo_violated"}
 
 TABLES: dict[str, str] = {
@@ -130,6 +143,30 @@ TABLES: dict[str, str] = {
     "comparisons": values(COMPARISONS, "mechanism, condition, control, primary_metric, direct_metric"),
     "evspec": values([(c, m) for c, extra in DIRECT_EVIDENCE.items() for m in [*extra, *QUEUE_METRICS]], "condition_id, metric"),
     "rlong": unpivot_sql("runs", RUN, SUMMARY_METRICS, "metric"),
+    "pairs": "SELECT t.campaign_id, t.repetition, m.mechanism, m.condition, m.control, m.primary_metric, m.direct_metric, t.value AS y, k.value AS x, "
+             "t.value - k.value AS delta, t.value / nullif(k.value, 0) AS ratio FROM comparisons m "
+             "JOIN rlong t ON t.condition_id = m.condition AND t.metric = m.primary_metric "
+             "JOIN rlong k ON k.condition_id = m.control AND k.metric = m.primary_metric AND k.campaign_id = t.campaign_id AND k.repetition = t.repetition",
+    "quads": "SELECT * FROM (SELECT campaign_id, compound, metric, repetition, max(value) FILTER (WHERE cell = 'A0B0') AS a0b0, max(value) FILTER (WHERE cell = 'A1B0') AS a1b0, "
+             "max(value) FILTER (WHERE cell = 'A0B1') AS a0b1, max(value) FILTER (WHERE cell = 'A1B1') AS a1b1 FROM rlong JOIN cells USING (condition_id) "
+             "GROUP BY campaign_id, compound, metric, repetition) WHERE a0b0 IS NOT NULL AND a1b0 IS NOT NULL AND a0b1 IS NOT NULL AND a1b1 IS NOT NULL",
+    "inter": f"SELECT *, CASE WHEN ci_low > 0 THEN 'SUPER_ADDITIVE_EVIDENCE' WHEN ci_high < 0 THEN 'SUB_ADDITIVE_EVIDENCE' ELSE 'INTERACTION_UNCERTAIN' END AS classification FROM ("
+             f"SELECT *, mean - {t_half('n', 'sd')} AS ci_low, mean + {t_half('n', 'sd')} AS ci_high, CASE WHEN sd > 1e-12 THEN mean / sd END AS dz, "
+             "CASE WHEN sd > 1e-12 THEN mean / (sd / sqrt(n)) END AS t_statistic FROM ("
+             "SELECT campaign_id, compound, metric, count(*) AS n, avg(a1b1 - a1b0 - a0b1 + a0b0) AS mean, stddev_samp(a1b1 - a1b0 - a0b1 + a0b0) AS sd, "
+             "min(a1b1 - a1b0 - a0b1 + a0b0) AS min, max(a1b1 - a1b0 - a0b1 + a0b0) AS max FROM quads WHERE metric IN ('ttft_p95', 'total_latency_p95', 'post_first_token_duration_p95') "
+             "GROUP BY campaign_id, compound, metric))",
+    "cellstat": "SELECT campaign_id, compound, metric AS feature, cell, count(value) AS n, var_samp(value) AS v, median(value) AS centre FROM rlong JOIN cells USING (condition_id) "
+                "WHERE value IS NOT NULL GROUP BY campaign_id, compound, metric, cell",
+    "sdscale": "SELECT campaign_id, compound, feature, coalesce(sqrt(sum((n - 1) * v) FILTER (WHERE n >= 2) / sum(n - 1) FILTER (WHERE n >= 2)), 0) AS scale FROM cellstat GROUP BY campaign_id, compound, feature",
+    "madscale": "SELECT campaign_id, compound, feature, sqrt(sum(n * pow(14826e-4 * mad, 2)) / sum(n)) AS scale FROM ("
+                "SELECT r.campaign_id, c.compound, r.metric AS feature, c.cell, count(*) AS n, median(abs(r.value - s.centre)) AS mad FROM rlong r JOIN cells c USING (condition_id) "
+                "JOIN cellstat s ON s.campaign_id = r.campaign_id AND s.compound = c.compound AND s.feature = r.metric AND s.cell = c.cell WHERE r.value IS NOT NULL GROUP BY ALL) GROUP BY campaign_id, compound, feature",
+    "res": _residuals("sdscale", PRIMARY_FEATURES),
+    "resmad": _residuals("madscale", PRIMARY_FEATURES),
+    "resext": _residuals("sdscale", PRIMARY_FEATURES + EXTENDED_FEATURES),
+    "fmeans": _means("res"), "fmeansmad": _means("resmad"), "fmeansext": _means("resext"),
+    "csds": "SELECT campaign_id, compound, sqrt(avg(zbar * zbar)) AS csd, count(*) AS feature_count FROM fmeans GROUP BY campaign_id, compound",
 }
 
 
@@ -144,5 +181,5 @@ def with_tables(body: str, doubles: list[str]) -> str:
                 need.add(name)
                 todo.append(sql)
     ctes = [f"{n} AS MATERIALIZED ({s})" for n, s in TABLES.items() if n in need]
-    rounded = f"SELECT * REPLACE ({', '.join(f'{r6(d)} AS {d}' for d in doubles)}) FROM ({body}) AS answer" if doubles else body
+    rounded = f"SELECT * REPLACE ({', '.join(f'{r6(d)} AS {d}' for d in doubles)}) FROM ({body}) AS answer" if doubles else f"SELECT * FROM ({body}) AS answer"
     return (f"WITH {', '.join(ctes)} " if ctes else "") + rounded

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from ..operators import runs as R
 from ..operators.grouped import forget_sizes
+from ..session import pin
 from ..sources import driver_views as V
 from ..sources.spans import expand_spans
 
@@ -13,16 +14,14 @@ _kept: dict[tuple, DataFrame] = {}
 
 
 def keep(name: str, spark: SparkSession, sf_dir: str, build) -> DataFrame:
-    """Build once per session and folder and cache; a lost block is recomputed from its lineage."""
+    """Build once per session and folder, written to the checkpoint folder."""
     key = (name, spark.sparkContext.applicationId, sf_dir)
     if key not in _kept:
-        _kept[key] = build().persist()
+        _kept[key] = pin(build())
     return _kept[key]
 
 
 def release() -> None:
-    for df in _kept.values():
-        df.unpersist()
     _kept.clear()
     forget_sizes()
 
