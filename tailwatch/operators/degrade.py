@@ -59,6 +59,19 @@ def channel_loss(rows: DataFrame, channels: Sequence[str]) -> DataFrame:
         "value", F.when(F.col("_hit").isNull(), F.col("value"))).drop("_hit")
 
 
+def score_centroid(test: DataFrame, scale: DataFrame, centre: DataFrame, keys: Sequence[str], point: Sequence[str],
+                   features: Sequence[str]) -> DataFrame:
+    """Predict degraded test rows with scaling and centroids fitted once on clean training rows."""
+    from .diagnose import LABELS, RUN, distance, standardize
+
+    who = [*keys, *[k for k in RUN if k not in keys], *point, "degree", "truth_set", *LABELS]
+    entries = [F.max(F.when(F.col("feature") == f, F.col("z"))) for f in features]
+    vecs = standardize(test, scale, keys).groupBy(*who).agg(F.array(*entries).alias("x"))
+    scored = vecs.join(centre, list(keys)).withColumn("d", distance(F.col("x"), F.col("centre")))
+    best = scored.groupBy(*who).agg(F.min(F.struct("d", "cell")).alias("b"))
+    return best.select(*who, F.col("b.cell").alias("predicted_set"), (-F.col("b.d")).alias("score"))
+
+
 def retention(preds: DataFrame, clean: DataFrame, point: Sequence[str], base: Sequence[str]) -> DataFrame:
     """Compound accuracy at each grid point against the clean one, and the change in false alarms.
 

@@ -7,6 +7,7 @@ MODULES = [
     "inference_queries",
     "temporal_queries",
     "diagnosis_queries",
+    "robustness_queries",
 ]
 
 
