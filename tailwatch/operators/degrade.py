@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from ..functions.core import portable_normal, portable_uniform, safe_ratio
 from .features import NONNEGATIVE_TOKENS, channel_registry
 from .runs import summarize_long
-from .scoring import set_metrics
+from .scoring import by_subset, set_metrics
 
 MISSING_LEVELS = (0.10, 0.25, 0.50)
 NOISE_LEVELS = (0.10, 0.25, 0.50)
@@ -77,11 +77,16 @@ def retention(preds: DataFrame, clean: DataFrame, point: Sequence[str], base: Se
 
     ``point`` names the grid keys, ``base`` the keys the clean reference shares with them.
     """
+    names = ["complete_cause_recall", "jaccard", "macro_f1", "over_attribution", "under_attribution"]
+
     def block(df, keys):
-        compound = set_metrics(df.where("true_degree = 2"), keys).select(
-            *keys, F.col("exact_set_accuracy").alias("compound_exact"), "complete_cause_recall", "jaccard", "macro_f1", "over_attribution", "under_attribution")
-        alarms = set_metrics(df, keys).select(*keys, "control_false_alarm_rate")
-        return compound.join(alarms, list(keys))
+        # Both subsets in one aggregate; a second group-by on the same keys needs no further shuffle,
+        # and unlike a join it keeps grid points with null keys.
+        parts = set_metrics(by_subset(df).where("subset in ('ALL', 'COMPOUND')"), [*keys, "subset"])
+        of = lambda subset, name: F.max(F.when(F.col("subset") == subset, F.col(name)))
+        return parts.groupBy(*keys).agg(
+            of("COMPOUND", "exact_set_accuracy").alias("compound_exact"), *[of("COMPOUND", n).alias(n) for n in names],
+            of("ALL", "control_false_alarm_rate").alias("control_false_alarm_rate"))
 
     ref = block(clean, base).select(*base, F.col("compound_exact").alias("clean_exact"), F.col("control_false_alarm_rate").alias("clean_alarm"))
     out = block(preds, point).join(ref, list(base))

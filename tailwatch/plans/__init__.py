@@ -8,6 +8,7 @@ MODULES = [
     "temporal_queries",
     "diagnosis_queries",
     "robustness_queries",
+    "quality_queries",
 ]
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import functions as F
 
 from ..operators import cost as K
@@ -23,13 +25,20 @@ from .registry import query
 
 POINT = ["family", "severity", "seed", "lost"]
 CHANNELS = [c for c in FT.LOST_CHANNELS if c[:2] in ("C1", "C2", "C3", "C5", "C6", "C7")]
+# The grid is scored by the method trained on all conditions, so its tables mirror the plain ones.
+_MIRROR = ["spl", "sp2", "fills", "scal", "zz", "cent", "predc"]
+for _name in _MIRROR:
+    _sql = TABLES[_name]
+    for _other in _MIRROR:
+        _sql = re.sub(rf"\b{_other}\b", f"p{_other}", _sql)
+    TABLES[f"p{_name}"] = _sql.replace(" WHERE fold = repetition OR degree <= 1", "")
 _SEV = "[0.1::DOUBLE, 0.25::DOUBLE, 0.5::DOUBLE]"
-_TEST = "(SELECT * FROM sp2 WHERE role = 'test')"
+_TEST = "(SELECT * FROM psp2 WHERE role = 'test')"
 TABLES["gmiss"] = f"""SELECT {WHO}, fold, feature, CASE WHEN {uniform('CAST(seed AS VARCHAR)', 'run_id', 'feature')} >= severity THEN value END AS value, 'missingness' AS family, severity, seed, CAST(NULL AS VARCHAR) AS lost
   FROM {_TEST}, (SELECT unnest({_SEV}) AS severity), (SELECT unnest([8101, 8102]) AS seed)"""
 _u1 = f"greatest({uniform('CAST(seed AS VARCHAR)', 'run_id', 'feature', repr('a'))}, 1e0 / 4294967296e0)"
 _u2 = uniform("CAST(seed AS VARCHAR)", "run_id", "feature", repr("b"))
-TABLES["trsd"] = "SELECT campaign_id, fold, feature, stddev_samp(value) AS sd FROM sp2 WHERE role = 'train' GROUP BY ALL"
+TABLES["trsd"] = "SELECT campaign_id, fold, feature, stddev_samp(value) AS sd FROM psp2 WHERE role = 'train' GROUP BY ALL"
 TABLES["gnoise"] = f"""SELECT {WHO}, fold, feature, CASE WHEN sd * severity > 0 AND value IS NOT NULL THEN
     CASE WHEN regexp_matches(feature, '{"|".join(FT.NONNEGATIVE_TOKENS)}') THEN greatest(0, noisy) ELSE noisy END ELSE value END AS value, 'noise' AS family, severity, seed, CAST(NULL AS VARCHAR) AS lost
   FROM (SELECT t.*, s.sd, severity, seed, value + s.sd * severity * (sqrt(-2 * ln({_u1})) * cos(6.283185307179586::DOUBLE * {_u2})) AS noisy
@@ -37,12 +46,12 @@ TABLES["gnoise"] = f"""SELECT {WHO}, fold, feature, CASE WHEN sd * severity > 0
 TABLES["gloss"] = f"""SELECT {WHO}, fold, t.feature, CASE WHEN h.lost IS NULL THEN value END AS value, 'channel_loss' AS family, CAST(NULL AS DOUBLE) AS severity, CAST(NULL AS INT) AS seed, c.lost
   FROM {_TEST} t CROSS JOIN (SELECT unnest([{names(CHANNELS)}]) AS lost) c LEFT JOIN ({values([(c, f) for c in CHANNELS for f in FT.LOST_CHANNELS[c]], 'lost, feature')}) h ON h.lost = c.lost AND h.feature = t.feature"""
 TABLES["gall"] = "SELECT * FROM gmiss UNION ALL SELECT * FROM gnoise UNION ALL SELECT * FROM gloss"
-TABLES["gz"] = f"SELECT {WHO}, fold, feature, family, severity, seed, lost, (coalesce(value, fill) - mu) / sd AS z FROM gall JOIN scal USING (campaign_id, fold, feature)"
+TABLES["gz"] = f"SELECT {WHO}, fold, feature, family, severity, seed, lost, (coalesce(value, fill) - mu) / sd AS z FROM gall JOIN pscal USING (campaign_id, fold, feature)"
 TABLES["gpred"] = f"""SELECT family, severity, seed, lost, {PRED_COLS} FROM (
   SELECT *, cell AS predicted_set, row_number() OVER (PARTITION BY run_id, fold, family, severity, seed, lost ORDER BY d, cell) AS k FROM (
     SELECT {', '.join('t.' + x.strip() for x in WHO.split(','))}, t.fold, t.family, t.severity, t.seed, t.lost, c.cell, sqrt(sum((t.z - c.c) * (t.z - c.c))) AS d
-    FROM gz t JOIN cent c ON c.campaign_id = t.campaign_id AND c.fold = t.fold AND c.feature = t.feature GROUP BY ALL)) WHERE k = 1"""
-TABLES["clean"] = "SELECT * FROM preds WHERE method = 'M1/F2'"
+    FROM gz t JOIN pcent c ON c.campaign_id = t.campaign_id AND c.fold = t.fold AND c.feature = t.feature GROUP BY ALL)) WHERE k = 1"""
+TABLES["clean"] = f"SELECT {PRED_COLS} FROM ppredc"
 
 
 def _retention_sql() -> str:
@@ -58,7 +67,7 @@ TABLES["gret"] = _retention_sql()
 
 
 def test_rows(spark, sf):
-    return split(spark, sf, "F2").where("role = 'test'")
+    return split(spark, sf, "F2", "P2").where("role = 'test'")
 
 
 def missing_rows(spark, sf):
@@ -66,7 +75,7 @@ def missing_rows(spark, sf):
 
 
 def noise_rows(spark, sf):
-    train_sd = split(spark, sf, "F2").where("role = 'train'").groupBy(*FOLD, "feature").agg(F.stddev_samp("value").alias("sd"))
+    train_sd = split(spark, sf, "F2", "P2").where("role = 'train'").groupBy(*FOLD, "feature").agg(F.stddev_samp("value").alias("sd"))
     return R.gaussian_noise(R.grid(test_rows(spark, sf), "noise", R.NOISE_LEVELS, (8501, 8502)), train_sd, FOLD)
 
 
@@ -77,7 +86,7 @@ def loss_rows(spark, sf):
 
 def degraded_predictions(spark, sf):
     def build():
-        train = split(spark, sf, "F2").where("role = 'train'")
+        train = split(spark, sf, "F2", "P2").where("role = 'train'")
         scale = G.scaling(train, FOLD)
         vecs = G.vectors(G.standardize(train, scale, FOLD), FOLD, FT.F2)
         centre = G.centroids(vecs, FOLD, len(FT.F2))
@@ -96,9 +105,12 @@ def _with_point(scored):
 
 
 def clean_predictions(spark, sf):
-    from .diagnosis_queries import predictions
+    def build():
+        rows = split(spark, sf, "F2", "P2")
+        vecs = G.vectors(G.standardize(rows, G.scaling(rows.where("role = 'train'"), FOLD), FOLD), FOLD, FT.F2)
+        return G.predictions_from_key(G.nearest_centroid(vecs, FOLD, len(FT.F2)), "M1/F2")
 
-    return predictions(spark, sf).where("method = 'M1/F2'")
+    return V.keep("clean", spark, sf, build)
 
 
 def retained(spark, sf):
