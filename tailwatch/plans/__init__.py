@@ -9,6 +9,7 @@ MODULES = [
     "diagnosis_queries",
     "robustness_queries",
     "quality_queries",
+    "learner_queries",
 ]
 
 
