@@ -123,7 +123,11 @@ def events(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def requests(spark: SparkSession, sf_dir: str) -> DataFrame:
-    df = events(spark, sf_dir)
+    return requests_from(events(spark, sf_dir))
+
+
+def requests_from(df: DataFrame) -> DataFrame:
+    """The request view over any (batch or streaming) events frame."""
     for stage in REQUEST_STAGES:
         df = df.select(*[F.expr(e.replace("{k}", SPARK_K)).alias(n) if n != "*" else F.col("*") for n, e in stage])
     return df
