@@ -68,7 +68,7 @@ def csv_roundtrip(spark, sf):
         b = bounds(spark, sf)
         folder = f"{checkpoint_dir(spark)}/csv-{uuid.uuid4().hex}"
         S.write_csv([b.where("repetition % 2 = 0").select("run_id", "repetition", "a0", "n"), b.where("repetition % 2 = 1").select("run_id", "repetition", "a0")], folder)
-        return S.read_csv(spark, folder, S.T.StructType.fromDDL("run_id string, repetition int, a0 double, n bigint"))
+        return S.read_csv(spark, folder, "run_id string, repetition int, a0 double, n bigint")
 
     return V.keep("csv", spark, sf, build)
 
@@ -125,7 +125,7 @@ def dq_documents(spark, sf):
         doc = S.sorted_json(rows.withColumn("id", F.col("campaign_id"))).withColumn("campaign", F.get_json_object("value", "$.id"))
         cut = doc.withColumn("value", F.when(F.col("campaign").cast("long") % 2 == 1, F.expr("substring(value, 1, 12)")).otherwise(F.col("value")))
         cut.repartition("campaign").write.partitionBy("campaign").text(folder)
-        docs = S.read_documents(spark, f"{folder}/campaign=*/*.txt", S.T.StructType.fromDDL("campaign_id bigint, runs bigint, first_run string"))
+        docs = S.read_documents(spark, f"{folder}/campaign=*/*.txt", "campaign_id bigint, runs bigint, first_run string")
         return docs.withColumn("campaign", F.regexp_extract("path", r"campaign=([^/]+)/", 1))
 
     docs = V.keep("documents", spark, sf, build)

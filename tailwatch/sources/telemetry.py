@@ -39,11 +39,12 @@ SPANS = _schema([
     ("status", _S), ("attributes", _S),
 ])
 TABLES = {"requests": REQUESTS, "system_metrics": SYSTEM_METRICS, "runtime_metrics": RUNTIME_METRICS, "traces": SPANS}
-EVENTS = T.StructType.fromDDL("event_type string, state string, monotonic_time double, wall_time string, message string, details string")
-RUN_INDEX = T.StructType.fromDDL(
+# The document schemas are DDL text, so importing this module needs no session.
+EVENTS = "event_type string, state string, monotonic_time double, wall_time string, message string, details string"
+RUN_INDEX = (
     "run_id string, run_path string, condition_id string, repetition int, source_hash string, freeze_hash string, "
     "artifact_manifest_hash string, publication_analysis_eligible boolean")
-CONDITION = T.StructType.fromDDL(
+CONDITION = (
     "campaign_id string, campaign_condition_id string, condition_id string, mechanism_family string, active_mechanisms array<string>, "
     "mechanism_levels map<string,string>, compound_degree int, expected_control_id string, repetition int, attempt int, run_id string")
 
@@ -73,8 +74,13 @@ def write_table(df: DataFrame, path: str, schema: T.StructType) -> None:
     project(df, schema).write.parquet(path)
 
 
-def read_documents(spark: SparkSession, paths: str, schema: T.StructType) -> DataFrame:
+def _struct(schema: T.StructType | str) -> T.StructType:
+    return T.StructType.fromDDL(schema) if isinstance(schema, str) else schema
+
+
+def read_documents(spark: SparkSession, paths: str, schema: T.StructType | str) -> DataFrame:
     """One pretty-printed JSON object per file. Unreadable files keep a row with their text."""
+    schema = _struct(schema)
     tagged = T.StructType([*schema.fields, T.StructField("_corrupt_record", T.StringType())])
     raw = spark.read.option("multiLine", True).option("mode", "PERMISSIVE").schema(tagged).json(paths)
     names = [f.name for f in schema.fields if f.name != "run_id"]
@@ -90,7 +96,7 @@ def write_documents(df: DataFrame, path: str) -> None:
     sorted_json(df).write.text(path)
 
 
-def read_jsonl(spark: SparkSession, paths: str, schema: T.StructType) -> DataFrame:
+def read_jsonl(spark: SparkSession, paths: str, schema: T.StructType | str) -> DataFrame:
     """JSON lines; blank lines carry nothing and are skipped."""
     return spark.read.schema(schema).json(paths)
 
@@ -118,8 +124,9 @@ def read_typed_csv(spark: SparkSession, path: str) -> DataFrame:
     return rows.select(*[blank(n).try_cast(_CSV_TYPES.get(k.strip(), "string")).alias(n) for n, k in zip(names, kinds)])
 
 
-def read_csv(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
+def read_csv(spark: SparkSession, path: str, schema: T.StructType | str) -> DataFrame:
     """Header CSV with declared types; NaN becomes null."""
+    schema = _struct(schema)
     df = spark.read.option("header", True).schema(schema).csv(path)
     return df.select(*[F.when(~F.isnan(F.col(f.name)), F.col(f.name)).alias(f.name) if isinstance(f.dataType, T.DoubleType) else F.col(f.name) for f in schema])
 
