@@ -293,3 +293,19 @@ def bootstrap_draws(groups: DataFrame, keys: Sequence[str], resamples: int, seed
         "slot", F.explode(F.sequence(F.lit(1), F.col("n").cast("int"))))
     drawn = F.floor(portable_uniform(seed, *[F.col(k) for k in keys], F.col("b"), F.col("slot")) * F.col("n")).cast("int") + 1
     return slots.select(*keys, "n", "b", drawn.alias("item")).groupBy(*keys, "n", "b", "item").agg(F.count(F.lit(1)).alias("weight"))
+
+
+def result_table(summary: DataFrame, frequency: DataFrame, metrics: Sequence[str] = tuple(COUNTED_METRICS)) -> DataFrame:
+    """Printed condition table: one interval text per counted metric, and counts as k of n.
+
+    ``summary`` and ``frequency`` are the long condition summary and violation table.
+    """
+    from .derive import interval_text
+
+    keys = ["campaign_id", "condition_id"]
+    text = interval_text(F.col("mean"), F.col("ci_low"), F.col("ci_high"))
+    left = summary.groupBy(*keys).agg(*[F.max(F.when(F.col("metric") == m, text)).alias(f"{m}_text") for m in metrics])
+    share = F.concat_ws("/", F.col("count").cast("string"), F.col("n").cast("string"))
+    names = ["ttft_violations", "total_latency_violations", "decode_duration_violations", "compound_slo_runs"]
+    right = frequency.groupBy(*keys).agg(*[F.max(F.when(F.col("count_name") == c, share)).alias(c) for c in names])
+    return left.join(right, keys)

@@ -389,3 +389,12 @@ def csd_summary(spark, sf):
 def csd_sign_gate(spark, sf):
     return C.sign_gate(C.feature_means(residuals(spark, sf)), I.factorial_interactions(V.runs(spark, sf))).select(
         *C.KEYS, "feature", "raw_residual", "interaction_mean", "sign_matches")
+
+
+@query("result_table", "A36 P19", """SELECT campaign_id, condition_id, sum(ttft_slo_violated) || '/' || count(*) AS ttft_violations, sum(total_latency_slo_violated) || '/' || count(*) AS total_latency_violations,
+  sum(decode_duration_slo_violated) || '/' || count(*) AS decode_duration_violations, count(*) FILTER (WHERE slo_violation_count > 1) || '/' || count(*) AS compound_slo_runs FROM runs GROUP BY campaign_id, condition_id""")
+def result_table(spark, sf):
+    """The interval texts print six significant digits and are tested apart."""
+    runs = V.runs(spark, sf)
+    return I.result_table(R.condition_summary(runs, R.COUNTED_METRICS), R.violation_frequency(runs)).select(
+        "campaign_id", "condition_id", "ttft_violations", "total_latency_violations", "decode_duration_violations", "compound_slo_runs")

@@ -19,21 +19,18 @@ def expand_spans(requests: DataFrame, keys: list[str]) -> DataFrame:
         c("gateway_receive_time").isNotNull() & c("dependency_start_time").isNotNull() & c("dependency_end_time").isNotNull()
         & c("llama_dispatch_time").isNotNull() & c("gateway_completion_time").isNotNull()
     )
-    trace = short_id(32, c("request_id"), "trace")
-    root = short_id(16, c("request_id"), "gateway request")
-
-    def span(name: str, start: str, end: str, parent: Column) -> Column:
-        return F.struct(
-            trace.alias("trace_id"), short_id(16, c("request_id"), name).alias("span_id"), parent.alias("parent_span_id"),
-            F.lit(name).alias("span_name"), c(start).alias("start_time"), c(end).alias("end_time"),
-            (c(end) - c(start)).alias("duration"), F.lit("ok").alias("status"),
-            F.concat(F.lit('{"request_id":"'), c("request_id"), F.lit('"}')).alias("attributes"),
-        )
-
-    spans = F.array(
-        span("gateway request", "gateway_receive_time", "gateway_completion_time", F.lit(None).cast("string")),
-        span("dependency call", "dependency_start_time", "dependency_end_time", root),
-        span("llama call", "llama_dispatch_time", "gateway_completion_time", root),
-    )
+    # Only names are exploded; everything else is a column of its own, so unused ids are never hashed.
+    names = ["gateway request", "dependency call", "llama call"]
     keep = [k for k in ["event_id"] if k in requests.columns]
-    return timed.select(*keys, *keep, F.explode(spans).alias("s")).select(*keys, *keep, "s.*")
+    times = ["gateway_receive_time", "gateway_completion_time", "dependency_start_time", "dependency_end_time", "llama_dispatch_time"]
+    rows = timed.select(
+        *keys, *keep, "request_id", *times, short_id(32, c("request_id"), "trace").alias("trace_id"),
+        short_id(16, c("request_id"), names[0]).alias("_root"), F.explode(F.array(*[F.lit(n) for n in names])).alias("span_name"))
+    root, dependency = c("span_name") == names[0], c("span_name") == names[1]
+    start = F.when(root, c("gateway_receive_time")).when(dependency, c("dependency_start_time")).otherwise(c("llama_dispatch_time"))
+    end = F.when(dependency, c("dependency_end_time")).otherwise(c("gateway_completion_time"))
+    return rows.select(
+        *keys, *keep, "trace_id", F.when(root, c("_root")).otherwise(short_id(16, c("request_id"), c("span_name"))).alias("span_id"),
+        F.when(~root, c("_root")).alias("parent_span_id"), "span_name", start.alias("start_time"), end.alias("end_time"),
+        (end - start).alias("duration"), F.lit("ok").alias("status"),
+        F.concat(F.lit('{"request_id":"'), c("request_id"), F.lit('"}')).alias("attributes"))
