@@ -109,7 +109,7 @@ SYSTEM_COLUMNS = [
 METRIC_COLUMNS = [
     *[(c, c) for c in RUN],
     ("event_id", "event_id"),
-    ("timestamp", "actual_arrival - (CASE WHEN event_id % 701 = 13 THEN 5e0 ELSE 0e0 END)"),
+    ("timestamp", "actual_arrival - (CASE WHEN event_id % 701 = 13 THEN 5e1 ELSE 0e0 END)"),
     ("deferred_requests", "CAST(NULL AS BIGINT)"),
     ("active_requests", "CAST(NULL AS BIGINT)"),
     ("metric_name", "CASE event_id % 3 WHEN 0 THEN 'requests_deferred' WHEN 1 THEN 'requests_processing' ELSE 'prompt_tokens_total' END"),
