@@ -134,8 +134,42 @@ def test_confounds(spark):
     assert [r[0] for r in df.select(D.queue_confounded(F.col("f"), F.col("d"))).collect()] == [True, True, False]
 
 
+# Published calibration summaries, eight control runs per family.
+CALIBRATION = {
+    "BASELINE": (
+        [0.047128599999996364, 0.05560458990476036, 0.04647132915270048, 0.051430203849668024, 0.05483413544425275, 0.0576625919464277, 0.05316918990065459, 0.0486315163441759],
+        [0.1642050874997949, 0.1768457920046785, 0.15868606424810422, 0.17014284790384407, 0.1758571357506298, 0.18544451489688074, 0.17433820414953516, 0.1670287124990864],
+        [0.11682928544869356, 0.1231612687537563, 0.11294134644849692, 0.11804291425214615, 0.12314425450276757, 0.13048764759732875, 0.12293798475220684, 0.11758568540171836],
+    ),
+    "OUTPUT_CONTROL": (
+        [0.06277845800141221, 0.058962008947491984, 0.05402643749985145, 0.05565660145184664, 0.05491419104582747, 0.04674419169678002, 0.05572777709858201, 0.057969770502313604],
+        [0.25169348125491525, 0.23657622085120236, 0.2329800107538176, 0.23560208155286086, 0.23104661279976427, 0.1878433479490922, 0.23037171665055206, 0.23846860029625527],
+        [0.18690802325509137, 0.17499494409785255, 0.18224218960531288, 0.18122604440395657, 0.17520046665231348, 0.14410163124921374, 0.1780153277020872, 0.17883525624856697],
+    ),
+}
+
+
 def test_published_service_levels(spark):
-    """Prediction limits from the published calibration summaries (eight runs per family)."""
-    df = spark.createDataFrame([(8, 10.0, 2.0)], "n int, mean double, sd double")
-    got = df.select(I.prediction_limit(F.col("n"), F.col("mean"), F.col("sd"))).collect()[0][0]
-    assert got == pytest.approx(10 + 1.894578605 * 2 * math.sqrt(1.125), abs=1e-8)
+    """Limits of the published calibration. The record used a t quantile of six decimals, hence the tolerance."""
+    rows = [(0, c, r + 1, *(col[r] for col in cols)) for c, cols in CALIBRATION.items() for r in range(8)]
+    runs = spark.createDataFrame(rows, "campaign_id long, condition_id string, repetition int, " + ", ".join(f"{m} double" for m in D.SLO_LIMITS))
+    got = {r.metric: r for r in I.slo_calibration(runs).collect()}
+    for metric, limit in D.SLO_LIMITS.items():
+        assert got[metric].final_threshold == pytest.approx(limit, abs=1e-8) and got[metric].enough_runs == 1
+    short = {r.metric: r.enough_runs for r in I.slo_calibration(runs.where("repetition < 8")).collect()}
+    assert set(short.values()) == {0}
+
+
+def test_published_fold_comparison(spark):
+    df = spark.createDataFrame([("h", f, d) for f, d in enumerate((0.6, 0.4, 0.4, 0.4, 0.4, 0.4, 0.4, 0.4))], "g string, f int, value double")
+    r = I.signflip_mean(df, ["g"], "f").collect()[0]
+    assert r.mean == pytest.approx(0.425) and r.signflip_p == 0.0078125
+
+
+def test_published_frontier(spark):
+    from tailwatch.operators.cost import pareto
+
+    rows = [("T0_FULL", 0.575, 0.6875, 603.0375), ("T1_NO_HOST", 0.6, 0.625, 508.25624999999997), ("T2_NO_RUNTIME", 0.575, 0.6875, 545.1625), ("T3_LIGHT", 0.6, 0.625, 448.3229166666667)]
+    df = spark.createDataFrame([("all", *r) for r in rows], "g string, config string, quality double, alarm double, bytes double")
+    kept = [r.config for r in pareto(df, ["g"], "quality", ("alarm", "bytes")).collect() if not r.pareto_dominated]
+    assert kept == ["T3_LIGHT"]
