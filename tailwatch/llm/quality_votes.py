@@ -167,5 +167,5 @@ def keep_good(docs: DataFrame, text: str = "text") -> DataFrame:
     """
     rows = docs.select(F.struct("*").alias("_row"), F.col(text).alias("_text"))
     model = fit(pin(pattern_counts(pin(judged(measures(rows.select("_text"), "_text")).select("votes", "base_failed")))))
-    out = judged(measures(rows.withColumn("_at", F.monotonically_increasing_id()), "_text"))
+    out = judged(measures(rows, "_text")).withColumn("_at", F.monotonically_increasing_id())
     return out.where(~F.col("base_failed") & (posterior(model) >= 0.5) & (F.col("_at") >= 0)).select("_row.*")
