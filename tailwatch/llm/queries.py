@@ -2,22 +2,26 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import tune
-from . import mixing, quality_votes
+from ..session import checkpoint_dir, tune
+from . import mixing, packing, quality_votes, token_store
 from .common import read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
+#: Rows in one Arrow batch: whole texts may be long, and a batch has to fit a Python worker.
+ARROW_ROWS = "512"
 
 
 def query(fn):
     def build(spark: SparkSession, sf_dir: str) -> DataFrame:
-        return fn(tune(spark), sf_dir)
+        tune(spark).conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", ARROW_ROWS)
+        return fn(spark, sf_dir)
 
     build.__name__, build.__doc__ = fn.__name__, fn.__doc__
     QUERIES[fn.__name__] = build
@@ -38,3 +42,18 @@ def op2_source_mixing(spark, sf_dir):
     return rows.join(mixing.sized_broadcast(per_source), "_s").select(
         F.col("_id").alias("doc_id"), F.col("_size").alias("size"), F.col("_source_size").alias("source_size"), F.col("_target").alias("target"),
         (F.col("_size") * mixing.copies()).alias("taken"))
+
+
+@query
+def op5_packing(spark, sf_dir):
+    """Every piece of every document in its sequence."""
+    return packing.pack_documents(read(spark, sf_dir, "documents")).select(
+        "doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
+
+
+@query
+def op9_token_store(spark, sf_dir):
+    """Token ids of every document, written in key order and read back."""
+    path = f"{checkpoint_dir(spark)}/tokens-{uuid.uuid4().hex}"
+    token_store.write_tokens(read(spark, sf_dir, "documents"), path)
+    return token_store.with_crc(token_store.read_tokens(spark, path)).withColumnRenamed("key", "doc_id")

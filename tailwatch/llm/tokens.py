@@ -1,8 +1,8 @@
-"""Token ids with the tokenizers library, as little-endian unsigned 32-bit bytes.
+"""Token ids with the tokenizers library.
 
 The public vocabulary drops white space and its pre-tokenizer never joins text across an ASCII blank, so a text's ids
-are those of its blank-separated chunks in order. Each Python worker keeps the ids of chunks it has seen, up to
-``MOST_CHUNKS``; chunks beyond are encoded anew each time, with the same result.
+are those of its blank-separated chunks in order. A batch's distinct chunks are looked up once; each Python worker keeps
+the ids of chunks it has seen, up to ``MOST_CHUNKS``, and encodes those beyond anew, with the same result.
 """
 
 from __future__ import annotations
@@ -12,10 +12,12 @@ from struct import pack
 from unicodedata import is_normalized
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 MOST_CHUNKS = 1_000_000
 #: Marks that never join a letter before them, so that a chunk may be cut ahead of a closing run of them.
-CLOSING = b".,;:!?"
+CLOSING = ".,;:!?"
 
 _encoders: dict[str, Encoder] = {}
 
@@ -43,10 +45,10 @@ def _byte_letters() -> dict[int, str]:
 
 
 class Encoder(dict):
-    """Ids of chunks; a chunk that is not held is encoded when asked for."""
+    """Ids of chunks as little-endian unsigned 32-bit bytes; a chunk that is not held is encoded when asked for."""
 
     def __init__(self, path: str):
-        super().__init__()
+        super().__init__({"": b""})
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -54,24 +56,37 @@ class Encoder(dict):
         self.merge = self.tokenizer.model.tokenize
         self.letters = _byte_letters()
 
-    def __call__(self, texts: list[str], end_id: int | None = None) -> list[bytes]:
-        """Ids of each whole text as bytes; ``end_id`` is appended when given."""
-        end = b"" if end_id is None else np.uint32(end_id).astype("<u4").tobytes()
-        ids = self.__getitem__
-        return [b"".join(map(ids, t.encode("utf-8", "replace").split())) + end for t in texts]
-
-    def __missing__(self, chunk: bytes) -> bytes:
+    def encode(self, texts: pa.Array, end_id: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """(bounds, ids): text i has ids[bounds[i]:bounds[i + 1]]; null is empty; ``end_id`` closes each text when given."""
+        lists = pc.ascii_split_whitespace(pc.fill_null(texts, ""))
+        bounds = np.asarray(lists.offsets).astype(np.int64)
+        bounds -= bounds[0]
+        coded = lists.flatten().dictionary_encode()
+        which = np.asarray(coded.indices).astype(np.int64)
+        blobs = list(map(self.__getitem__, coded.dictionary.to_pylist()))
+        if end_id is not None:
+            which = np.insert(which, bounds[1:], len(blobs))
+            bounds = bounds + np.arange(len(bounds))
+            blobs.append(pack("<I", end_id))
+        pool = np.frombuffer(b"".join(blobs), "<u4")
+        size = np.fromiter(map(len, blobs), np.int64, len(blobs)) // 4
+        first = np.cumsum(size) - size
+        count = size[which]
+        ends = np.concatenate(([0], np.cumsum(count)))
+        ids = pool[np.repeat(first[which] - ends[:-1], count) + np.arange(ends[-1])]
+        return ends[bounds], ids
+
+    def __missing__(self, chunk: str) -> bytes:
         body = chunk.rstrip(CLOSING)
         tail = chunk[len(body):]
-        if body.isalpha():  # ASCII letters: their bytes are their own letters
-            ids = self._merged(body.lower().decode("ascii"))
+        if body.isalpha() and body.isascii():
+            ids = self._merged(body.lower())
         else:
-            word = body.decode("utf-8")
-            small = "".join(c.lower() for c in word)
-            if word.isalpha() and small.isalpha() and is_normalized("NFC", word):
+            small = "".join(c.lower() for c in body)
+            if body.isalpha() and small.isalpha() and is_normalized("NFC", body):
                 ids = self._merged("".join(map(self.letters.__getitem__, small.encode("utf-8"))))
             else:
-                ids, tail = self._packed(self.tokenizer.encode(chunk.decode("utf-8"), add_special_tokens=False).ids), b""
+                ids, tail = self._packed(self.tokenizer.encode(chunk, add_special_tokens=False).ids), ""
         if tail:
             ids += self[tail]
         if len(self) < MOST_CHUNKS:
