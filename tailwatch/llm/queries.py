@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import checkpoint_dir, tune
-from . import mixing, packing, quality_votes, token_store
+from . import kd_shards, mixing, packing, quality_votes, token_store
 from .common import read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -44,6 +44,14 @@ def op2_source_mixing(spark, sf_dir):
         (F.col("_size") * mixing.copies()).alias("taken"))
 
 
+@query
+def op3_kd_sharding(spark, sf_dir):
+    """Every document's shard and place in it; shards have near equal bytes."""
+    placed = kd_shards.with_slots(kd_shards.kd_shards(read(spark, sf_dir, "documents"), shards=40))
+    return placed.select(F.col("_id").alias("doc_id"), F.col("_size").alias("size"), F.col("_crc").alias("text_crc32"), F.lit("bytes").alias("law"),
+                         F.col("_part").alias("shard"), F.col("_slot").cast("long").alias("slot"), F.lit(None).cast("int").alias("grown_shard"))
+
+
 @query
 def op5_packing(spark, sf_dir):
     """Every piece of every document in its sequence."""
