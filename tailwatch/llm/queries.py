@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import checkpoint_dir, tune
-from . import kd_shards, mixing, packing, quality_votes, token_store
+from . import kd_shards, minhash, mixing, packing, quality_votes, token_store
 from .common import read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -59,6 +59,13 @@ def op5_packing(spark, sf_dir):
         "doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
+@query
+def op6_minhash_near_dedup(spark, sf_dir):
+    """Every document's near-duplicate component, over four-word shingles."""
+    found = minhash.near_duplicates(read(spark, sf_dir, "documents"), width=4)
+    return found.select("doc_id", "n_shingles", F.col("component").alias("component_id"), F.col("doc_id").eqNullSafe(F.col("component")).alias("kept"))
+
+
 @query
 def op9_token_store(spark, sf_dir):
     """Token ids of every document, written in key order and read back."""
