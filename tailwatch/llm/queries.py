@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import checkpoint_dir, tune
-from . import kd_shards, minhash, mixing, packing, quality_votes, token_store
+from . import kd_shards, language_id, minhash, mixing, packing, pivots, quality_votes, token_store
 from .common import read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -66,6 +66,20 @@ def op6_minhash_near_dedup(spark, sf_dir):
     return found.select("doc_id", "n_shingles", F.col("component").alias("component_id"), F.col("doc_id").eqNullSafe(F.col("component")).alias("kept"))
 
 
+@query
+def op7_language_id(spark, sf_dir):
+    """Language of every document; held-out documents teach nothing."""
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text", "lang").withColumn("held_out", language_id.held_out(F.col("doc_id")))
+    return language_id.classify(docs.select("doc_id", "held_out", "text"), language_id.fit(docs.where("not held_out")))
+
+
+@query
+def op8_pivot_near_dedup(spark, sf_dir):
+    """Every vector's links and component among near vectors of its label."""
+    found = pivots.near_vectors(read(spark, sf_dir, "embeddings"))
+    return found.select("vec_id", "n_links", F.col("component").alias("component_id"), F.col("vec_id").eqNullSafe(F.col("component")).alias("kept"))
+
+
 @query
 def op9_token_store(spark, sf_dir):
     """Token ids of every document, written in key order and read back."""
