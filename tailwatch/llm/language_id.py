@@ -1,9 +1,9 @@
 """Language by compression: the language whose dictionary compresses a text best.
 
 For each language a raw-content Zstandard dictionary is built from a bounded sample of labelled texts: for each language
-the ``SAMPLE_TEXTS`` texts with the smallest hash of their key, ``SAMPLE_CHARS`` characters of each. A whole text is cut
-into blocks, each block is compressed with each dictionary, and the sizes are summed. The language of the smallest sum
-wins; the score is the margin to the next as a share of a full separation. Where the margin is under ``reject_below``,
+the ``SAMPLE_TEXTS`` texts with the smallest hash of their key, ``SAMPLE_CHARS`` characters of each. A whole text, in
+lower case and with one blank for each run of other signs than letters, is cut into blocks; each block is compressed
+with each dictionary, and the sizes are summed. The language of the smallest sum wins; the score is the margin to the next as a share of a full separation. Where the margin is under ``reject_below``,
 ``rejected`` is set.
 
 Defined results: null texts and texts without a letter are ``und`` with score 0; equal sizes go to the first language by
@@ -24,11 +24,16 @@ from pyspark.sql import functions as F
 
 #: Bound of the labelled sample, per language: 160 texts of up to 700 characters, about 110 KB.
 SAMPLE_TEXTS, SAMPLE_CHARS = 160, 700
-LEVEL = 3
+LEVEL = 6
 #: Blocks of a text: small, so that the dictionary and not the text itself is what helps.
-BLOCK = 4096
+BLOCK = 2048
 #: Margin that counts as full separation, as a share of the smallest sum.
-FULL_MARGIN = 0.10
+FULL_MARGIN = 0.20
+OTHER_SIGNS = re.compile(r"[\W\d_]+")
+
+
+def letters_only(text: str) -> bytes:
+    return OTHER_SIGNS.sub(" ", text.lower()).encode("utf-8", "replace")
 
 
 def fit(labelled: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang") -> dict[str, bytes]:
@@ -40,7 +45,7 @@ def fit(labelled: DataFrame, key: str = "doc_id", text: str = "text", lang: str
     parts: dict[str, list[tuple[int, str]]] = {}
     for row in sample:
         parts.setdefault(row["lang"], []).append((row["r"], row["text"]))
-    return {name: "\n".join(t for _, t in sorted(texts)).encode() for name, texts in sorted(parts.items())}
+    return {name: b"\n".join(letters_only(t) for _, t in sorted(texts)) for name, texts in sorted(parts.items())}
 
 
 def held_out(key: Column) -> Column:
@@ -67,7 +72,7 @@ def classify(docs: DataFrame, dictionaries: dict[str, bytes], text: str = "text"
                 if not names or t is None or not letter.search(t):
                     pred.append("und"), score.append(0.0), rejected.append(True)
                     continue
-                data = t.encode("utf-8", "replace")
+                data = letters_only(t)
                 blocks = [data[i:i + BLOCK] for i in range(0, len(data), BLOCK)]
                 sums = np.array([sum(len(c.compress(b)) for b in blocks) for c in coders])
                 order = np.argsort(sums, kind="stable")

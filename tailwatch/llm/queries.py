@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import checkpoint_dir, tune
-from . import kd_shards, language_id, minhash, mixing, packing, pivots, quality_votes, token_store
+from . import kd_shards, language_id, minhash, mixing, packing, pivots, quality_votes, token_store, warc_zip
 from .common import read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -52,6 +52,27 @@ def op3_kd_sharding(spark, sf_dir):
                          F.col("_part").alias("shard"), F.col("_slot").cast("long").alias("slot"), F.lit(None).cast("int").alias("grown_shard"))
 
 
+@query
+def op4_warc_packages(spark, sf_dir):
+    """Every page's record, written into ZIP packages and read back by ranges."""
+    packages = warc_zip.write_packages(read(spark, sf_dir, "pages"), f"{checkpoint_dir(spark)}/packages-{uuid.uuid4().hex}")
+    return warc_zip.read_packages(packages, ["key", "payload_bytes", "payload_digest", "record_type", "refers_to"]).withColumnRenamed("key", "page_id")
+
+
+#: Base32 of the 160 bits of a SHA-1: 32 digits of five bits.
+SQL["op4_warc_packages"] = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS h, CAST(unhex(sha1(coalesce(html, ''))) AS BIT)::VARCHAR AS b FROM pages),
+f AS (SELECT b, min(page_id) AS first FROM p GROUP BY b)
+SELECT page_id, CAST(strlen(h) AS BIGINT) AS payload_bytes,
+  list_aggregate(list_transform(range(0, 32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+    1 + 16 * CAST(substr(b, 5 * CAST(i AS INT) + 1, 1) AS INT) + 8 * CAST(substr(b, 5 * CAST(i AS INT) + 2, 1) AS INT)
+      + 4 * CAST(substr(b, 5 * CAST(i AS INT) + 3, 1) AS INT) + 2 * CAST(substr(b, 5 * CAST(i AS INT) + 4, 1) AS INT)
+      + CAST(substr(b, 5 * CAST(i AS INT) + 5, 1) AS INT), 1)), 'string_agg', '') AS payload_digest,
+  CASE WHEN page_id > first THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN page_id > first THEN first END AS refers_to
+FROM p JOIN f USING (b)"""
+
+
 @query
 def op5_packing(spark, sf_dir):
     """Every piece of every document in its sequence."""
