@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import checkpoint_dir, tune
-from . import kd_shards, language_id, minhash, mixing, packing, pivots, quality_votes, token_store, warc_zip
+from . import bwt_dedup, kd_shards, language_id, minhash, mixing, packing, pivots, quality_votes, token_store, warc_zip
 from .common import read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -107,3 +107,10 @@ def op9_token_store(spark, sf_dir):
     path = f"{checkpoint_dir(spark)}/tokens-{uuid.uuid4().hex}"
     token_store.write_tokens(read(spark, sf_dir, "documents"), path)
     return token_store.with_crc(token_store.read_tokens(spark, path)).withColumnRenamed("key", "doc_id")
+
+
+@query
+def op10_bwt_repeats(spark, sf_dir):
+    """What every document loses to strings of earlier documents."""
+    found = bwt_dedup.remove_repeats(read(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select("_row.doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
