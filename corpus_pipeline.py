@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tailwatch.llm import quality_votes
+from tailwatch.llm import bwt_dedup, minhash, mixing, packing, quality_votes
 from tailwatch.session import pin, tune
 
 
@@ -13,17 +14,54 @@ def good_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     return quality_votes.keep_good(docs)
 
 
+def distinct_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """MinHash near-dedup on five-word shingles: the document of smallest key stays of each group.
+
+    Rows that repeat a key count as one document, the one of smallest text; rows without a key all stay.
+    """
+    kept = minhash.near_duplicates(docs).where(F.col("doc_id") == F.col("component")).select("doc_id").distinct()
+    keyed = docs.where(F.col("doc_id").isNotNull())
+    once = keyed.groupBy("doc_id").agg(F.min_by(F.struct("*"), F.coalesce("text", F.lit(""))).alias("_row"))
+    return once.join(kept, "doc_id", "left_semi").select("_row.*").unionByName(docs.where(F.col("doc_id").isNull()))
+
+
+def without_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Suffix-array dedup: passages of 50 bytes and more that an earlier document has are cut; n_chars follows."""
+    cut = bwt_dedup.remove_repeats(docs).withColumn("_text", F.when(F.col("n_removed") > 0, bwt_dedup.kept_text()).otherwise(F.col("kept").cast("string")))
+    columns = {c: F.col(f"_row.`{c}`") for c in docs.columns if c != "text"} | {"text": F.col("_text")}
+    if "n_chars" in columns:
+        columns["n_chars"] = F.when(F.col("n_removed") > 0, F.length("_text").cast("long")).otherwise(columns["n_chars"])
+    return cut.select(*[columns[c].alias(c) for c in docs.columns])
+
+
+def mixed_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Mixing sources to target weights: rows are repeated or left out."""
+    return mixing.mix(docs)
+
+
+def packed_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Packing: the token sequences of all rows."""
+    return packing.pack_documents(docs)
+
+
 STAGES = [
     ("quality rules", good_documents),
+    ("minhash near-dedup", distinct_documents),
+    ("suffix-array dedup", without_repeats),
+    ("source mixing", mixed_documents),
+    ("packing", packed_sequences),
 ]
 
+#: Rows in one Arrow batch, as in the single queries.
+ARROW_ROWS = "512"
 #: The stages fit models, hash and pack; SQL cannot express them. Tests hold them against brute-force versions.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over the documents table, each written as Parquet and read again by the next."""
-    docs = tune(spark).read.parquet(f"{sf_dir}/documents.parquet")
+    tune(spark).conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", ARROW_ROWS)
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES[:-1]:
         docs = pin(stage(spark, docs, sf_dir))
     return STAGES[-1][1](spark, docs, sf_dir)
