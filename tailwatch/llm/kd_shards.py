@@ -76,15 +76,16 @@ def _cuts(rows: DataFrame, parts: DataFrame, leaf_bytes: float) -> DataFrame:
         if on_tie:
             inside = inside & (key == F.col("_pk"))
         sums = (rows.join(open_, "_part").where(inside).groupBy("_part", F.shiftright(digits, shift).alias("_cell"))
-                .agg(F.sum("_size").alias("_sum")))
+                .agg(F.sum("_size").alias("_sum"), F.count("*").alias("_rows")))
         w = Window.partitionBy("_part").orderBy("_cell")
         crossed = (sums.withColumn("_through", F.sum("_sum").over(w)).join(open_, "_part")
                    .withColumns({"_hi": F.col("_before") + F.col("_through"), "_lo": F.col("_before") + F.col("_through") - F.col("_sum")})
                    .where("_hi >= _want")
-                   .groupBy("_part").agg(F.min_by(F.struct("_cell", "_lo", "_hi"), "_cell").alias("_c")))
+                   .groupBy("_part").agg(F.min_by(F.struct("_cell", "_lo", "_hi", "_rows"), "_cell").alias("_c")))
         state = pin(open_.join(crossed, "_part").select("_part", "_dim", "_want", "_pk", "_pt", "_c.*")
                     .withColumn("_below", (F.col("_want") - F.col("_lo")) < (F.col("_hi") - F.col("_want")))
-                    .withColumn("_done", (F.least(F.col("_want") - F.col("_lo"), F.col("_hi") - F.col("_want")) <= leaf_bytes * TOLERANCE) | F.lit(step == 2 * DIGITS - 1)))
+                    .withColumn("_done", (F.least(F.col("_want") - F.col("_lo"), F.col("_hi") - F.col("_want")) <= leaf_bytes * TOLERANCE)
+                                | (F.col("_rows") == 1) | F.lit(step == 2 * DIGITS - 1)))
         edge = F.shiftleft(F.col("_cell") + F.when(F.col("_below"), 0).otherwise(1), shift) - 1
         if on_tie:
             bound = [F.col("_pk").alias("_cut"), edge.alias("_cut_tie")]

@@ -20,7 +20,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .tokens import encoder, vocabulary
+from .tokens import encoder, gathered, vocabulary
 
 END_ID = 2
 #: Rests that wait in a task, and those left when packing pauses to read on, so that choices stay wide.
@@ -115,7 +115,7 @@ def pack_documents(docs: DataFrame, key: str = "doc_id", text: str = "text", los
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode, packer, key_type, held = encoder(path), Packer(max_tokens, max_segments, max_loss, least_piece, TaskContext.get().partitionId() << 33), None, 0
-        for batch in batches:
+        for batch in gathered(batches, 1):
             key_type = batch.column(0).type
             bounds, ids = encode.encode(batch.column(1), end_id)
             for tag, lost, a, b in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), bounds[:-1], bounds[1:], strict=True):

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import running_offsets
-from .tokens import encoder, vocabulary
+from .tokens import encoder, gathered, vocabulary
 
 END_ID = 2
 #: Ids in one output batch of a task.
@@ -35,7 +35,7 @@ def encoded(docs: DataFrame, key: str, text: str, vocabulary_path: str | None =
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode_, part, before = encoder(path), TaskContext.get().partitionId(), 0
-        for batch in batches:
+        for batch in gathered(batches, 1):
             bounds, ids = encode_.encode(batch.column(1), end_id)
             for lo, hi in _slices(bounds, BATCH_IDS):
                 own = bounds[lo:hi + 1] - bounds[lo]

@@ -8,6 +8,7 @@ the ids of chunks it has seen, up to ``MOST_CHUNKS``, and encodes those beyond a
 from __future__ import annotations
 
 import os
+from collections.abc import Iterator
 from struct import pack
 from unicodedata import is_normalized
 
@@ -16,6 +17,8 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 MOST_CHUNKS = 1_000_000
+#: Text that is encoded at a time.
+BATCH_BYTES = 8 << 20
 #: Marks that never join a letter before them, so that a chunk may be cut ahead of a closing run of them.
 CLOSING = ".,;:!?"
 
@@ -37,6 +40,23 @@ def encoder(path: str | None = None) -> Encoder:
     return _encoders[path]
 
 
+def gathered(batches: Iterator[pa.RecordBatch], column: int) -> Iterator[pa.RecordBatch]:
+    """Batches put together until their texts reach BATCH_BYTES: the more text, the fewer lookups a word."""
+    held, size = [], 0
+    for batch in batches:
+        held.append(batch)
+        size += batch.column(column).nbytes
+        if size >= BATCH_BYTES:
+            yield _one(held)
+            held, size = [], 0
+    if held:
+        yield _one(held)
+
+
+def _one(batches: list[pa.RecordBatch]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.concat_arrays([b.column(i) for b in batches]) for i in range(batches[0].num_columns)], batches[0].schema.names)
+
+
 def _byte_letters() -> dict[int, str]:
     """The letter that byte-level vocabularies write for each byte: printable Latin-1 as it is, the rest from 256 on."""
     plain = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or b >= 174]
@@ -73,8 +93,9 @@ class Encoder(dict):
         first = np.cumsum(size) - size
         count = size[which]
         ends = np.concatenate(([0], np.cumsum(count)))
-        ids = pool[np.repeat(first[which] - ends[:-1], count) + np.arange(ends[-1])]
-        return ends[bounds], ids
+        at = np.repeat((first[which] - ends[:-1]).astype(np.int32), count)
+        at += np.arange(ends[-1], dtype=np.int32)
+        return ends[bounds], pool[at]
 
     def __missing__(self, chunk: str) -> bytes:
         body = chunk.rstrip(CLOSING)
