@@ -71,15 +71,17 @@ def frontier_rows(names: Sequence[str]):
 def pareto(points: DataFrame, keys: Sequence[str], quality: str, costs: tuple[str, str], salts: int = 16) -> DataFrame:
     """Flag points beaten on quality and both costs, one strictly.
 
-    Distinct points are thinned to local frontiers in hashed slices first, so only frontier points of a
-    group ever meet in one task. Equal points do not beat each other.
+    Distinct points are thinned to local frontiers level by level, in ``salts`` squared hashed slices, then ``salts``, so
+    only frontier points of a group ever meet in one task. Equal points do not beat each other.
     """
     keys = list(keys)
     dims = [F.col(quality).cast("double").alias("q_"), F.col(costs[0]).cast("double").alias("a_"), F.col(costs[1]).cast("double").alias("b_")]
     distinct = points.select(*keys, *dims).distinct()
     schema = distinct.schema
-    slices = distinct.withColumn("slice_", F.pmod(F.xxhash64("q_", "a_", "b_"), F.lit(salts)))
-    local = slices.groupBy(*keys, "slice_").applyInPandas(frontier_rows(schema.names), schema)
+    local = distinct
+    for slices in (salts * salts, salts):
+        dealt = local.withColumn("slice_", F.pmod(F.xxhash64("q_", "a_", "b_"), F.lit(slices)))
+        local = dealt.groupBy(*keys, "slice_").applyInPandas(frontier_rows(schema.names), schema)
     best = local.groupBy(*keys).applyInPandas(frontier_rows(schema.names), schema).withColumn("_keep", F.lit(1))
     tagged = points.withColumns({"q_": dims[0], "a_": dims[1], "b_": dims[2]}).join(best, [*keys, "q_", "a_", "b_"], "left")
     return tagged.withColumn("pareto_dominated", F.col("_keep").isNull().cast("int")).drop("q_", "a_", "b_", "_keep")

@@ -26,7 +26,6 @@ def _with_run(keys) -> list[str]:
     return [*keys, *[k for k in RUN if k not in keys]]
 
 
-FOLDS = tuple(range(1, 9))
 Z_LIMIT = 5.0
 SEPARATION = 0.05
 VARIANCE_FLOOR = 0.10
@@ -46,13 +45,14 @@ def labelled(long: DataFrame) -> DataFrame:
     return long.join(F.broadcast(labels(long.sparkSession)), "condition_id")
 
 
-def split_folds(rows: DataFrame, protocol: str = "P1", folds: Sequence[int] = FOLDS) -> DataFrame:
+def split_folds(rows: DataFrame, protocol: str = "P1", campaign: str = "campaign_id") -> DataFrame:
     """Leave-one-repetition-out roles. P1 trains on at most one cause; P2 trains on everything.
 
     A row appears once per fold it takes part in: as test of its own repetition, as training of the
-    others. The number of folds is a design constant.
+    others. The folds of a campaign are the repetitions that occur in it.
     """
-    grown = rows.withColumn("fold", F.explode(F.array(*[F.lit(f) for f in folds])))
+    folds = rows.groupBy(campaign).agg(F.collect_set("repetition").alias("_folds"))
+    grown = rows.join(folds, campaign).withColumn("fold", F.explode("_folds")).drop("_folds")
     test = F.col("fold") == F.col("repetition")
     train = ~test & (F.col("degree") <= 1) if protocol == "P1" else ~test
     return grown.withColumn("role", F.when(test, "test").when(train, "train")).where("role is not null")
@@ -98,7 +98,8 @@ def nearest_centroid(vecs: DataFrame, keys: Sequence[str], width: int) -> DataFr
     return best.select(*_with_run(keys), "degree", "truth_set", *LABELS, F.col("b.cell").alias("predicted_set"), (-F.col("b.d")).alias("score"))
 
 
-RINGS = 64
+#: Least number of rings of a cell, and training runs a ring should hold: rings grow with their cell.
+RINGS, RING_ROWS = 64, 256
 
 
 def nearest_neighbour(vecs: DataFrame, keys: Sequence[str], width: int) -> DataFrame:
@@ -112,8 +113,8 @@ def nearest_neighbour(vecs: DataFrame, keys: Sequence[str], width: int) -> DataF
     train, test = vecs.where("role = 'train'"), vecs.where("role = 'test'")
     centre = centroids(train, keys, width)
     inside = train.withColumn("cell", F.col("truth_set")).join(centre, [*keys, "cell"]).withColumn("r", distance(F.col("x"), F.col("centre")))
-    cells = inside.groupBy(*keys, "cell").agg(F.min("r").alias("r_min"), F.max("r").alias("r_max"), F.first("centre").alias("centre"))
-    step = F.greatest(F.col("r_max") / RINGS, F.lit(NUMERICAL_FLOOR))
+    cells = inside.groupBy(*keys, "cell").agg(F.min("r").alias("r_min"), F.max("r").alias("r_max"), F.first("centre").alias("centre"), F.count(F.lit(1)).alias("members"))
+    step = F.greatest(F.col("r_max") / F.greatest(F.lit(RINGS), F.col("members") / RING_ROWS), F.lit(NUMERICAL_FLOOR))
     ring = lambda r: F.floor(r / F.col("step")).cast("int")
     placed = inside.join(cells.select(*keys, "cell", step.alias("step")), [*keys, "cell"]).select(
         *keys, "cell", ring(F.col("r")).alias("ring"), F.col("run_id").alias("near_id"), F.col("truth_set").alias("near_set"), F.col("x").alias("near_x"))

@@ -88,11 +88,17 @@ def label_audit(spark, sf):
     return labelled.groupBy("campaign_id", "condition_id", "truth_set", "degree", *G.LABELS).agg(F.count(F.lit(1)).alias("run_count"))
 
 
-@query("leakage_audit", "M28 M32", "SELECT tier, 0 AS issues, features, 1 AS passed, covered_runs FROM (SELECT 'F1' AS tier, 8 AS features UNION ALL SELECT 'F2', 20 UNION ALL SELECT 'F2T', 50 UNION ALL SELECT 'F3', 22 UNION ALL SELECT 'F0', 6), (SELECT count(*) AS covered_runs FROM runs)")
+@query("leakage_audit", "M28 M32", "SELECT r.tier, f.campaign_id, count(DISTINCT f.feature) AS features, count(DISTINCT f.feature) FILTER (WHERE f.feature IN ("
+       + ", ".join(repr(f) for f in FT.FORBIDDEN) + ")) AS issues, count(DISTINCT f.run_id) AS covered_runs FROM feat f JOIN ("
+       + " UNION ALL ".join(f"SELECT '{t}' AS tier, '{f}' AS feature" for t, fs in FT.TIERS.items() for f in fs) + ") r USING (feature) GROUP BY r.tier, f.campaign_id")
 def leakage_audit(spark, sf):
-    total = V.runs(spark, sf).agg(F.count(F.lit(1)).alias("covered_runs"))
-    audit = FT.leakage_audit(FT.tier_registry(spark))
-    return audit.withColumn("_k", F.lit(1)).join(F.broadcast(total.withColumn("_k", F.lit(1))), "_k").drop("_k")
+    """The features that the runs really carry into each tier's fits, and those of them that a fit must not see."""
+    carried = features(spark, sf).join(F.broadcast(FT.tier_registry(spark)), "feature")
+    forbidden = F.col("feature").isin(*FT.FORBIDDEN)
+    names = carried.groupBy("tier", "campaign_id", "feature").agg(F.count(F.lit(1)).alias("n"))
+    per_tier = names.groupBy("tier", "campaign_id").agg(F.count(F.lit(1)).alias("features"), F.count_if(forbidden).alias("issues"))
+    runs = carried.select("tier", "campaign_id", "run_id").distinct().groupBy("tier", "campaign_id").agg(F.count(F.lit(1)).alias("covered_runs"))
+    return per_tier.join(runs, ["tier", "campaign_id"])
 
 
 @query("fold_split", "M3 P21", "SELECT campaign_id, fold, role, count(DISTINCT run_id) AS runs FROM spl GROUP BY ALL")

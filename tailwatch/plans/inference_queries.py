@@ -258,21 +258,20 @@ def _shift_sql(extra: str) -> str:
         THEN greatest(0, least(source_max, target_max) - greatest(source_min, target_min)) / (greatest(source_max, target_max) - least(source_min, target_min)) ELSE 1 END END AS range_overlap
     FROM (SELECT CAST(floor(campaign_id / 2) AS BIGINT) AS pair_id, feature{extra}, {s('source')}, {s('target')} FROM (
       SELECT campaign_id, condition_id, metric AS feature, value, CASE WHEN campaign_id % 2 = 0 THEN 'source' ELSE 'target' END AS domain FROM rlong
-      WHERE metric IN ({', '.join(repr(f) for f in C.PRIMARY_FEATURES if f != 'scheduler_slip_p95')})) GROUP BY ALL)"""
+      WHERE metric IN ({', '.join(repr(f) for f in C.PRIMARY_FEATURES)})) GROUP BY ALL)"""
 
 
 _SHIFT_D = ("source_mean source_sd source_min source_max source_median target_mean target_sd target_min target_max target_median standardized_mean_shift range_overlap")
-_SHIFTED = [f for f in C.PRIMARY_FEATURES if f != "scheduler_slip_p95"]
 
 
 @query("feature_shift", "A20", _shift_sql(""), _SHIFT_D)
 def feature_shift(spark, sf):
-    return I.feature_shift(_domains(long_features(spark, sf, _SHIFTED)), ["pair_id"])
+    return I.feature_shift(_domains(long_features(spark, sf, C.PRIMARY_FEATURES)), ["pair_id"])
 
 
 @query("feature_shift_by_condition", "A21", _shift_sql(", condition_id"), _SHIFT_D)
 def feature_shift_by_condition(spark, sf):
-    return I.feature_shift(_domains(long_features(spark, sf, _SHIFTED)), ["pair_id"], by_condition=True)
+    return I.feature_shift(_domains(long_features(spark, sf, C.PRIMARY_FEATURES)), ["pair_id"], by_condition=True)
 
 
 @query(
@@ -351,7 +350,7 @@ def signflip_mean(spark, sf):
     return I.signflip_mean(I.matched_pairs(V.runs(spark, sf)), ["campaign_id", "mechanism"], "repetition", "delta")
 
 
-RESAMPLES = 1000
+RESAMPLES = 10_000
 _BOOT = f"""SELECT campaign_id, compound, quantile_cont(stat, 0.025) AS bootstrap_low, quantile_cont(stat, 0.975) AS bootstrap_high FROM (
   SELECT campaign_id, compound, b, sqrt(avg(m * m)) AS stat FROM (
     SELECT d.campaign_id, d.compound, d.b, r.feature, avg(r.z) AS m FROM (

@@ -3,6 +3,9 @@ derived from its requests, with defects planted by repetition."""
 
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import diagnose as G
@@ -13,7 +16,7 @@ from ..sources.driver_views import RUN
 from . import tables as V
 from .oracle import RUN as RUN_SQL
 from .oracle import TABLES
-from .registry import query
+from .registry import QUERIES, query
 from .robustness_queries import COST_BLOCK, cost_runs
 
 
@@ -347,8 +350,18 @@ def dq_cost_preflight(spark, sf):
     return Q.cost_preflight(cost_runs(spark, sf), ["campaign_id"], ["workload", "telemetry_config", "repetition"], 64)
 
 
-@query("dq_verdict", "V24 S11", f"""SELECT r.{RUN_SQL.replace(', ', ', r.')}, coalesce(i.n, 0) AS issues, CASE WHEN i.n IS NULL THEN 1 ELSE 0 END AS valid FROM rb r LEFT JOIN (SELECT run_id, count(*) AS n FROM (
-  SELECT run_id FROM ({rules_sql('req', 'request_id', _REQ_RULES)}) UNION ALL SELECT run_id FROM ({_LIFE})) GROUP BY run_id) i USING (run_id)""")
+#: Every rule family whose findings name a run.
+RULE_FAMILIES = (
+    "dq_requests dq_identity dq_gateway_gaps dq_duplicates dq_unplanned dq_spans dq_foreign_spans dq_span_duplicates dq_span_trees dq_mechanisms dq_mechanism_match "
+    "dq_label_evidence dq_windows dq_bounds lifecycle_check dq_terminal dq_phases dq_switches dq_process_ids dq_versions dq_condition_agreement dq_config"
+).split()
+
+
+@query("dq_verdict", "V24 S11", f"""SELECT r.{RUN_SQL.replace(', ', ', r.')}, coalesce(i.n, 0) AS issues, coalesce(i.f, 0) AS families, CASE WHEN i.n IS NULL THEN 1 ELSE 0 END AS valid FROM rb r LEFT JOIN (
+  SELECT run_id, count(*) AS n, count(DISTINCT family) AS f FROM ({' UNION ALL '.join(f"SELECT run_id, '{q}' AS family FROM ({QUERIES[q].body})" for q in RULE_FAMILIES)}) GROUP BY run_id) i USING (run_id)""")
 def dq_verdict(spark, sf):
-    issues = Q.request_issues(V.requests(spark, sf)).unionByName(Q.lifecycle_issues(run_events(spark, sf)))
-    return Q.verdicts(bounds(spark, sf).select(*RUN), issues)
+    """A run is valid when no rule family finds anything. Findings are counted by run and family before they meet."""
+    found = [globals()[q](spark, sf).groupBy("run_id").agg(F.count(F.lit(1)).alias("n")) for q in RULE_FAMILIES]
+    counts = reduce(DataFrame.unionByName, found).groupBy("run_id").agg(F.sum("n").alias("issues"), F.count(F.lit(1)).alias("families"))
+    out = bounds(spark, sf).select(*RUN).join(counts, "run_id", "left").fillna(0, ["issues", "families"])
+    return out.select(*RUN, "issues", "families", (F.col("issues") == 0).cast("int").alias("valid"))

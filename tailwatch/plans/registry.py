@@ -18,6 +18,7 @@ class Query:
     operators: str
     build: Callable[[SparkSession, str], DataFrame]
     sql: str | None
+    body: str | None = None
 
 
 QUERIES: dict[str, Query] = {}
@@ -33,7 +34,7 @@ def query(name: str, operators: str, sql: str | None = None, doubles: str = ""):
 
         build.__name__ = name
         build.__doc__ = fn.__doc__
-        QUERIES[name] = Query(name, operators, build, with_tables(sql, doubles.split()) if sql else None)
+        QUERIES[name] = Query(name, operators, build, with_tables(sql, doubles.split()) if sql else None, sql)
         return fn
 
     return wrap

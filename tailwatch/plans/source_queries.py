@@ -266,11 +266,11 @@ def stream_drift(spark, sf):
     return M.run_available(M.drift(request_stream(spark, sf), w, RUN, "dependency_duration", 0.01).select("request_id", "dependency_duration"))
 
 
-@query("stream_metrics", "X6", "SELECT metric_name, metric_value, labels FROM (" + _LOGS + ") WHERE metric_name <> 'queue_depth' AND event_id % 7 <> 0", "metric_value")
+@query("stream_metrics", "X6", "SELECT metric_name, metric_value, labels FROM (" + _LOGS + ")", "metric_value")
 def stream_metrics(spark, sf):
     """A scrape log written as text and read as a text stream, line by line."""
     folder = f"{checkpoint_dir(spark)}/scrapes-{uuid.uuid4().hex}"
-    scrapes(V.events(spark, sf)).where("event_id % 7 <> 0").select(F.col("body").alias("value")).write.text(folder)
+    scrapes(V.events(spark, sf)).select(F.col("body").alias("value")).write.text(folder)
     return M.run_available(LG.metric_rows(spark.readStream.text(folder), "value"))
 
 

@@ -58,8 +58,10 @@ LIFECYCLE_STATE = "state string, last_time double, terminals int"
 def _lifecycle(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
     at, last, ends = state.get if state.exists else (None, None, 0)
     found = []
-    for pdf in batches:
-        for row in pdf.sort_values("event_seq").itertuples():
+    # a run's new events come in several Arrow batches; their order holds over all of them
+    parts = list(batches)
+    for pdf in [pd.concat(parts)] if parts else []:
+        for row in pdf.sort_values("event_seq", kind="stable").itertuples():
             if last is not None and row.monotonic_time < last:
                 found.append((str(row.event_seq), "event_time_not_monotonic"))
             last = float(row.monotonic_time)
@@ -83,8 +85,9 @@ def _lifecycle(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -
 
 
 def lifecycle(events: DataFrame) -> DataFrame:
-    """State machine of each run over its event stream. A missing terminal state cannot be told while
-    the stream runs; the batch rule reports it."""
+    """State machine of each run over its event stream, in the order of its numbers within what a trigger brings.
+    A missing terminal state cannot be told while the stream runs; the batch rule reports it. A run's state is three values;
+    it is not dropped, as a second terminal state may come at any time."""
     return events.groupBy("run_id").applyInPandasWithState(_lifecycle, LIFECYCLE_OUT, LIFECYCLE_STATE, "append", GroupStateTimeout.NoTimeout)
 
 
