@@ -73,14 +73,14 @@ def votes() -> dict[str, Column]:
     """The rules. Shares are per word or per character; short texts abstain where a share means little."""
     n, chars = F.col("n_words"), F.greatest(F.col("word_chars"), F.lit(1))
     per_word = lambda c: F.col(c) / F.greatest(n, F.lit(1))
-    enough = n >= 20
+    enough, again = n >= 20, F.col("n_dup_lines") / F.greatest(F.col("n_lines"), F.lit(1))
     return {
         "symbols": vote(per_word("n_symbols") <= 0.05, per_word("n_symbols") > 0.25),
         "capitals": vote(F.col("n_capitals") / chars <= 0.15, F.col("n_capitals") / chars > 0.5),
         "marks": vote(per_word("n_marks") <= 0.1, per_word("n_marks") > 0.5),
         "frequent": vote(enough & (per_word("n_frequent") >= 0.08), enough & (per_word("n_frequent") < 0.02)),
         "repeats": vote(enough & (per_word("n_repeat_words") <= 0.1), per_word("n_repeat_words") > 0.2),
-        "lines": vote((F.col("n_lines") >= 3) & (F.col("n_dup_lines") / F.col("n_lines") <= 0.1), (F.col("n_lines") >= 3) & (F.col("n_dup_lines") / F.col("n_lines") > 0.5)),
+        "lines": vote((F.col("n_lines") >= 3) & (again <= 0.1), (F.col("n_lines") >= 3) & (again > 0.5)),
         "variety": vote(enough & (per_word("n_distinct") >= 0.2), enough & (per_word("n_distinct") < 0.05)),
         "word_length": vote((per_word("word_chars") >= 3) & (per_word("word_chars") <= 10), (per_word("word_chars") < 2) | (per_word("word_chars") > 14)),
     }
