@@ -83,9 +83,9 @@ def _compared(reps: DataFrame, pivots: dict[int, list], least: float) -> DataFra
 
     kinds = dict(reps.dtypes)
     described = reps.select("rep", "label", "v", "d", "n").mapInArrow(describe, f"rep {kinds['rep']}, label {kinds['label']}, v {kinds['v']}, d int, n long, near array<int>")
-    size = min(SHARED, min((min(len(p), PREFIX) for p in pivots.values()), default=SHARED))
-    combos = F.array(*[F.concat_ws("-", *[F.get("near", F.lit(i)) for i in c]) for c in combinations(range(PREFIX), size)])
-    combos = F.filter(combos, lambda k: F.size(F.split(k, "-")) == size)
+    combos = F.array(*[F.concat_ws("-", *[F.get("near", F.lit(i)) for i in c]) for c in combinations(range(PREFIX), SHARED)])
+    # with fewer pivots than are to be shared, all of them make one list
+    combos = F.when(F.size("near") >= SHARED, F.filter(combos, lambda k: F.size(F.split(k, "-")) == SHARED)).otherwise(F.array(F.concat_ws("-", F.transform("near", lambda x: x.cast("string")))))
     described = pin(described)
     listed = described.select("rep", "label", "d", F.explode(combos).alias("list"))
     blocks = (listed.groupBy("label", "d", "list").agg(F.count("*").alias("m")).where("m > 1")
