@@ -123,6 +123,8 @@ def _lists(buckets: int):
                 keys.append(np.array(tags, np.int64)[np.searchsorted(bounds, at, "right") - 1])
             if waiting:
                 hashes, many = _distinct(np.concatenate(waiting), np.concatenate(keys))
+            if not len(hashes):
+                continue
             bucket = (hashes % np.uint64(buckets)).astype(np.int32)
             order = np.argsort(bucket, kind="stable")
             which, starts = np.unique(bucket[order], return_index=True)
@@ -214,6 +216,8 @@ def _strings(buckets: int, folder: str):
             for tags, data, bounds in anchors.chunks(_texts(parts)):
                 _, h, doc, around, ranges, name = _around(data, bounds, ordered)
                 held.append(_once(h, np.array(tags, np.int64)[doc], np.array(tags, np.int64)[doc], around, ranges, name))
+            if not any(len(x[0]) for x in held):
+                continue
             h, least, most, around, ranges, name = _once(*map(np.concatenate, zip(*held, strict=True)))
             bucket = (h % np.uint64(buckets)).astype(np.int32)
             order = np.argsort(bucket, kind="stable")
