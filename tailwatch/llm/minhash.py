@@ -5,9 +5,10 @@
    asked similarity share at least ``t`` sketch values, so each class needs lists for all but its t - 1 most frequent
    values only (all sketches agree on the order: rare values first). Passages that many texts share drop out there.
 3. Candidates are compared by the sketch of their union, then exactly on full sets. Rather than all pairs of a list,
-   first every class is compared with one hub of its longest list, then with a hashed hub of each of its lists, then
-   with all members of its lists that are still in another component. Groups of near copies collapse in the first
-   rounds; pairs within a component are never needed, as the result is components.
+   first every class is compared with one hub of its longest list, then with a hashed hub of each of its lists. Groups of
+   near copies collapse in these rounds. Classes whose lists still hold another component get lists over their whole
+   sets, where only a fifth of a set's values, the rarest, need one, and meet all members in other components there.
+   Pairs within a component are never needed, as the result is components.
 
 t comes from the binomial tail: a sample of k of the union hits the intersection k * 0.8 times on average, and fewer than
 t times with probability below 1e-8. For sets that sketches hold whole, t is exact and nothing can be lost.
@@ -61,7 +62,7 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", wi
     placed = pin(table.select("id", "n", "s1", "s2").join(classes, ["n", "s1", "s2"], "left").select("id", "n", F.coalesce("rep", "id").alias("rep")))
     reps = placed.where("id = rep and n > 0").select("id").distinct()
     sketches = pin(table.select("id", "n", "sketch").join(reps, "id").dropDuplicates(["id"]))
-    lists = _lists(sketches, share)
+    lists = _lists(sketches.withColumnRenamed("sketch", "values"), needed_overlap(F.col("n"), share))
     active = pin(lists.select("id").distinct())
     sets = pin(with_shingles(source.join(active, "id").dropDuplicates(["id"]), "_text", width, "_set").select("id", F.col("_set").alias("set")))
     groups = _linked(lists, active, sets, percent)
@@ -69,15 +70,19 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", wi
             .select(F.col("id").alias(key), F.col("n").cast("long").alias("n_shingles"), F.coalesce("component", "rep").alias("component")))
 
 
-def _lists(sketches: DataFrame, share: float) -> DataFrame:
-    """Inverted lists (value, id, n, df) that can hold a link."""
-    postings = sketches.select("id", "n", F.explode("sketch").alias("value"))
+def _lists(sets: DataFrame, overlap: Column) -> DataFrame:
+    """Inverted lists (value, id, n, after, m) that can hold a link, from rows id, n, values.
+
+    ``overlap``: how many values two similar rows have in common at least. All but the overlap - 1 most frequent values
+    of a row have lists; values that no other row has need none. ``after``: how many values of the row are more frequent.
+    """
+    postings = sets.select("id", "n", F.explode("values").alias("value"))
     shared = postings.groupBy("value").agg(F.count("*").alias("df")).where("df > 1")
-    # at most a sketch's values come together in a row
+    # the values of one row come together again, never those of a list
     frequent = postings.join(shared, "value").groupBy("id", "n").agg(F.collect_list(F.struct("df", "value")).alias("v"))
-    overlap = needed_overlap(F.col("n"), share)
-    kept = frequent.where(F.size("v") >= overlap).select("id", "n", F.explode(F.slice(F.sort_array("v", asc=False), overlap, SKETCH)).alias("p"))
-    lists = pin(kept.select("id", "n", "p.df", "p.value"))
+    ranked = F.transform(F.sort_array("v", asc=False), lambda x, k: F.struct(x["value"].alias("value"), k.alias("after")))
+    kept = frequent.where(F.size("v") >= overlap).select("id", "n", F.explode(F.slice(ranked, overlap, F.size("v"))).alias("p"))
+    lists = pin(kept.select("id", "n", "p.value", "p.after"))
     used = lists.groupBy("value").agg(F.count("*").alias("m")).where("m > 1")
     return pin(lists.join(used, "value"))
 
@@ -87,6 +92,21 @@ def _close(a: str, b: str, percent: int) -> Column:
     return 100 * F.least(a, b) >= percent * F.greatest(a, b)
 
 
+def _parities(sets: DataFrame) -> DataFrame:
+    """256 parity bits of each set, as bits: the parity of how many values fall on a bit."""
+    word = "aggregate(values, 0L, (s, h) -> if(((h >> 6) & 3) = {w}, s ^ shiftleft(1L, cast(h & 63 as int)), s))"
+    return sets.select("id", F.array(*[F.expr(word.format(w=w)) for w in range(4)]).alias("bits"))
+
+
+def _can_reach(percent: int) -> Column:
+    """Necessary for the similarity of two whole sets that share a value: enough values from there on, and parity bits
+    that differ in no more places than the sets may differ in values. Both bounds are exact; nothing similar fails."""
+    both = F.col("n") + F.col("n_2")
+    overlap = F.ceil(F.lit(percent) * both / (100 + percent) - F.lit(1e-9))
+    differ = sum(F.bit_count(F.get("bits", F.lit(i)).bitwiseXOR(F.get("bits_2", F.lit(i)))) for i in range(4))
+    return (1 + F.least("after", "after_2") >= overlap) & (differ <= both - 2 * overlap)
+
+
 def _pairs(left: DataFrame) -> DataFrame:
     return left.select(F.least("id", "other").alias("a"), F.greatest("id", "other").alias("b")).where("a < b").distinct()
 
@@ -105,17 +125,20 @@ def _linked(lists: DataFrame, active: DataFrame, sets: DataFrame, percent: int)
     links = links.union(pin(_confirmed(_pairs(second.withColumn("other", F.col("hub.id"))), sets, percent)))
     groups = pin(components(active, links))
 
-    # the rest, exactly: members of one list in different components
-    placed = _split_lists(lists, groups)
-    right = placed.select("value", F.col("id").alias("other"), F.col("n").alias("n2"), F.col("component").alias("c2"))
-    third = placed.join(right, "value").where("id < other and component <> c2").where(_close("n", "n2", percent))
+    # the rest, exactly: lists over whole sets, for members that share a list with another component
+    left = _split_lists(lists, groups).select("id").distinct()
+    whole = sets.join(left, "id").select("id", F.size("set").alias("n"), F.col("set").alias("values"))
+    exact = _lists(whole, F.ceil(F.col("n") * F.lit(percent / 100) - F.lit(1e-9)).cast("int"))
+    placed = _split_lists(exact, groups).join(pin(_parities(whole)), "id")
+    right = placed.select("value", *[F.col(c).alias(f"{c}_2") for c in placed.columns if c != "value"])
+    third = placed.join(right, "value").where("id < id_2 and component <> component_2").where(_can_reach(percent)).withColumn("other", F.col("id_2"))
     more = pin(_confirmed(_pairs(third), sets, percent))
     return pin(components(active, links.union(more)))
 
 
 def _split_lists(lists: DataFrame, groups: DataFrame) -> DataFrame:
     """Lists whose members are in more than one component, with the component."""
-    placed = pin(lists.select("value", "id", "n").join(groups, "id"))
+    placed = pin(lists.select("value", "id", "n", "after").join(groups, "id"))
     mixed = placed.groupBy("value").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("value")
     return pin(placed.join(mixed, "value"))
 
