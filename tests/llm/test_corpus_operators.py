@@ -318,6 +318,24 @@ def test_pivot_index_against_brute_force(spark):
     assert pivots.near_vectors(df.where("false")).count() == 0
 
 
+@pytest.mark.parametrize("share", [1 / 3, 0.6])
+def test_pivot_index_in_one_dense_group(spark, share):
+    """Near, not equal, vectors that hold much of the table: their links are found all the same."""
+    rng = np.random.default_rng(11)
+    n, d = 1500, 64
+    v = rng.normal(size=(n, d))
+    v /= np.linalg.norm(v, axis=1)[:, None]
+    dense = rng.permutation(n)[:int(n * share)]
+    v[dense] = v[dense[0]] * math.sqrt(0.95) + v[dense] * math.sqrt(0.05)
+    v = v.astype("float32")
+    got = {r.vec_id: r.n_links for r in pivots.near_vectors(spark.createDataFrame([(i, x.tolist(), 1) for i, x in enumerate(v)], "vec_id long, embedding array<float>, label int")).collect()}
+    unit = v.astype(float) / np.linalg.norm(v.astype(float), axis=1)[:, None]
+    links = (unit @ unit.T >= 0.93).sum(1) - 1
+    found = sum(got.values()) / links.sum()
+    print(f"share {share:.2f}: recall {found:.3f} of {links.sum()}")
+    assert found >= 0.9 and all(got[i] <= links[i] for i in range(n))
+
+
 def brute_repeats(docs):
     rows = docs.collect()
     big = 1 << 62
