@@ -367,6 +367,27 @@ def test_repeats_match_brute_force(spark, small, odd, empty):
     assert bwt_dedup.remove_repeats(empty).count() == 0
 
 
+def test_hot_anchors_are_dealt_by_content(spark, small, odd):
+    """An anchor that many documents have, each with its own text around it: same result, and no bucket that holds it all."""
+    rng = np.random.default_rng(4)
+    own = lambda: "".join(map(chr, rng.integers(97, 123, 90)))
+    passage = "A passage that a great many texts hold, each between words that no other text has."
+    hot = spark.createDataFrame([(k, own() + passage + own()) for k in range(300)] + [(300, passage), (None, own() + passage)], "doc_id long, text string")
+    for docs in (hot, small.select("doc_id", "text"), odd):
+        found = bwt_dedup.remove_repeats(docs.repartition(5), hot_windows=2)
+        got = sorted(((r[0], *r[1:4], hashlib.sha256(bytes(r.kept)).hexdigest()) for r in found.select("_row.doc_id", "n_bytes", "n_removed", "n_spans", "kept").collect()), key=str)
+        assert got == brute_repeats(docs)
+    rows = pa.RecordBatch.from_pydict({"shard": [0] * 300, "key": list(range(300)), "text": [own() + passage + own() for _ in range(300)]})
+    folder = f"{checkpoint_dir(spark)}/hot-anchors"
+    shared = list(bwt_dedup._shared(2)(bwt_dedup._lists(1)(iter([rows]))))
+    spark.createDataFrame([(r["shard"], r["hashes"], r["hot"]) for b in shared for r in b.to_pylist()], "shard long, hashes binary, hot binary").write.partitionBy("shard").parquet(folder)
+    sizes = defaultdict(int)
+    for b in bwt_dedup._strings(8, folder)(iter([rows])):
+        if b["bucket"][0].as_py() >= 8:  # the few anchors that only two texts have stay below
+            sizes[b["bucket"][0].as_py()] += len(b["names"][0].as_py()) // 16
+    assert len(sizes) == 8 * bwt_dedup.PIECE_BUCKETS and max(sizes.values()) < 2 * sum(sizes.values()) / len(sizes)
+
+
 def test_merge_keeps_shards_and_ties_apart():
     """Interleaving by column equals grouping by the strings themselves."""
     rng = np.random.default_rng(2)
