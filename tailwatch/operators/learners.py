@@ -2,9 +2,9 @@
 
 Objective: half the squared weights (intercept included, as a constant feature) plus the weighted
 loss, which is the objective of the common liblinear solver at C = 1. Groups of ordinary size are
-fitted one per task with Newton steps. Groups above ``HOT_TRAIN_ROWS`` are fitted together by Newton
-steps whose gradient and Hessian are summed per partition and then per group, so training rows are
-never gathered and never shuffled.
+fitted one per task with Newton steps. Groups above ``HOT_TRAIN_ROWS`` are fitted together by the same
+damped steps and stopping test, or the same descent steps, whose loss, gradient and Hessian are summed
+per partition and then per group, so training rows are never gathered and never shuffled.
 """
 
 from __future__ import annotations
@@ -22,7 +22,8 @@ from .design import CAUSES
 from .grouped import hot_groups, sized_broadcast
 
 HOT_TRAIN_ROWS = 200_000
-STEPS = 25
+#: Passes over the rows in which damped Newton steps must settle, and steps of the descent.
+MOST_PASSES, DESCENT_STEPS = 400, 1600
 
 
 def _terms(loss: str, margin: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -58,7 +59,7 @@ def newton_fit(x: np.ndarray, y: np.ndarray, loss: str) -> np.ndarray:
     return w
 
 
-def descent_fit(x: np.ndarray, y: np.ndarray, steps: int = 1600, rate: float = 0.05, penalty: float = 1.0) -> np.ndarray:
+def descent_fit(x: np.ndarray, y: np.ndarray, steps: int = DESCENT_STEPS, rate: float = 0.05, penalty: float = 1.0) -> np.ndarray:
     """Fixed-step gradient descent on the balanced logistic loss; the intercept is not penalised."""
     t = (y > 0).astype(float)
     n, pos = len(t), t.sum()
@@ -104,20 +105,22 @@ def fit(train: DataFrame, keys: Sequence[str], loss: str = "logistic", hot_rows:
     one_by_one = lambda df: df.groupBy(*keys).applyInPandas(_fit_group(keys, loss), _model_schema(rows, keys))
     if n_hot == 0:
         return one_by_one(rows)
-    if loss == "descent":
-        raise ValueError("fixed-step descent is kept for small comparisons only; use the logistic loss")
     small = sized_broadcast(hot, n_hot)
     return one_by_one(rows.join(small, keys, "left_anti")).unionByName(fit_together(rows.join(small, keys, "left_semi"), keys, n_hot, loss))
 
 
-def fit_together(rows: DataFrame, keys: Sequence[str], groups: int, loss: str, steps: int = STEPS) -> DataFrame:
-    """Newton steps for all groups at once. Each step is one pass with sums per partition; the sums of
-    a group, one small row per partition, meet in the step that updates its weights."""
+def fit_together(rows: DataFrame, keys: Sequence[str], groups: int, loss: str, steps: int = DESCENT_STEPS) -> DataFrame:
+    """All groups at once. Each pass sums loss, gradient and Hessian at the groups' trial weights per partition; the sums
+    of a group, one small row per partition, meet in the update of its weights. Newton steps are halved while the loss
+    rises and end, group by group, by the test of ``newton_fit``; descent takes ``steps`` passes."""
     keys = list(keys)
-    totals = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("rows_"), F.sum("y").alias("pos_"), F.max(F.size("x")).alias("width_"))
-    state = pin(totals.select(*keys, "rows_", "pos_", F.array_repeat(F.lit(0.0), F.col("width_") + 1).alias("w")))
-    partial_schema = T.StructType([*[rows.schema[k] for k in keys], *[T.StructField(c, T.ArrayType(T.DoubleType())) for c in ("grad_", "hess_", "w")]])
-    model_schema = T.StructType([*[rows.schema[k] for k in keys], T.StructField("w", T.ArrayType(T.DoubleType()))])
+    descent = loss == "descent"
+    totals = pin(rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("rows_"), F.sum("y").alias("pos_"), F.max(F.size("x")).alias("width_")))
+    zeros = F.array_repeat(F.lit(0.0), F.col("width_") + 1)
+    state = pin(totals.select(*keys, "rows_", "pos_", zeros.alias("w"), zeros.alias("trial_"), zeros.alias("step_"), F.lit(1.0).alias("size_"),
+                              F.lit(float("inf")).alias("value_"), ((F.col("pos_") == 0) | (F.col("pos_") == F.col("rows_"))).alias("done_")))
+    held = [c for c in state.columns if c not in keys]
+    partial_schema = T.StructType([*state.schema, *[T.StructField(c, T.ArrayType(T.DoubleType())) for c in ("grad_", "hess_")], T.StructField("loss_", T.DoubleType())])
 
     def partials(batches):
         sums: dict[tuple, list] = {}
@@ -127,31 +130,53 @@ def fit_together(rows: DataFrame, keys: Sequence[str], groups: int, loss: str, s
                 y = np.where(part["y"].to_numpy() == 1, 1.0, -1.0)
                 n, pos = float(part["rows_"].iloc[0]), float(part["pos_"].iloc[0])
                 s = np.where(y > 0, n / (2.0 * max(pos, 1.0)), n / (2.0 * max(n - pos, 1.0)))
-                w = np.asarray(part["w"].iloc[0], float)
-                g, h = _sums(x, y, s, w, loss)
+                w = np.asarray(part["trial_"].iloc[0], float)
+                kind = "logistic" if descent else loss
+                g, h = _sums(x, y, s, w, kind)
+                value = float((s * _terms(kind, y * (x @ w))[0]).sum())
                 if key in sums:
                     sums[key][0] += g
                     sums[key][1] += h
+                    sums[key][2] += value
                 else:
-                    sums[key] = [g, h, w]
-        out = [dict(zip(keys, k), grad_=g.tolist(), hess_=h.ravel().tolist(), w=w.tolist()) for k, (g, h, w) in sums.items()]
-        yield pd.DataFrame(out, columns=[*keys, "grad_", "hess_", "w"])
+                    sums[key] = [g, h, value, part.iloc[0]]
+        out = [dict({c: r[c] for c in [*keys, *held]}, grad_=g.tolist(), hess_=h.ravel().tolist(), loss_=v) for g, h, v, r in sums.values()]
+        yield pd.DataFrame(out, columns=[*partial_schema.names])
 
     def update(pdf: pd.DataFrame) -> pd.DataFrame:
-        w = np.asarray(pdf["w"].iloc[0], float)
+        out = pdf[[*keys, *held]].head(1).copy()
+        w, trial, step = (np.asarray(out[c].iloc[0], float) for c in ("w", "trial_", "step_"))
+        size, value, done = float(out["size_"].iloc[0]), float(out["value_"].iloc[0]), False
         g = np.sum(np.stack(pdf["grad_"].to_numpy()), axis=0)
-        h = np.sum(np.stack(pdf["hess_"].to_numpy()), axis=0).reshape(len(w), len(w))
-        out = pdf[keys].head(1).copy()
-        out["w"] = [(w - np.linalg.solve(h + np.eye(len(w)), g + w)).tolist()]
+        if descent:
+            w = trial = w - 0.05 * (g + np.append(w[:-1], 0.0)) / float(out["rows_"].iloc[0])
+        else:
+            h = np.sum(np.stack(pdf["hess_"].to_numpy()), axis=0).reshape(len(w), len(w))
+            now = 0.5 * trial @ trial + float(pdf["loss_"].sum())
+            moved = np.abs(size * step).max()
+            if now <= value or size <= 1e-8 or moved < 1e-10:
+                # the start has no step yet
+                done, w, value, size = bool(np.isfinite(value) and moved < 1e-10), trial, now, 1.0
+                step = np.linalg.solve(h + np.eye(len(w)), g + w)
+            else:
+                size *= 0.5
+            trial = w - size * step
+        out["w"], out["trial_"], out["step_"] = [w.tolist()], [trial.tolist()], [step.tolist()]
+        out["size_"], out["value_"], out["done_"] = size, value, done
         return out
 
-    for _ in range(steps):
-        joined = rows.join(sized_broadcast(state, groups), keys)
-        moved = joined.mapInPandas(partials, partial_schema).groupBy(*keys).applyInPandas(update, model_schema)
-        state = pin(moved.join(totals.select(*keys, "rows_", "pos_"), keys))
+    for _ in range(steps if descent else MOST_PASSES):
+        if not state.where("not done_").limit(1).count():
+            break
+        joined = rows.join(sized_broadcast(state.where("not done_"), groups), keys)
+        moved = joined.mapInPandas(partials, partial_schema).groupBy(*keys).applyInPandas(update, state.schema)
+        state = pin(moved.unionByName(state.where("done_")))
+    else:
+        if not descent and state.where("not done_").limit(1).count():
+            raise RuntimeError("the fit did not settle")
     one = F.when(F.col("pos_") == 0, -30.0).when(F.col("pos_") == F.col("rows_"), 30.0)
-    zeros = F.transform("w", lambda v: v * 0)
-    constant = F.concat(F.slice(zeros, 1, F.size("w") - 1), F.array(one))
+    none = F.transform("w", lambda v: v * 0)
+    constant = F.concat(F.slice(none, 1, F.size("w") - 1), F.array(one))
     return state.select(*keys, F.when(one.isNotNull(), constant).otherwise(F.col("w")).alias("w"))
 
 

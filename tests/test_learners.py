@@ -45,3 +45,21 @@ def test_score_and_decision(spark):
     w = spark.createDataFrame([("a", [0.5, -1.0, 0.25])], "g string, w array<double>")
     r = L.score(df, w, ["g"]).collect()[0]
     assert r.f == pytest.approx(-1.25) and r.decision == 0 and r.score == pytest.approx(1 / (1 + np.exp(1.25)))
+
+
+def test_large_groups_take_the_same_descent_steps(spark):
+    """Descent steps over summed gradients equal those of one task."""
+    x, y = data(300, 4)
+    df = spark.createDataFrame([("a", [float(v) for v in xi], int(yi > 0)) for xi, yi in zip(x, y)], "g string, x array<double>, y int").repartition(3)
+    got = L.fit_together(df, ["g"], 1, "descent", steps=4).collect()[0].w
+    assert got == pytest.approx(L.descent_fit(x, y, steps=4), abs=1e-9)
+
+
+def test_large_groups_settle_on_features_of_unlike_scale(spark):
+    """The damped fit over summed gradients ends where that of one task does."""
+    x, y = data(300, 5)
+    x = x * np.array([60.0, 1.0, 0.01])
+    df = spark.createDataFrame([("a", [float(v) for v in xi], int(yi > 0)) for xi, yi in zip(x, y)], "g string, x array<double>, y int").repartition(3)
+    for loss in ("logistic", "hinge"):
+        got = L.fit(df, ["g"], loss, hot_rows=100).collect()[0].w
+        assert got == pytest.approx(L.newton_fit(x, y, loss), abs=1e-6)
