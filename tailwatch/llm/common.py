@@ -50,6 +50,16 @@ def sized_broadcast(small: DataFrame, most_rows: int = 200_000) -> DataFrame:
     return F.broadcast(small) if small.limit(most_rows + 1).count() <= most_rows else small
 
 
+def joined_by_share(rows: DataFrame, table: DataFrame, key: str, share: int = 2000) -> DataFrame:
+    """Left join on ``key``, unique in ``table`` and never null. A key with over 1/``share`` of the rows is one of fewer than
+    ``share``: those are broadcast, the others are shuffled, so no task gets all rows of a common key."""
+    sizes = pin(rows.groupBy(key).agg(F.count("*").alias("_size")))
+    total = sizes.agg(F.sum("_size")).first()[0] or 0
+    common = F.broadcast(sizes.where(F.col("_size") * share > total).select(key))
+    there = F.broadcast(common.join(table, key, "left"))
+    return rows.join(there, key).unionByName(rows.join(common, key, "left_anti").join(table, key, "left"))
+
+
 def running_offsets(parts: DataFrame, part: str, amount: str, out: str) -> DataFrame:
     """Sum of ``amount`` over all smaller ``part``. One row per partition of a job goes in, however many rows those hold."""
     w = Window.orderBy(part).rowsBetween(Window.unboundedPreceding, -1)

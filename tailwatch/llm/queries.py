@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import checkpoint_dir, tune
-from . import bwt_dedup, kd_shards, language_id, minhash, mixing, packing, pivots, quality_votes, token_store, warc_zip
+from . import bwt_dedup, importance, kd_shards, language_id, minhash, mixing, oracle, packing, pivots, quality_votes, token_store, turn_repair, url_models, warc_zip
 from .common import read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -116,6 +116,31 @@ def op10_bwt_repeats(spark, sf_dir):
     return found.select("_row.doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+@query
+def op11_turn_repair(spark, sf_dir):
+    """Faults of every damaged conversation, its cheapest edits, and the hash of what they leave."""
+    rows = read(spark, sf_dir, "conversations")
+    found = turn_repair.digests(turn_repair.damaged(rows), rows.select(F.col("conv_id").alias("conv")))
+    return found.withColumnRenamed("conv", "conv_id")
+
+
+@query
+def op12_importance_resampling(spark, sf_dir):
+    """Every document's weight towards the benchmark texts, and the rank of those that are drawn."""
+    found = importance.resample(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", "n_features", "weight", "score", "rank")
+
+
+@query
+def op13_url_filter(spark, sf_dir):
+    """Every page's address, the rule that decides it, and the verdict of the rule or of the models."""
+    return url_models.judge(read(spark, sf_dir, "pages"))
+
+
+SQL["op11_turn_repair"] = oracle.TURN_REPAIR
+SQL["op12_importance_resampling"] = oracle.IMPORTANCE
+SQL["op13_url_filter"] = oracle.url_filter(url_models.RULES, url_models.ORDER, url_models.LEAST, url_models.FLOOR, url_models.STEPS, url_models.MOST_STEPS)
+
 _LETTERS = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'"
 
 #: Every pair that shares a shingle is counted and judged; labels then spread along the links until none is smaller.
