@@ -80,9 +80,16 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", hot
     return rows.select("_row", "shard", "key", "text").mapInArrow(cut, f"_row {kind}, kept binary, n_bytes long, n_removed long, n_spans long, cuts array<long>")
 
 
+#: In hexadecimal: bytes of a character whose beginning was cut away, and the beginning of one whose end was.
+_HEADLESS, _TAILLESS = "^(?:[89AB][0-9A-F])+", "(?:[CD][0-9A-F]|E[0-9A-F](?:[89AB][0-9A-F])?|F[0-7](?:[89AB][0-9A-F]){0,2})$"
+
+
 def kept_text() -> F.Column:
-    """The kept bytes as text; characters that a cut went through are dropped."""
-    return F.replace(F.make_valid_utf8(F.col("kept").cast("string")), F.lit("�"), F.lit(""))
+    """The kept bytes as text, from kept, cuts and n_bytes. A character that a cut went through is dropped; all others stay as they are."""
+    whole = f"decode(unhex(regexp_replace(regexp_replace(hex(substring(kept, s.pos + 1, p.b - p.a)), '{_HEADLESS}', ''), '{_TAILLESS}', '')), 'UTF-8')"
+    pieces = "transform(sequence(0, size(cuts) div 2), k -> named_struct('a', if(k = 0, 0L, get(cuts, 2 * k - 1)), 'b', if(k = size(cuts) div 2, n_bytes, get(cuts, 2 * k))))"
+    return F.expr(f"aggregate({pieces}, named_struct('pos', 0, 'out', ''), (s, p) -> named_struct('pos', cast(s.pos + p.b - p.a as int), 'out', concat(s.out, {whole})), s -> s.out)"
+                  .replace("p.b - p.a)", "cast(p.b - p.a as int))"))
 
 
 # Within tasks --------------------------------------------------------------------------------------------------------

@@ -64,12 +64,11 @@ def classify(docs: DataFrame, dictionaries: dict[str, bytes], text: str = "text"
             content = zstandard.ZstdCompressionDict(dictionaries[name], dict_type=zstandard.DICT_TYPE_RAWCONTENT)
             content.precompute_compress(level=LEVEL)
             coders.append(zstandard.ZstdCompressor(dict_data=content, write_content_size=False, write_checksum=False, write_dict_id=False))
-        letter = re.compile(r"[^\W\d_]")
         for batch in batches:
             texts = batch.column(len(rest)).to_pylist()
             pred, score, rejected = [], [], []
             for t in texts:
-                if not names or t is None or not letter.search(t):
+                if not names or t is None or not any(map(str.isalpha, t)):
                     pred.append("und"), score.append(0.0), rejected.append(True)
                     continue
                 data = letters_only(t)

@@ -1,19 +1,24 @@
 """Embedding near duplicates through a pivot-permutation index, verified by exact cosines.
 
-A vector is described by its ``PREFIX`` nearest pivots of ``PIVOTS`` reference points. Vectors that share at least
-``SHARED`` of them are candidates: each combination of that many pivots is an inverted list, so sharing enough pivots
-means sharing a list. Lists are cut into blocks and blocks are compared pair by pair in double precision, so no list has
-to fit a task. A pair counts in the first list that it shares only. A task hands on, for each vector of a block pair,
-how many links it found and the least vector of its linked part: never the pairs themselves.
-
-Pivots are a bounded sample: of the ``DRAWN`` vectors of smallest key hash, up to ``PIVOTS`` of which no two are closer than
-cosine ``APART``. A dense group so gives one pivot however many rows it holds; its members share that one, and their other
-places are set by pivots that lie far apart. Every row is indexed; fewer pivots make longer lists, never lost ones. Equal
-vectors of a label are one representative with a count, so copies cost nothing. Recall against brute force is in README.
+A vector is described by its nearest reference points (pivots), in order of nearness. Vectors that share at least ``SHARED``
+of them are candidates: each combination of that many pivots is an inverted list, so sharing enough pivots means sharing a
+list. Lists are cut into blocks and blocks are compared pair by pair in double precision, so no list has to fit a task. A
+pair counts in one of the lists that it shares: that of the common pivots which stand first in both orders (least sum of
+places). A task hands on, for each vector of a block pair, how many links it found and the least vector of its linked part:
+never the pairs themselves.
+
+The number of pivots grows with the square root of the vectors of the largest label (``pivot_count``), so that the lists
+that a vector shares by chance stay as many however many vectors there are; the described places grow with the pivots
+(``places``), so that near vectors keep sharing enough. Pivots are a bounded sample, a few times their number of vectors of
+smallest hash, of which no two chosen are closer than cosine ``APART``: a dense group gives one pivot however many rows it
+holds. Every row is indexed; fewer pivots make longer lists, never lost ones. Equal vectors of a label are one
+representative with a count, so copies cost nothing. Recall against brute force is in README.
 
 Defined results: null labels, null or empty or zero vectors and those with null or non-finite components are linked with
-nothing; vectors of different length are not compared; rows that repeat a key count as vectors of their own; an empty
-table gives an empty one. Extra columns are not read.
+nothing; vectors of different length are not compared, and each length has its own pivots; rows are told apart by label
+and vector, not by key: a key that occurs with several vectors is as many rows, each with its own links; a component's
+name is the least key that is not null in it, null where there is none; an empty table gives an empty one. Extra columns
+are not read.
 """
 
 from __future__ import annotations
@@ -23,17 +28,29 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import pin
 from .common import components
 
-PIVOTS, PREFIX, SHARED = 64, 6, 3
-DRAWN, APART = 2048, 0.7
+SHARED = 3
+FEWEST_PIVOTS, MOST_PIVOTS = 64, (1 << 20) - 1
+#: Vectors drawn for each pivot, and the cosine above which two are not both chosen.
+DRAWN, APART = 4, 0.7
 BLOCK_ROWS = 1024
 
 
+def pivot_count(rows: int) -> int:
+    """The power of two next to four times the square root."""
+    return min(MOST_PIVOTS, max(FEWEST_PIVOTS, 1 << round(np.log2(4 * max(rows, 1) ** 0.5))))
+
+
+def places(pivots: int) -> int:
+    """Described places: eight, and one more for each doubling of the pivots above 512."""
+    return 8 + max(0, (pivots - 1).bit_length() - 9)
+
+
 def near_vectors(vectors: DataFrame, key: str = "vec_id", vector: str = "embedding", label: str = "label", least: float = 0.93) -> DataFrame:
     """One row per vector: key, n_links, component."""
     rows = vectors.select(F.col(key).alias("id"), F.col(label).alias("label"), F.col(vector).alias("v"))
@@ -41,34 +58,43 @@ def near_vectors(vectors: DataFrame, key: str = "vec_id", vector: str = "embeddi
     usable = F.coalesce(F.col("label").isNotNull() & ~F.exists("v", bad) & F.exists("v", lambda x: x != 0), F.lit(False))
     rows = rows.withColumn("usable", usable)
     copies = rows.where("usable").groupBy("label", "v").agg(F.min("id").alias("rep"), F.count("*").alias("n"))
-    reps = pin(copies.withColumn("d", F.size("v")))
-    placed = rows.where("usable").select("id", "label", "v").join(reps.select("label", "v", "rep", "n"), ["label", "v"]).select("id", "rep", "n")
-    pivots = {d: [r["v"] for r in rs] for d, rs in _sample(reps).items()}
-    found = pin(_compared(reps, pivots, least))
-    links = found.groupBy("id").agg(F.sum("links").alias("links"))
-    groups = components(reps.select(F.col("rep").alias("id")), found.where("root < id").select(F.col("id").alias("a"), F.col("root").alias("b")))
-    known = placed.join(links.withColumnRenamed("id", "rep"), "rep", "left").join(groups.withColumnRenamed("id", "rep"), "rep")
-    known = known.select("id", (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("n_links"), "component")
+    reps = pin(copies.withColumn("d", F.size("v")).withColumn("u", F.monotonically_increasing_id()))
+    found = pin(_compared(reps, _sample(reps), least))
+    links = found.groupBy("u").agg(F.sum("links").alias("links"))
+    groups = pin(components(reps.select(F.col("u").alias("id")), found.where("root < u").select(F.col("u").alias("a"), F.col("root").alias("b"))).withColumnRenamed("id", "u"))
+    known = pin(reps.select("label", "v", "u", "rep", "n").join(links, "u", "left").join(groups, "u"))
+    names = known.groupBy("component").agg(F.min("rep").alias("name"))
+    known = known.join(names, "component").select("label", "v", (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("n_links"), F.col("name").alias("component"))
+    linked = rows.where("usable").select("id", "label", "v").join(known, ["label", "v"]).select("id", "n_links", "component")
     alone = rows.where("not usable").select("id", F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component"))
-    return known.unionByName(alone).withColumnRenamed("id", key)
+    return linked.unionByName(alone).withColumnRenamed("id", key)
 
 
-def _sample(reps: DataFrame) -> dict[int, list]:
-    """Pivots by vector length: a bounded number of vectors, none close to another."""
-    lengths = [r["d"] for r in reps.select("d").distinct().orderBy("d").limit(64).collect()]
-    drawn = lambda d: reps.where(F.col("d") == d).orderBy(F.xxhash64("rep"), "rep").limit(DRAWN).select("v").collect()
-    return {d: _thinned(drawn(d)) for d in lengths}
+def _sample(reps: DataFrame) -> dict[int, np.ndarray]:
+    """Pivots by vector length, none close to another. A row a length comes back, and a sample in proportion to the pivots."""
+    sizes = reps.groupBy("d", "label").agg(F.count("*").alias("n")).groupBy("d").agg(F.max("n").alias("n")).collect()
+    wanted = {r["d"]: pivot_count(r["n"]) for r in sizes}
+    if not wanted:
+        return {}
+    # the rank limit is applied before the shuffle
+    rank = F.row_number().over(Window.partitionBy("d").orderBy(F.xxhash64("v", "label"), "u"))
+    drawn: dict[int, list] = {}
+    for row in reps.withColumn("r", rank).where(F.col("r") <= DRAWN * max(wanted.values())).select("d", "r", "v").collect():
+        drawn.setdefault(row["d"], []).append((row["r"], row["v"]))
+    return {d: _thinned(_unit(np.array([v for r, v in sorted(vs) if r <= DRAWN * wanted[d]])), wanted[d]) for d, vs in drawn.items()}
 
 
-def _thinned(drawn: list) -> list:
+def _thinned(units: np.ndarray, most: int) -> np.ndarray:
     """The first vectors, in the given order, that are not close to one before them."""
-    units, chosen = _unit(np.array([r["v"] for r in drawn])), []
-    for i, u in enumerate(units):
-        if not chosen or (units[chosen] @ u).max() <= APART:
-            chosen.append(i)
-            if len(chosen) == PIVOTS:
-                break
-    return [drawn[i] for i in chosen]
+    chosen = np.empty((most, units.shape[1]))
+    n = 0
+    for u in units:
+        if n == most:
+            break
+        if not n or (chosen[:n] @ u).max() <= APART:
+            chosen[n] = u
+            n += 1
+    return chosen[:n]
 
 
 def _unit(v: np.ndarray) -> np.ndarray:
@@ -81,43 +107,61 @@ def _matrix(column: pa.Array, d: int) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).reshape(-1, d)
 
 
-def _compared(reps: DataFrame, pivots: dict[int, list], least: float) -> DataFrame:
-    """(id, links, root) from each pair of blocks of each list."""
-    units = {d: _unit(np.array(p)) for d, p in pivots.items()}
+def _lists_of(near: np.ndarray) -> np.ndarray:
+    """Numbers of the inverted lists of each row: its combinations of ``SHARED`` pivots; one list where there are fewer pivots."""
+    if near.shape[1] < SHARED:
+        return np.zeros((len(near), 1), np.int64)
+    ordered = np.sort(near, axis=1).astype(np.int64)
+    return np.stack([sum(ordered[:, c] << (20 * (SHARED - 1 - i)) for i, c in enumerate(combo)) for combo in combinations(range(near.shape[1]), SHARED)], axis=1)
+
+
+def _first_lists(near_a: np.ndarray, near_b: np.ndarray) -> np.ndarray:
+    """The list in which each pair counts: the common pivots of least summed places."""
+    if near_a.shape[1] < SHARED:
+        return np.zeros(len(near_a), np.int64)
+    same = near_a[:, :, None] == near_b[:, None, :]
+    place = np.arange(near_a.shape[1]) + same.argmax(axis=2)
+    rank = np.where(same.any(axis=2), (place << 20) + near_a, np.int64(1) << 60)
+    first = np.sort(np.sort(rank, axis=1)[:, :SHARED] & ((1 << 20) - 1), axis=1)
+    return sum(first[:, i] << (20 * (SHARED - 1 - i)) for i in range(SHARED))
+
+
+def _arrays(values: np.ndarray) -> pa.ListArray:
+    return pa.ListArray.from_arrays(pa.array(np.arange(len(values) + 1) * values.shape[1], pa.int32()), pa.array(values.ravel()))
+
+
+def _compared(reps: DataFrame, pivots: dict[int, np.ndarray], least: float) -> DataFrame:
+    """(u, links, root) from each pair of blocks of each list."""
 
     def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            lengths = batch.column(3).to_numpy()
+            lengths = batch.column(2).to_numpy()
             for d in np.unique(lengths):
                 own = batch.filter(pa.array(lengths == d))
-                near = np.argsort(-(_unit(_matrix(own.column(2), d)) @ units[d].T), axis=1, kind="stable")[:, :PREFIX]
-                near = np.sort(near, axis=1).astype(np.int32)
-                lists = pa.ListArray.from_arrays(pa.array(np.arange(len(near) + 1) * near.shape[1], pa.int32()), pa.array(near.ravel()))
-                yield pa.RecordBatch.from_arrays([own.column(0), own.column(1), own.column(2), own.column(3), own.column(4), lists], ["rep", "label", "v", "d", "n", "near"])
+                near = np.argsort(-(_unit(_matrix(own.column(1), d)) @ pivots[d].T), axis=1, kind="stable")[:, :places(len(pivots[d]))].astype(np.int32)
+                yield pa.RecordBatch.from_arrays([own.column(0), own.column(1), own.column(2), own.column(3), own.column(4), _arrays(near), _arrays(_lists_of(near))],
+                                                 ["u", "v", "d", "label", "n", "near", "lists"])
 
     kinds = dict(reps.dtypes)
-    described = reps.select("rep", "label", "v", "d", "n").mapInArrow(describe, f"rep {kinds['rep']}, label {kinds['label']}, v {kinds['v']}, d int, n long, near array<int>")
-    combos = F.array(*[F.concat_ws("-", *[F.get("near", F.lit(i)) for i in c]) for c in combinations(range(PREFIX), SHARED)])
-    # with fewer pivots than are to be shared, all of them make one list
-    combos = F.when(F.size("near") >= SHARED, F.filter(combos, lambda k: F.size(F.split(k, "-")) == SHARED)).otherwise(F.array(F.concat_ws("-", F.transform("near", lambda x: x.cast("string")))))
-    described = pin(described)
-    listed = described.select("rep", "label", "d", F.explode(combos).alias("list"))
+    described = pin(reps.select("u", "v", "d", "label", "n").mapInArrow(describe, f"u long, v {kinds['v']}, d int, label {kinds['label']}, n long, near array<int>, lists array<long>"))
+    listed = described.select("u", "label", "d", F.explode("lists").alias("list"))
     blocks = (listed.groupBy("label", "d", "list").agg(F.count("*").alias("m")).where("m > 1")
-              .withColumn("blocks", F.ceil(F.col("m") / BLOCK_ROWS).cast("int")))
-    mine = F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int")
-    dealt = described.withColumn("list", F.explode(combos)).join(pin(blocks).select("label", "d", "list", "blocks"), ["label", "d", "list"]).withColumn("mine", mine)
-    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+              .withColumn("blocks", F.ceil(F.col("m") / BLOCK_ROWS).cast("int")).drop("m"))
+    # lists of one vector are left out before vectors travel
+    live = listed.join(pin(blocks), ["label", "d", "list"]).select("u", "list", "blocks")
+    mine = F.pmod(F.xxhash64("u"), F.col("blocks")).cast("int")
+    dealt = live.join(described.drop("lists"), "u").withColumn("mine", mine).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     dealt = dealt.select(F.concat_ws("|", F.col("label").cast("string"), "d", "list", F.least("mine", "other"), F.greatest("mine", "other")).alias("task"),
-                         (F.col("mine") <= F.col("other")).cast("int").alias("side"), "rep", "v", "n", "near", "list", "d", (F.col("mine") == F.col("other")).alias("within"))
+                         (F.col("mine") <= F.col("other")).cast("int").alias("side"), "u", "v", "n", "near", "list", "d", (F.col("mine") == F.col("other")).alias("within"))
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in _groups(batches):
             if rows.num_rows < 2:
                 continue
-            d, own = rows["d"][0].as_py(), [int(x) for x in rows["list"][0].as_py().split("-")]
-            ids, mult = rows["rep"].to_numpy(), rows["n"].to_numpy()
-            units_, near = _unit(_matrix(rows["v"].combine_chunks(), d)), _matrix(rows["near"].combine_chunks(), len(rows["near"][0]))
-            close = units_ @ units_.T >= least
+            d, own = rows["d"][0].as_py(), rows["list"][0].as_py()
+            ids, mult = rows["u"].to_numpy(), rows["n"].to_numpy()
+            units, near = _unit(_matrix(rows["v"].combine_chunks(), d)), _matrix(rows["near"].combine_chunks(), len(rows["near"][0]))
+            close = units @ units.T >= least
             np.fill_diagonal(close, False)
             if not rows["within"][0].as_py():
                 side = rows["side"].to_numpy()
@@ -125,20 +169,18 @@ def _compared(reps: DataFrame, pivots: dict[int, list], least: float) -> DataFra
             at = np.argwhere(np.triu(close))
             if not len(at):
                 continue
-            # a pair counts where this list is the first of those that both share: its own pivots are their least common ones
-            common = (near[at[:, 0], :, None] == near[at[:, 1], None, :]).any(axis=2)
-            rank = np.cumsum(common, axis=1)
-            firsts = np.where(common & (rank <= len(own)), near[at[:, 0]], -1)
-            counted = at[(np.sort(firsts, axis=1)[:, -len(own):] == np.array(own)).all(axis=1)]
             links = np.zeros(len(ids), np.int64)
-            np.add.at(links, counted[:, 0], mult[counted[:, 1]])
-            np.add.at(links, counted[:, 1], mult[counted[:, 0]])
+            for lo in range(0, len(at), 1 << 17):
+                a, b = at[lo:lo + (1 << 17)].T
+                counted = _first_lists(near[a], near[b]) == own
+                np.add.at(links, a[counted], mult[b[counted]])
+                np.add.at(links, b[counted], mult[a[counted]])
             root = _roots(close, ids)
             keep = (links > 0) | (root < ids)
-            yield pa.RecordBatch.from_arrays([pa.array(ids[keep]), pa.array(links[keep]), pa.array(root[keep])], ["id", "links", "root"])
+            yield pa.RecordBatch.from_arrays([pa.array(ids[keep]), pa.array(links[keep]), pa.array(root[keep])], ["u", "links", "root"])
 
     spread = dealt.repartition("task").sortWithinPartitions("task")
-    return spread.mapInArrow(compare, f"id {kinds['rep']}, links long, root {kinds['rep']}")
+    return spread.mapInArrow(compare, "u long, links long, root long")
 
 
 def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:

@@ -100,20 +100,29 @@ class Encoder(dict):
     def __missing__(self, chunk: str) -> bytes:
         body = chunk.rstrip(CLOSING)
         tail = chunk[len(body):]
-        if body.isalpha() and body.isascii():
-            ids = self._merged(body.lower())
+        small = self._small(body)
+        if small is None:
+            ids, tail = self._packed(self.tokenizer.encode(chunk, add_special_tokens=False).ids), ""
+        elif small == chunk:
+            ids = self._merged(chunk if chunk.isascii() else "".join(map(self.letters.__getitem__, chunk.encode("utf-8"))))
         else:
-            small = "".join(c.lower() for c in body)
-            if body.isalpha() and small.isalpha() and is_normalized("NFC", body):
-                ids = self._merged("".join(map(self.letters.__getitem__, small.encode("utf-8"))))
-            else:
-                ids, tail = self._packed(self.tokenizer.encode(chunk, add_special_tokens=False).ids), ""
+            ids = self[small]  # merged once for all spellings and closing marks of a word
         if tail:
             ids += self[tail]
         if len(self) < MOST_CHUNKS:
             self[chunk] = ids
         return ids
 
+    @staticmethod
+    def _small(body: str) -> str | None:
+        """The run of small letters that the vocabulary makes of a run of letters; None where it may make something else of it."""
+        if not body.isalpha():
+            return None
+        if body.isascii():
+            return body.lower()
+        small = "".join(c.lower() for c in body)
+        return small if small.isalpha() and is_normalized("NFC", body) and is_normalized("NFC", small) and "".join(c.lower() for c in small) == small else None
+
     def _merged(self, run: str) -> bytes:
         """Ids of one run of letters, which the pre-tokenizer would hand to the merges as a whole."""
         return self._packed([t.id for t in self.merge(run)])

@@ -41,6 +41,27 @@ def test_odd_rows_pass_all_stages(spark):
         start.count()
 
 
+def test_repeated_keys_stay_apart(spark):
+    """Only near duplicates go: two texts under one key, and texts without a key, are documents of their own."""
+    one, two = " ".join(f"one{i}" for i in range(60)), " ".join(f"two{i}" for i in range(60))
+    rows = [(1, one, "en", "a", 1), (1, two, "en", "a", 1), (2, one + " more", "en", "a", 1), (None, two, "en", "a", 1), (None, "three " + one[:80], "en", "a", 1)]
+    docs = spark.createDataFrame(rows, spark.read.parquet(f"{SF}/documents.parquet").schema)
+    kept = corpus_pipeline.distinct_documents(spark, docs, SF)
+    assert kept.columns == docs.columns
+    assert sorted(((r.doc_id, r.text) for r in kept.collect()), key=str) == sorted([(1, one), (1, two), (None, "three " + one[:80])], key=str)
+
+
+def test_only_cut_characters_go(spark):
+    """A document keeps its own replacement signs; characters go that a cut went through, at both ends of it."""
+    shared = "ß" * 40
+    rows = [(1, "own a" + shared, "en", "a", 1), (2, "own \ufffd sign " + shared + "\u4e2d and \ufffd here", "en", "a", 1), (3, "é中😀" + "x" * 49 + "中é", "en", "a", 1), (4, "ü中😀" + "x" * 49 + "中ü", "en", "a", 1)]
+    docs = spark.createDataFrame(rows, spark.read.parquet(f"{SF}/documents.parquet").schema)
+    got = {r.doc_id: r.text for r in corpus_pipeline.without_repeats(spark, docs, SF).collect()}
+    assert got[1] == rows[0][1] and got[3] == rows[2][1]
+    assert got[2] == "own \ufffd sign " + "\u4e2d and \ufffd here"
+    assert got[4] == "ü"  # the last letter begins with the byte that é begins with, which is part of the passage
+
+
 def test_register():
     names = entry.queries()
-    assert {n.split("_")[0] for n in names if n.startswith("op")} >= {f"op{i}" for i in range(1, 11)} and "pipeline" in names
+    assert {n.split("_")[0] for n in names if n.startswith("op")} >= {f"op{i}" for i in range(1, 14)} and "pipeline" in names
