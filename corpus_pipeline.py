@@ -17,12 +17,17 @@ def good_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 def distinct_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """MinHash near-dedup on five-word shingles: the document of smallest key stays of each group.
 
-    Rows that repeat a key count as one document, the one of smallest text; rows without a key all stay.
+    Rows that repeat a key are documents of their own, and only go if their texts are near one that stays; so are rows
+    without a key, which come after all others of their group.
     """
-    kept = minhash.near_duplicates(docs).where(F.col("doc_id") == F.col("component")).select("doc_id").distinct()
-    keyed = docs.where(F.col("doc_id").isNotNull())
-    once = keyed.groupBy("doc_id").agg(F.min_by(F.struct("*"), F.coalesce("text", F.lit(""))).alias("_row"))
-    return once.join(kept, "doc_id", "left_semi").select("_row.*").unionByName(docs.where(F.col("doc_id").isNull()))
+    if docs.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1 or doc_id is null").isEmpty():
+        kept = minhash.near_duplicates(docs).where(F.col("doc_id") == F.col("component")).select("doc_id")
+        return docs.join(kept, "doc_id", "left_semi").select(docs.columns)
+    rows = pin(docs.withColumn("_place", F.monotonically_increasing_id()))
+    found = minhash.near_duplicates(rows.select("_place", "text"), "_place").join(rows.select("_place", "doc_id"), "_place")
+    first = F.min_by("_place", F.struct(F.col("doc_id").isNull(), "doc_id", "_place")).alias("_place")
+    kept = found.groupBy("component").agg(first).select("_place")
+    return rows.join(kept, "_place", "left_semi").select(docs.columns)
 
 
 def without_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
