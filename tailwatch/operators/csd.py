@@ -7,9 +7,10 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import signflip
 from .design import factorial_cells
 from .grouped import grouped_stats
-from .inference import SIGN_TOLERANCE, bootstrap_draws, factorial_cells_wide, holm, sign_masks
+from .inference import bootstrap_draws, factorial_cells_wide, holm
 
 SCALE_FLOOR = 1e-12
 MAD_FACTOR = 1.4826
@@ -105,19 +106,9 @@ def leave_one_out(means: DataFrame) -> DataFrame:
     return out.withColumn("absolute_change", F.abs(F.col("csd_without_feature") - F.col("csd"))).drop("_s", "_k")
 
 
-def signflip_vector(res: DataFrame, draws: int = 20000) -> DataFrame:
+def signflip_vector(res: DataFrame, draws: int | None = None) -> DataFrame:
     """Sign-flip test of the whole residual vector: one sign per repetition for all its features."""
-    reps = res.select(*KEYS, "repetition").distinct()
-    masks = sign_masks(reps, KEYS, "repetition", draws)
-    # (compound, repetition, mask) meets (compound, repetition, feature); partial means follow at once.
-    flipped = res.select(*KEYS, "repetition", "feature", "z").join(masks, [*KEYS, "repetition"])
-    by_feature = flipped.groupBy(*KEYS, "mask", "patterns", "feature").agg(F.avg(F.col("z") * F.col("sign")).alias("m"))
-    stats = by_feature.groupBy(*KEYS, "mask", "patterns").agg(F.sqrt(F.avg(F.pow("m", 2))).alias("stat"))
-    observed = csd(feature_means(res))
-    return stats.join(observed, KEYS).groupBy(*KEYS).agg(
-        F.first("csd").alias("csd"),
-        (F.count_if(F.col("stat") + SIGN_TOLERANCE >= F.col("csd")) / F.first("patterns")).alias("exact_p"),
-    )
+    return signflip.signflip_vector(res, KEYS, csd(feature_means(res)), draws=draws)
 
 
 def bootstrap_interval(res: DataFrame, resamples: int = 10000, seed: int = 7101, hot_rows: int | None = None) -> DataFrame:
@@ -140,7 +131,7 @@ def summary(res: DataFrame, robust: DataFrame, extended: DataFrame, runs: DataFr
         F.max("contribution_fraction").alias("largest_contribution_fraction"), F.count(F.lit(1)).alias("feature_count"))
     loo = leave_one_out(means).groupBy(*KEYS).agg(
         F.min("csd_without_feature").alias("loo_csd_min"), F.max("csd_without_feature").alias("loo_csd_max"))
-    tested = holm(signflip_vector(res), ["campaign_id"], "exact_p", "compound")
+    tested = holm(signflip_vector(res).drop("method"), ["campaign_id"], "exact_p", "compound")
     violations = runs.groupBy("campaign_id", F.col("condition_id").alias("compound")).agg(
         F.count_if(F.col("slo_violation_class") == "COMPOUND_SLO_VIOLATION").alias("compound_slo_runs"), F.count(F.lit(1)).alias("runs"))
     out = tested.join(contrib, KEYS).join(loo, KEYS).join(bootstrap_interval(res, resamples, seed), KEYS)

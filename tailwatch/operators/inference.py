@@ -16,9 +16,7 @@ from ..functions.student import t_p_value, t_quantile
 from .design import CONTROLS, comparisons, factorial_cells
 from .grouped import grouped_stats
 from .runs import COUNTED_METRICS, mean_interval, summarize_long
-
-EXACT_FLIP_LIMIT = 20
-SIGN_TOLERANCE = 1e-12
+from .signflip import signflip_mean  # noqa: F401
 
 
 def standardized_effect(mean: Column, sd: Column) -> Column:
@@ -251,38 +249,6 @@ def feature_shift(long: DataFrame, keys: Sequence[str], by_condition: bool = Fal
     })
 
 
-def _numbered(df: DataFrame, keys: Sequence[str], order: str) -> DataFrame:
-    from .ordered import with_rank
-
-    return with_rank(df, keys, [order], "_i", "_n")
-
-
-def sign_masks(df: DataFrame, keys: Sequence[str], order: str, draws: int = 20000, seed: int = 0) -> DataFrame:
-    """Each row times every sign pattern of its group: all 2^n up to twenty rows, hashed draws above.
-
-    Adds ``mask``, ``sign`` and ``patterns``. Row counts grow with patterns, never with row pairs.
-    """
-    rows = _numbered(df, keys, order).withColumn("_exact", F.col("_n") <= EXACT_FLIP_LIMIT)
-    patterns = F.when(F.col("_exact"), F.expr(f"shiftleft(1, cast(least(_n, {EXACT_FLIP_LIMIT}) as int))")).otherwise(draws)
-    grown = rows.withColumn("patterns", patterns).withColumn("mask", F.explode(F.sequence(F.lit(0), F.col("patterns") - 1)))
-    # The shift is an integer column, which the function form does not take.
-    exact = F.expr("cast(((shiftright(mask, least(_i - 1, 30)) & 1) * 2 - 1) as double)")
-    drawn = F.when(portable_uniform(seed, F.col("mask"), F.col("_i")) < 0.5, -1.0).otherwise(1.0)
-    return grown.withColumn("sign", F.when(F.col("_exact"), exact).otherwise(drawn)).drop("_i", "_n", "_exact")
-
-
-def signflip_mean(diffs: DataFrame, keys: Sequence[str], order: str, value: str = "value", draws: int = 20000) -> DataFrame:
-    """Two-sided sign-flip test on the absolute mean of each group."""
-    observed = diffs.groupBy(*keys).agg(F.avg(value).alias("mean"), F.count(value).alias("n"))
-    stats = sign_masks(diffs.where(F.col(value).isNotNull()), keys, order, draws).groupBy(*keys, "mask", "patterns").agg(
-        F.abs(F.avg(F.col(value) * F.col("sign"))).alias("stat"))
-    hits = stats.join(observed, list(keys)).groupBy(*keys).agg(
-        F.first("mean").alias("mean"), F.first("n").alias("n"),
-        (F.count_if(F.col("stat") >= F.abs(F.col("mean")) - SIGN_TOLERANCE) / F.first("patterns")).alias("signflip_p"),
-    )
-    return hits
-
-
 def bootstrap_draws(groups: DataFrame, keys: Sequence[str], resamples: int, seed: int) -> DataFrame:
     """How often each of ``n`` items is drawn in each resample, from a portable hash.
 

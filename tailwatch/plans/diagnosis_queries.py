@@ -330,7 +330,7 @@ def confirmatory_tests(spark, sf):
     lead = acc.where("method = 'D4-FULL'").select("campaign_id", "fold", F.col("a").alias("lead"))
     other = acc.where(F.col("method").isin("M1/F2", "D4-SM")).withColumnRenamed("method", "other")
     diffs = other.join(lead, ["campaign_id", "fold"]).withColumn("value", F.col("lead") - F.col("a"))
-    tested = I.holm(I.signflip_mean(diffs, ["campaign_id", "other"], "fold"), ["campaign_id"], "signflip_p", "other")
+    tested = I.holm(I.signflip_mean(diffs, ["campaign_id", "other"], "fold").drop("method"), ["campaign_id"], "signflip_p", "other")
     first = F.row_number().over(Window.partitionBy("campaign_id").orderBy("signflip_p", "other")) == 1
     return tested.withColumns({
         "shortcut_p": F.when(first, F.least(F.lit(1.0), 2 * F.col("signflip_p"))).otherwise(F.col("signflip_p")),

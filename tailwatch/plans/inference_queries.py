@@ -335,7 +335,7 @@ _FLIP = """SELECT campaign_id, compound, max(csd) AS csd, count(*) FILTER (WHERE
   JOIN csds USING (campaign_id, compound) GROUP BY campaign_id, compound"""
 
 
-@query("signflip_vector", "T17 J23", _FLIP, "csd exact_p")
+@query("signflip_vector", "T17 J23", f"SELECT *, 'exact' AS method FROM ({_FLIP})", "csd exact_p")
 def signflip_vector(spark, sf):
     return C.signflip_vector(residuals(spark, sf))
 
@@ -345,7 +345,7 @@ _PAIR_FLIP = """SELECT campaign_id, mechanism, any_value(mean) AS mean, any_valu
   JOIN (SELECT campaign_id, mechanism, avg(delta) AS mean, count(*) AS n FROM pairs GROUP BY ALL) USING (campaign_id, mechanism) GROUP BY campaign_id, mechanism"""
 
 
-@query("signflip_mean", "T18", _PAIR_FLIP, "mean signflip_p")
+@query("signflip_mean", "T18", f"SELECT *, 'exact' AS method FROM ({_PAIR_FLIP})", "mean signflip_p")
 def signflip_mean(spark, sf):
     return I.signflip_mean(I.matched_pairs(V.runs(spark, sf)), ["campaign_id", "mechanism"], "repetition", "delta")
 
