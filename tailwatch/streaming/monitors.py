@@ -1,39 +1,45 @@
 """Streaming monitors. Each takes and returns DataFrames and works on batch frames too, so the batch
-twin is the same code. State is bounded by watermarks, except the per-run lifecycle state, which is a
-few fields per open run."""
+twin is the same code. State is bounded by watermarks. Monitors that need events in order are in ``stateful``."""
 
 from __future__ import annotations
 
 import uuid
-from collections.abc import Iterator, Sequence
+from collections.abc import Sequence
 
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from ..operators.quality import TRANSITIONS
 from ..session import checkpoint_dir
+from .stateful import state_store
+
+
+#: Accuracy of the quantile summaries in window state.
+SUMMARY = 10_000
 
 
 def run_available(stream: DataFrame) -> DataFrame:
     """Process what is available in append mode into a written table, and read that table."""
     spark = stream.sparkSession
     base = f"{checkpoint_dir(spark)}/stream-{uuid.uuid4().hex}"
-    q = (stream.writeStream.outputMode("append").format("parquet").option("path", f"{base}/out")
-         .option("checkpointLocation", f"{base}/state").trigger(availableNow=True).start())
-    q.awaitTermination()
+    with state_store(spark):
+        q = (stream.writeStream.outputMode("append").format("parquet").option("path", f"{base}/out")
+             .option("checkpointLocation", f"{base}/state").trigger(availableNow=True).start())
+        q.awaitTermination()
     return spark.read.schema(stream.schema).parquet(f"{base}/out")
 
 
 def slo_windows(requests: DataFrame, ts: str, keys: Sequence[str], limit: float, width: str = "1 hour", delay: str = "10 minutes") -> DataFrame:
-    """Requests, violations and latency per window. The stream's p95 is approximate, the batch's exact
-    percentile lives in the run aggregates."""
+    """Requests, violations and latency per window.
+
+    p95_latency is a latency of the window: the state holds a mergeable quantile summary of at most some thousand values,
+    whatever the window, and the rank of the value returned is within n / SUMMARY of the exact one for n latencies (exact
+    up to SUMMARY latencies).
+    """
     lat = F.col("completion_time") - F.col("actual_arrival")
     timed = requests.withColumn("_lat", F.when(F.col("status") == "success", lat)).withWatermark(ts, delay)
     out = timed.groupBy(F.window(ts, width).alias("w"), *keys).agg(
         F.count(F.lit(1)).alias("requests"), F.count_if(F.col("_lat") > limit).alias("violations"), F.max("_lat").alias("max_latency"),
-        F.percentile_approx("_lat", 0.95, 10000).alias("p95_latency"))
+        F.percentile_approx("_lat", 0.95, SUMMARY).alias("p95_latency"))
     return out.select(F.col("w.start").alias("window_start"), *keys, "requests", "violations", "max_latency", "p95_latency")
 
 
@@ -51,46 +57,6 @@ def late_timing(requests: DataFrame, timings: DataFrame, key: str, ts: str, timi
     return out.withColumn("resolved", F.col("_key").isNotNull().cast("int")).drop("_key")
 
 
-LIFECYCLE_OUT = "run_id string, subject string, code string"
-LIFECYCLE_STATE = "state string, last_time double, terminals int"
-
-
-def _lifecycle(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    at, last, ends = state.get if state.exists else (None, None, 0)
-    found = []
-    # a run's new events come in several Arrow batches; their order holds over all of them
-    parts = list(batches)
-    for pdf in [pd.concat(parts)] if parts else []:
-        for row in pdf.sort_values("event_seq", kind="stable").itertuples():
-            if last is not None and row.monotonic_time < last:
-                found.append((str(row.event_seq), "event_time_not_monotonic"))
-            last = float(row.monotonic_time)
-            if row.event_type != "state":
-                continue
-            if row.state not in TRANSITIONS:
-                found.append((row.state, "unknown_lifecycle_state"))
-                continue
-            if at is None:
-                if row.state != "PLANNED":
-                    found.append((row.state, "lifecycle_not_started_at_planned"))
-            elif row.state not in TRANSITIONS[at]:
-                found.append((f"{at}>{row.state}", "illegal_lifecycle_transition"))
-            at = row.state
-            if row.state in ("COMPLETE", "FAILED"):
-                ends += 1
-                if ends > 1:
-                    found.append((key[0], "terminal_state_count"))
-    state.update((at, last, ends))
-    yield pd.DataFrame([(key[0], s, c) for s, c in found], columns=["run_id", "subject", "code"])
-
-
-def lifecycle(events: DataFrame) -> DataFrame:
-    """State machine of each run over its event stream, in the order of its numbers within what a trigger brings.
-    A missing terminal state cannot be told while the stream runs; the batch rule reports it. A run's state is three values;
-    it is not dropped, as a second terminal state may come at any time."""
-    return events.groupBy("run_id").applyInPandasWithState(_lifecycle, LIFECYCLE_OUT, LIFECYCLE_STATE, "append", GroupStateTimeout.NoTimeout)
-
-
 def drift(samples: DataFrame, windows: DataFrame, keys: Sequence[str], observed: str, tolerance: float) -> DataFrame:
     """Samples inside an active window whose value strays from the expected one. The windows are a
     static table; the join is on the run key."""
