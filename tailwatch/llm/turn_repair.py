@@ -302,19 +302,21 @@ def _sliced(ordered: DataFrame) -> DataFrame:
     return pin(ranged.mapInArrow(slices, f"{fields}, part int, at long, matrix array<long>"))
 
 
-def _in_order(turns: DataFrame) -> DataFrame:
-    return turns.repartition("part").sortWithinPartitions("part", "at")
+def _in_order(turns: DataFrame, parts: int) -> DataFrame:
+    """Each part in a task of its own, in order."""
+    return turns.repartitionById(parts, "part").sortWithinPartitions("part", "at")
 
 
-def _chains(sliced: DataFrame) -> list[list]:
-    """Slices of cut conversations, in order."""
+def _chains(sliced: DataFrame) -> tuple[list[list], int]:
+    """Slices of cut conversations, in order; and how many parts there are."""
     chains: list[list] = []
-    for row in sorted(sliced.where("matrix is not null").select("part", "at", "conv", "matrix").collect(), key=lambda r: (r["part"], r["at"])):
+    rows = sorted(sliced.where("matrix is not null").select("part", "at", "conv", "matrix").collect(), key=lambda r: (r["part"], r["at"]))
+    for row in rows:
         if chains and chains[-1][-1]["conv"] == row["conv"] and chains[-1][-1]["part"] != row["part"]:
             chains[-1].append(row)
         else:
             chains.append([row])
-    return [c for c in chains if len(c) > 1]
+    return [c for c in chains if len(c) > 1], rows[-1]["part"] + 1 if rows else 1
 
 
 def edits(turns: DataFrame) -> DataFrame:
@@ -325,7 +327,7 @@ def edits(turns: DataFrame) -> DataFrame:
     Further copies are deleted. ``more`` are the roles inserted after a conversation's last turn.
     """
     sliced = _sliced(with_symbols(with_repeats(turns)))
-    chains = _chains(sliced)
+    chains, parts = _chains(sliced)
     costs: dict[tuple[int, object], Vector] = {}
     for chain in chains:
         now = at_end()
@@ -335,20 +337,20 @@ def edits(turns: DataFrame) -> DataFrame:
     rows = sliced.where("matrix is null").drop("matrix")
     known: dict[tuple[int, object], tuple[Vector, int, bool]] = {}
     if chains:
-        ways = _exits(rows, costs)
+        ways = _exits(rows, costs, parts)
         for chain in chains:
             state = 0
             for row in chain:
                 name = row["part"], row["conv"]
                 known[name] = costs[name], state, row is chain[-1]
                 state = ways[name][state]
-    return _unrolled(rows, known)
+    return _unrolled(rows, known, parts)
 
 
-def _exits(rows: DataFrame, costs: dict[tuple[int, object], Vector]) -> dict[tuple[int, object], list[int]]:
+def _exits(rows: DataFrame, costs: dict[tuple[int, object], Vector], parts: int) -> dict[tuple[int, object], list[int]]:
     """Where each slice of a cut conversation leads from each state. One row a slice comes back, at most two a partition."""
     kind = rows.schema["conv"].dataType.simpleString()
-    parts = sorted({p for p, _ in costs})
+    cut = sorted({p for p, _ in costs})
 
     def leads(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for (part, conv), runs in _slices_of(batches):
@@ -356,7 +358,7 @@ def _exits(rows: DataFrame, costs: dict[tuple[int, object], Vector]) -> dict[tup
                 yield pa.RecordBatch.from_pylist([{"part": part, "conv": conv, "exits": exits(runs, costs[part, conv])}], schema=out)
 
     out = pa.schema([("part", pa.int32()), ("conv", _arrow_type(rows, "conv")), ("exits", pa.list_(pa.int32()))])
-    narrow = _in_order(rows.where(F.col("part").isin(parts)).select("part", "at", "conv", "symbol")).select("part", "conv", "symbol")
+    narrow = _in_order(rows.where(F.col("part").isin(cut)).select("part", "at", "conv", "symbol"), parts).select("part", "conv", "symbol")
     return {(r["part"], r["conv"]): r["exits"] for r in narrow.mapInArrow(leads, f"part int, conv {kind}, exits array<int>").collect()}
 
 
@@ -374,7 +376,7 @@ def _slices_of(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[tuple[int, o
         yield name, runs
 
 
-def _unrolled(rows: DataFrame, known: dict[tuple[int, object], tuple[Vector, int, bool]]) -> DataFrame:
+def _unrolled(rows: DataFrame, known: dict[tuple[int, object], tuple[Vector, int, bool]], parts: int) -> DataFrame:
     kinds = dict(rows.dtypes)
     columns = ["part", "conv", "symbol", "n", "turn", "role", "name", "fault"]
     fields = ", ".join(f"{c} {kinds[c]}" for c in columns[1:2] + columns[3:])
@@ -419,7 +421,7 @@ def _unrolled(rows: DataFrame, known: dict[tuple[int, object], tuple[Vector, int
         if ready:
             yield _one(ready)
 
-    return _in_order(rows).select(columns).mapInArrow(decide, f"{fields}, letters string, roles array<int>, more array<int>")
+    return _in_order(rows, parts).select(columns).mapInArrow(decide, f"{fields}, letters string, roles array<int>, more array<int>")
 
 
 def _one(batches: list[pa.RecordBatch]) -> pa.RecordBatch:
