@@ -145,13 +145,15 @@ def recall_loss(cause_table: DataFrame, clean: DataFrame, point: Sequence[str],
     return cause_table.join(ref, [*base, "cause"]).withColumn("recall_loss", F.col("clean_recall") - F.col("recall"))
 
 
-def pair_worst_cases(preds: DataFrame, keys: Sequence[str], cases: dict[str, tuple[str, float | None]]) -> DataFrame:
-    """Mean exact accuracy of named (family, severity) cases per compound pair, as columns."""
-    exact = F.col("correct").cast("double")
+def pair_worst_cases(preds: DataFrame, keys: Sequence[str], point: Sequence[str], cases: dict[str, tuple[str, float | None]]) -> DataFrame:
+    """Exact accuracy of each compound pair in named (family, severity) cases, as columns: the mean over realisations, and
+    the worst of all lost channels."""
+    who = [*keys, "condition_id"]
+    at = preds.where("true_degree = 2").groupBy(*who, *point).agg(F.avg(F.col("correct").cast("double")).alias("y"))
 
     def case(family, severity):
         hit = F.col("family") == family
-        return F.avg(F.when(hit if severity is None else hit & (F.col("severity") == severity), exact))
+        return F.avg(F.when(hit if severity is None else hit & (F.col("severity") == severity), F.col("y")))
 
-    return preds.where("true_degree = 2").groupBy(*keys, F.col("condition_id").alias("compound_pair")).agg(
-        *[case(f, s).alias(n) for n, (f, s) in cases.items()])
+    return at.groupBy(*keys, F.col("condition_id").alias("compound_pair")).agg(
+        *[case(f, s).alias(n) for n, (f, s) in cases.items()], F.min(F.when(F.col("family") == "channel_loss", F.col("y"))).alias("worst_channel"))

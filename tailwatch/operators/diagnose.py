@@ -194,21 +194,27 @@ def group_scores(z: DataFrame, keys: Sequence[str], registry: DataFrame) -> Data
         *[of(g, "a").alias(g) for g in "SMT"], of("M", "x").alias("X"), *[of(g, "p").alias(f"{g}_pos") for g in "SMT"])
 
 
-def normalized_groups(scores: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Each group score against its training distribution where the cause is absent."""
-    who = [*keys, "cause", "f3"]
+def group_stats(train: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Mean and floored SD of each group score over training rows where the cause is absent."""
     absent = F.col("label") == 0
-    train = scores.where("role = 'train'")
     aggs = []
     for g in GROUPS:
         v = F.when(absent, F.col(g))
         aggs += [F.avg(v).alias(f"{g}_mu"), F.greatest(
             F.coalesce(F.stddev_samp(v), F.lit(0.0)), VARIANCE_FLOOR * F.coalesce(F.stddev_samp(g), F.lit(0.0)), F.lit(NUMERICAL_FLOOR)).alias(f"{g}_sg")]
-    stats = train.groupBy(*who).agg(*aggs)
-    return scores.join(stats, who).withColumns({f"{g}_norm": (F.col(g) - F.col(f"{g}_mu")) / F.col(f"{g}_sg") for g in GROUPS}).drop(
+    return train.groupBy(*keys, "cause", "f3").agg(*aggs)
+
+
+def with_group_stats(scores: DataFrame, stats: DataFrame, keys: Sequence[str]) -> DataFrame:
+    return scores.join(stats, [*keys, "cause", "f3"]).withColumns({f"{g}_norm": (F.col(g) - F.col(f"{g}_mu")) / F.col(f"{g}_sg") for g in GROUPS}).drop(
         *[f"{g}_{s}" for g in GROUPS for s in ("mu", "sg")])
 
 
+def normalized_groups(scores: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Each group score against its training distribution where the cause is absent."""
+    return with_group_stats(scores, group_stats(scores.where("role = 'train'"), keys), keys)
+
+
 def evidence(norm: DataFrame) -> DataFrame:
     """Evidence E of every variant, as rows."""
     n = lambda g: F.col(f"{g}_norm")
@@ -226,14 +232,21 @@ def evidence(norm: DataFrame) -> DataFrame:
         {"method": F.col("_v.method"), "E": F.col("_v.E")}).drop("_v", "f3")
 
 
-def with_margins(ev: DataFrame, keys: Sequence[str], quantiles: Sequence[float] = (0.95,), hot_rows: int | None = None) -> DataFrame:
+def thresholds(train: DataFrame, keys: Sequence[str], quantiles: Sequence[float] = (0.95,), hot_rows: int | None = None) -> DataFrame:
     """Threshold of each cause: a quantile of absent training evidence. Several quantiles become rows."""
     who = [*keys, "method", "cause"]
     names = {f"_q{i}": q for i, q in enumerate(quantiles)}
-    tau = grouped_stats(ev.where("role = 'train' and label = 0"), who, (), {"E": names}, hot_rows)
+    tau = grouped_stats(train.where("label = 0"), who, (), {"E": names}, hot_rows)
     stacked = F.explode(F.array(*[F.struct(F.lit(q).alias("q"), F.col(n).alias("tau")) for n, q in names.items()]))
-    tau = tau.select(*who, stacked.alias("t")).select(*who, "t.q", "t.tau")
-    return ev.join(tau, who).withColumn("margin", F.col("E") - F.col("tau"))
+    return tau.select(*who, stacked.alias("t")).select(*who, "t.q", "t.tau")
+
+
+def over_thresholds(ev: DataFrame, tau: DataFrame, keys: Sequence[str]) -> DataFrame:
+    return ev.join(tau, [*keys, "method", "cause"]).withColumn("margin", F.col("E") - F.col("tau"))
+
+
+def with_margins(ev: DataFrame, keys: Sequence[str], quantiles: Sequence[float] = (0.95,), hot_rows: int | None = None) -> DataFrame:
+    return over_thresholds(ev, thresholds(ev.where("role = 'train'"), keys, quantiles, hot_rows), keys)
 
 
 def ranked_sets(margins: DataFrame, keys: Sequence[str]) -> DataFrame:

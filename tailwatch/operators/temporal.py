@@ -7,12 +7,12 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.core import portable_uniform
 from .derive import prefill_proxy
-from .grouped import grouped_stats
+from .grouped import HOT_ROWS, grouped_stats, hot_groups
 from .ordered import with_lag, with_rank
 
 RUN = ["campaign_id", "condition_id", "repetition", "run_id"]
@@ -100,6 +100,33 @@ def quarter_features(positioned: DataFrame, keys: list[str], hot_rows: int | Non
     return out.select(*keys, "metric", "n", *[F.when(fits, F.col(c)).alias(c) for c in ("early_median", "late_median", "late_minus_early", "normalized_slope")])
 
 
+def order_features(series: DataFrame, keys: list[str], metrics: Sequence[str] = tuple(SERIES_METRICS), hot_rows: int | None = None) -> DataFrame:
+    """``quarter_features`` of all metrics from one ordering: keys, metric, n and the four statistics.
+
+    ``series`` has a row per position (rn, n) with a column per metric. One window counts the values met so far of every
+    metric, one group-by takes medians and regression sums; a slope over ranks becomes one over [0, 1] by the number of
+    ranks. Groups that do not fit a task go the melted way, which splits them.
+    """
+    if hot_groups(series, keys, HOT_ROWS if hot_rows is None else hot_rows)[1] > 0:
+        return quarter_features(melt(series, keys, ("rn", "n"), metrics), keys, hot_rows)
+    upto = Window.partitionBy(*keys).orderBy("rn").rowsBetween(Window.unboundedPreceding, 0)
+    q = quarter(F.col("n"))
+    seen = series.withColumns({f"_r_{m}": F.count(m).over(upto) for m in metrics})
+    aggs = []
+    for m in metrics:
+        early, late = F.when(F.col("rn") <= q, F.col(m)), F.when(F.col("rn") > F.col("n") - q, F.col(m))
+        aggs += [F.percentile(early, 0.5).alias(f"_e_{m}"), F.percentile(late, 0.5).alias(f"_l_{m}"), F.count(m).alias(f"_m_{m}"),
+                 F.regr_slope(F.col(m), F.col(f"_r_{m}").cast("double")).alias(f"_s_{m}")]
+    wide = seen.groupBy(*keys).agg(F.max("n").alias("n"), *aggs)
+    fits = F.col("n") >= 2 * q
+    entry = lambda m: F.struct(
+        F.lit(m).alias("metric"), F.when(fits, F.col(f"_e_{m}")).alias("early_median"), F.when(fits, F.col(f"_l_{m}")).alias("late_median"),
+        F.when(fits, F.col(f"_l_{m}") - F.col(f"_e_{m}")).alias("late_minus_early"),
+        F.when(fits & (F.col(f"_m_{m}") >= 2), F.col(f"_s_{m}") * (F.col(f"_m_{m}") - 1)).alias("normalized_slope"))
+    return wide.select(*keys, "n", F.explode(F.array(*[entry(m) for m in metrics])).alias("_o")).select(*keys, "_o.metric", "n", *[f"_o.{c}" for c in (
+        "early_median", "late_median", "late_minus_early", "normalized_slope")])
+
+
 def fixed_window_features(positioned: DataFrame, keys: list[str], window: int = 10, hot_rows: int | None = None) -> DataFrame:
     return early_late(positioned, keys, window, hot_rows).join(strict_slope(positioned, keys), [*keys, "metric"], "left")
 
@@ -127,6 +154,24 @@ def subsampled(series: DataFrame, keys: list[str], fraction: float, seed: int, h
     return with_rank(kept, keys, ["ordinal"], "rn", "n", hot_rows)
 
 
+def sampled_grid(series: DataFrame, keys: list[str], fractions: Sequence[float], seeds: Column, hot_rows: int | None = None) -> DataFrame:
+    """``subsampled`` for every seed and fraction at once: adds seed and severity, renews rn and n.
+
+    Each seed orders a run's requests once; the fractions take longer and longer prefixes of that order, so they are nested.
+    """
+    drawn = series.drop("rn", "n").withColumn("seed", F.explode(seeds)).withColumn("_u", portable_uniform(F.col("seed"), F.col("run_id"), F.col("ordinal")))
+    ranked = with_rank(drawn, [*keys, "seed"], ["_u", "ordinal"], "_k", "_n", hot_rows)
+    some = ranked.withColumn("severity", F.explode(F.array(*[F.lit(float(f)) for f in fractions])))
+    kept = some.where(F.col("_k") <= F.greatest(F.lit(1), F.bround(F.col("_n") * F.col("severity")).cast("int"))).drop("_u", "_k", "_n")
+    return with_rank(kept, [*keys, "seed", "severity"], ["ordinal"], "rn", "n", hot_rows)
+
+
+def delayed_grid(series: DataFrame, shifts: Sequence[int]) -> DataFrame:
+    """``delayed`` for every shift at once: adds severity, moves rn."""
+    moved = series.withColumn("_d", F.explode(F.array(*[F.lit(d) for d in shifts]))).withColumn("rn", F.col("rn") + F.col("_d"))
+    return moved.where(F.col("rn") <= F.col("n")).withColumn("severity", F.col("_d").cast("double")).drop("_d")
+
+
 def in_flight(requests: DataFrame, keys: list[str] = RUN, cap: int | None = None, hot_rows: int | None = None) -> DataFrame:
     """Requests outstanding just after each arrival, from +1/-1 events in time order; completions at
     the same instant count first."""

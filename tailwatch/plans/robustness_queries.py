@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import re
+from functools import reduce
 
 from pyspark.sql import functions as F
 
+from ..functions.core import unpivot
 from ..operators import cost as K
 from ..operators import degrade as R
 from ..operators import derive as D
@@ -17,117 +19,231 @@ from ..operators import scoring as S
 from ..operators.grouped import grouped_stats
 from ..sources.driver_views import RUN
 from . import tables as V
-from .diagnosis_oracle import CAUSE_DOUBLES, PRED_COLS, WHO, cause_metrics_sql, names, set_metrics_sql
-from .diagnosis_queries import FOLD, domains, features, split
+from .diagnosis_oracle import CAUSE_DOUBLES, PRED_COLS, WHO, cause_metrics_sql, mean_present, names, ranked_sql, set_metrics_sql
+from .diagnosis_queries import domains, features
 from .oracle import RUN as RUN_SQL
 from .oracle import TABLES, t_half, uniform, values
 from .registry import query
+from .temporal_queries import delayed_order, sampled_order
 
 POINT = ["family", "severity", "seed", "lost"]
-CHANNELS = [c for c in FT.LOST_CHANNELS if c[:2] in ("C1", "C2", "C3", "C5", "C6", "C7")]
-# The grid is scored by the method trained on all conditions, so its tables mirror the plain ones.
-_MIRROR = ["spl", "sp2", "fills", "scal", "zz", "cent", "predc"]
-for _name in _MIRROR:
-    _sql = TABLES[_name]
-    for _other in _MIRROR:
-        _sql = re.sub(rf"\b{_other}\b", f"p{_other}", _sql)
-    TABLES[f"p{_name}"] = _sql.replace(" WHERE fold = repetition OR degree <= 1", "")
-_SEV = "[0.1::DOUBLE, 0.25::DOUBLE, 0.5::DOUBLE]"
-_TEST = "(SELECT * FROM psp2 WHERE role = 'test')"
-TABLES["gmiss"] = f"""SELECT {WHO}, fold, feature, CASE WHEN {uniform('CAST(seed AS VARCHAR)', 'run_id', 'feature')} >= severity THEN value END AS value, 'missingness' AS family, severity, seed, CAST(NULL AS VARCHAR) AS lost
-  FROM {_TEST}, (SELECT unnest({_SEV}) AS severity), (SELECT unnest([8101, 8102]) AS seed)"""
+#: A model belongs to a pair of campaigns (source, target) and a fold of the source; fold 0 leaves nothing out and serves the target.
+MODEL = ["pair_id", "fold"]
+CHANNELS = list(FT.LOST_CHANNELS)
+# Seeds of the source campaign's realisations; the target's are a hundred higher.
+MISSING_SEEDS, SAMPLING_SEEDS, NOISE_SEEDS = tuple(range(8101, 8111)), tuple(range(8301, 8311)), tuple(range(8501, 8511))
+FULL_EVIDENCE = ("D4-FULL", "D4-FULL-F3")
+ALL_FEATURES = sorted({*FT.F2T, *FT.F3, *FT.PREFILL})
+
+# Reference tables. Training rows are the clean runs of the source with at most one cause; test rows stand once a point of the grid.
+_PAIR = "CAST(floor(campaign_id / 2) AS BIGINT)"
+_POINTS = "family, severity, seed, lost"
+_NONE = "CAST(NULL AS DOUBLE) AS severity, CAST(NULL AS INT) AS seed, CAST(NULL AS VARCHAR) AS lost"
+_SHIFTED = "+ CAST(100 * (campaign_id % 2) AS INT)"
+WHO_R = f"pair_id, {WHO}, {_POINTS}"
+TABLES["rtrain"] = f"""SELECT l.*, {_PAIR} AS pair_id, fold, 'train' AS role, 'train' AS family, {_NONE} FROM labf l, (SELECT unnest([0, 1, 2, 3, 4, 5, 6, 7, 8]) AS fold)
+  WHERE campaign_id % 2 = 0 AND degree <= 1 AND fold <> repetition"""
+TABLES["rtest"] = f"SELECT *, {_PAIR} AS pair_id, CASE WHEN campaign_id % 2 = 0 THEN repetition ELSE 0 END AS fold, 'test' AS role FROM labf"
+_levels = lambda levels: "[" + ", ".join(f"{x}::DOUBLE" for x in levels) + "]"
+_seeds = lambda seeds: "[" + ", ".join(map(str, seeds)) + "]"
+TABLES["rmiss"] = f"""SELECT * REPLACE (CASE WHEN {uniform('CAST(seed AS VARCHAR)', 'run_id', 'feature')} >= severity THEN value END AS value) FROM (
+  SELECT t.*, 'missingness' AS family, severity, s {_SHIFTED} AS seed, CAST(NULL AS VARCHAR) AS lost FROM rtest t, (SELECT unnest({_levels(R.MISSING_LEVELS)}) AS severity), (SELECT unnest({_seeds(MISSING_SEEDS)}) AS s))"""
 _u1 = f"greatest({uniform('CAST(seed AS VARCHAR)', 'run_id', 'feature', repr('a'))}, 1e0 / 4294967296e0)"
 _u2 = uniform("CAST(seed AS VARCHAR)", "run_id", "feature", repr("b"))
-TABLES["trsd"] = "SELECT campaign_id, fold, feature, stddev_samp(value) AS sd FROM psp2 WHERE role = 'train' GROUP BY ALL"
-TABLES["gnoise"] = f"""SELECT {WHO}, fold, feature, CASE WHEN sd * severity > 0 AND value IS NOT NULL THEN
-    CASE WHEN regexp_matches(feature, '{"|".join(FT.NONNEGATIVE_TOKENS)}') THEN greatest(0, noisy) ELSE noisy END ELSE value END AS value, 'noise' AS family, severity, seed, CAST(NULL AS VARCHAR) AS lost
-  FROM (SELECT t.*, s.sd, severity, seed, value + s.sd * severity * (sqrt(-2 * ln({_u1})) * cos(6.283185307179586::DOUBLE * {_u2})) AS noisy
-    FROM {_TEST} t LEFT JOIN trsd s USING (campaign_id, fold, feature), (SELECT unnest({_SEV}) AS severity), (SELECT unnest([8501, 8502]) AS seed))"""
-TABLES["gloss"] = f"""SELECT {WHO}, fold, t.feature, CASE WHEN h.lost IS NULL THEN value END AS value, 'channel_loss' AS family, CAST(NULL AS DOUBLE) AS severity, CAST(NULL AS INT) AS seed, c.lost
-  FROM {_TEST} t CROSS JOIN (SELECT unnest([{names(CHANNELS)}]) AS lost) c LEFT JOIN ({values([(c, f) for c in CHANNELS for f in FT.LOST_CHANNELS[c]], 'lost, feature')}) h ON h.lost = c.lost AND h.feature = t.feature"""
-TABLES["gall"] = "SELECT * FROM gmiss UNION ALL SELECT * FROM gnoise UNION ALL SELECT * FROM gloss"
-TABLES["gz"] = f"SELECT {WHO}, fold, feature, family, severity, seed, lost, (coalesce(value, fill) - mu) / sd AS z FROM gall JOIN pscal USING (campaign_id, fold, feature)"
-TABLES["gpred"] = f"""SELECT family, severity, seed, lost, {PRED_COLS} FROM (
-  SELECT *, cell AS predicted_set, row_number() OVER (PARTITION BY run_id, fold, family, severity, seed, lost ORDER BY d, cell) AS k FROM (
-    SELECT {', '.join('t.' + x.strip() for x in WHO.split(','))}, t.fold, t.family, t.severity, t.seed, t.lost, c.cell, sqrt(sum((t.z - c.c) * (t.z - c.c))) AS d
-    FROM gz t JOIN pcent c ON c.campaign_id = t.campaign_id AND c.fold = t.fold AND c.feature = t.feature GROUP BY ALL)) WHERE k = 1"""
-TABLES["clean"] = f"SELECT {PRED_COLS} FROM ppredc"
+TABLES["rsd"] = "SELECT pair_id, feature, stddev_samp(value) AS noise_sd FROM rtrain WHERE fold = 0 GROUP BY ALL"
+TABLES["rnoise"] = f"""SELECT * EXCLUDE (noise_sd, noisy) REPLACE (CASE WHEN noise_sd * severity > 0 AND value IS NOT NULL THEN
+    CASE WHEN regexp_matches(feature, '{"|".join(FT.NONNEGATIVE_TOKENS)}') THEN greatest(0, noisy) ELSE noisy END ELSE value END AS value)
+  FROM (SELECT *, value + noise_sd * severity * (sqrt(-2 * ln({_u1})) * cos(6.283185307179586::DOUBLE * {_u2})) AS noisy
+    FROM (SELECT t.*, 'noise' AS family, severity, s {_SHIFTED} AS seed, CAST(NULL AS VARCHAR) AS lost, d.noise_sd FROM rtest t LEFT JOIN rsd d USING (pair_id, feature),
+      (SELECT unnest({_levels(R.NOISE_LEVELS)}) AS severity), (SELECT unnest({_seeds(NOISE_SEEDS)}) AS s)))"""
+TABLES["rloss"] = f"""SELECT t.* REPLACE (CASE WHEN h.lost IS NULL THEN value END AS value), 'channel_loss' AS family, CAST(NULL AS DOUBLE) AS severity, CAST(NULL AS INT) AS seed, c.lost
+  FROM rtest t CROSS JOIN (SELECT unnest([{names(CHANNELS)}]) AS lost) c LEFT JOIN ({values([(c, f) for c in CHANNELS for f in FT.LOST_CHANNELS[c]], 'lost, feature')}) h ON h.lost = c.lost AND h.feature = t.feature"""
+_temporal = names(FT.TEMPORAL)
+_replaced = lambda family, on: f"""SELECT t.* REPLACE (CASE WHEN t.feature IN ({_temporal}) THEN q.value ELSE t.value END AS value), '{family}' AS family, g.severity, g.seed, CAST(NULL AS VARCHAR) AS lost
+  FROM rtest t JOIN (SELECT DISTINCT run_id, severity, seed FROM {on}) g USING (run_id) LEFT JOIN (SELECT run_id, severity, seed, metric || '_' || stat AS feature, value FROM {on}
+    UNPIVOT INCLUDE NULLS (value FOR stat IN ({', '.join(FT.WINDOW_STATS)}))) q ON q.run_id = t.run_id AND q.severity = g.severity AND q.seed = g.seed AND q.feature = t.feature"""
+TABLES["rsamp"] = _replaced("temporal_sampling", "osamp")
+TABLES["rdelay"] = _replaced("delay", "odelay").replace("g.seed, CAST", "CAST(NULL AS INT) AS seed, CAST")
+TABLES["rdeg"] = f"""SELECT *, 'clean' AS family, {_NONE} FROM rtest UNION ALL BY NAME SELECT * FROM rmiss UNION ALL BY NAME SELECT * FROM rnoise UNION ALL BY NAME SELECT * FROM rloss
+  UNION ALL BY NAME SELECT * FROM rsamp UNION ALL BY NAME SELECT * FROM rdelay"""
+TABLES["rspl"] = "SELECT * FROM rtrain UNION ALL BY NAME SELECT * FROM rdeg"
+_MIRROR = ["spl", "sp2", "fills", "scal", "zz", "cent", "crow", "meta", "dz", "chan", "gsc", "gst", "gno"]
+
+
+def _mirrored(sql: str) -> str:
+    """A plain table's text over the grid's rows: keyed by the model, with the point of each row."""
+    sql = sql.replace(WHO, "@").replace("campaign_id, fold", "pair_id, fold").replace("@", WHO_R)
+    for name in _MIRROR:
+        sql = re.sub(rf"\b{name}\b", f"r{name}", sql)
+    return sql
+
+
+for _name in _MIRROR[1:]:
+    TABLES[f"r{_name}"] = _mirrored(TABLES[_name])
+TABLES["rctr"] = f"""SELECT {WHO_R}, fold, 'M1/F2' AS method, cell AS predicted_set FROM (
+  SELECT *, row_number() OVER (PARTITION BY run_id, fold, {_POINTS} ORDER BY d, cell) AS k FROM (
+    SELECT {', '.join('t.' + x.strip() for x in WHO_R.split(','))}, t.fold, c.cell, sqrt(sum((t.z - c.c) * (t.z - c.c))) AS d
+    FROM rzz t JOIN rcent c ON c.pair_id = t.pair_id AND c.fold = t.fold AND c.feature = t.feature WHERE t.role = 'test' GROUP BY ALL)) WHERE k = 1"""
+_full = f"{mean_present('S_norm', 'M_norm', 'T_norm')} - coalesce(X_norm, 0)"
+TABLES["revid"] = f"SELECT *, 'D4-FULL' AS method, {_full} AS E FROM rgno WHERE f3 = 0 UNION ALL SELECT *, 'D4-FULL-F3', {_full} FROM rgno WHERE f3 = 1"
+TABLES["rtau"] = "SELECT pair_id, fold, method, cause, 0.95::DOUBLE AS q, quantile_cont(E, 0.95) AS tau FROM revid WHERE role = 'train' AND label = 0 GROUP BY ALL"
+TABLES["rmarg"] = "SELECT e.*, t.q, t.tau, E - tau AS margin FROM revid e JOIN rtau t USING (pair_id, fold, method, cause) WHERE role = 'test'"
+TABLES["rrank"] = ranked_sql("rmarg").replace(WHO, WHO_R).replace("PARTITION BY run_id, fold,", f"PARTITION BY run_id, fold, {_POINTS},").replace("mwide", "rwide")
+TABLES["rpred"] = f"""SELECT method, {_POINTS}, {PRED_COLS} FROM (SELECT {WHO_R}, fold, method, predicted_set FROM rctr UNION ALL SELECT {WHO_R}, fold, method, cause_set FROM rrank WHERE rank = 1)
+  WHERE lost IS NULL OR NOT (lost LIKE 'C8%' AND method NOT LIKE 'D4%' OR lost LIKE 'C9%' AND method <> 'D4-FULL-F3')"""
+TABLES["rdegraded"] = "SELECT * FROM rpred WHERE family <> 'clean'"
+TABLES["rclean"] = "SELECT * FROM rpred WHERE family = 'clean'"
 
 
 def _retention_sql() -> str:
     block = lambda src, keys: f"""SELECT a.*, b.control_false_alarm_rate AS alarm FROM ({set_metrics_sql(f"(SELECT * FROM {src} WHERE true_degree = 2)", keys)}) a
       JOIN ({set_metrics_sql(src, keys)}) b ON {' AND '.join(f'a.{k.strip()} IS NOT DISTINCT FROM b.{k.strip()}' for k in keys.split(','))}"""
-    return f"""SELECT g.campaign_id, g.family, g.severity, g.seed, g.lost, g.exact_set_accuracy AS compound_exact, g.complete_cause_recall, g.jaccard, g.macro_f1, g.over_attribution, g.under_attribution,
+    return f"""SELECT g.campaign_id, g.method, g.family, g.severity, g.seed, g.lost, g.exact_set_accuracy AS compound_exact, g.complete_cause_recall, g.jaccard, g.macro_f1, g.over_attribution, g.under_attribution,
       g.alarm AS control_false_alarm_rate, c.exact_set_accuracy AS clean_exact, c.alarm AS clean_alarm, CASE WHEN c.exact_set_accuracy > 0 THEN g.exact_set_accuracy / c.exact_set_accuracy END AS retention,
       c.exact_set_accuracy - g.exact_set_accuracy AS absolute_loss, g.alarm - c.alarm AS control_false_alarm_change
-    FROM ({block('gpred', 'campaign_id, family, severity, seed, lost')}) g JOIN ({block('clean', 'campaign_id')}) c USING (campaign_id)"""
+    FROM ({block('rdegraded', f'campaign_id, method, {_POINTS}')}) g JOIN ({block('rclean', 'campaign_id, method')}) c USING (campaign_id, method)"""
 
 
 TABLES["gret"] = _retention_sql()
 
 
+def labelled_runs(spark, sf):
+    return G.labelled(features(spark, sf)).withColumn("pair_id", F.floor(F.col("campaign_id") / 2).cast("bigint"))
+
+
+def training_rows(spark, sf):
+    """Source runs of at most one cause, once a fold that they train; fold 0 takes all."""
+    source = labelled_runs(spark, sf).where("campaign_id % 2 = 0")
+    folds = source.select("pair_id", "repetition").distinct().groupBy("pair_id").agg(F.array_union(F.array(F.lit(0)), F.collect_set("repetition")).alias("_folds"))
+    grown = source.where("degree <= 1").join(F.broadcast(folds), "pair_id").withColumn("fold", F.explode("_folds")).drop("_folds")
+    return grown.where("fold <> repetition").withColumn("role", F.lit("train"))
+
+
 def test_rows(spark, sf):
-    return split(spark, sf, "F2", "P2").where("role = 'test'")
+    fold = F.when(F.col("campaign_id") % 2 == 0, F.col("repetition")).otherwise(0)
+    return labelled_runs(spark, sf).withColumns({"fold": fold, "role": F.lit("test")})
+
+
+def _with_points(rows, family):
+    """The columns of a point, null where the family has none."""
+    kinds = {"family": "string", "severity": "double", "seed": "int", "lost": "string"}
+    missing = {c: F.lit(None).cast(t) for c, t in kinds.items() if c not in rows.columns}
+    return rows.withColumns(missing | {"family": F.lit(family)})
+
+
+def _realised(rows, family, levels, seeds):
+    return R.grid(rows, family, levels, seeds).withColumn("seed", (F.col("seed") + 100 * (F.col("campaign_id") % 2)).cast("int"))
 
 
 def missing_rows(spark, sf):
-    return R.random_missing(R.grid(test_rows(spark, sf), "missingness", R.MISSING_LEVELS, (8101, 8102)))
+    return _with_points(R.random_missing(_realised(test_rows(spark, sf), "missingness", R.MISSING_LEVELS, MISSING_SEEDS)), "missingness")
 
 
 def noise_rows(spark, sf):
-    train_sd = split(spark, sf, "F2", "P2").where("role = 'train'").groupBy(*FOLD, "feature").agg(F.stddev_samp("value").alias("sd"))
-    return R.gaussian_noise(R.grid(test_rows(spark, sf), "noise", R.NOISE_LEVELS, (8501, 8502)), train_sd, FOLD)
+    sd = training_rows(spark, sf).where("fold = 0").groupBy("pair_id", "feature").agg(F.stddev_samp("value").alias("sd"))
+    return _with_points(R.gaussian_noise(_realised(test_rows(spark, sf), "noise", R.NOISE_LEVELS, NOISE_SEEDS), sd, ["pair_id"]), "noise")
 
 
 def loss_rows(spark, sf):
-    rows = R.channel_loss(test_rows(spark, sf), CHANNELS)
-    return rows.withColumns({"family": F.lit("channel_loss"), "severity": F.lit(None).cast("double"), "seed": F.lit(None).cast("int")})
+    return _with_points(R.channel_loss(test_rows(spark, sf), CHANNELS), "channel_loss")
 
 
-def degraded_predictions(spark, sf):
+def _reordered(spark, sf, order, family, keys):
+    """Test rows with the temporal features of degraded orderings in the place of their own."""
+    stats = unpivot(order, [*RUN, *keys, "metric"], FT.WINDOW_STATS, "stat")
+    new = stats.select("run_id", *keys, F.concat_ws("_", "metric", "stat").alias("feature"), F.col("value").alias("_new"))
+    points = order.select("run_id", *keys).distinct()
+    rows = test_rows(spark, sf).join(points, "run_id").join(new, ["run_id", *keys, "feature"], "left")
+    return _with_points(rows.withColumn("value", F.when(F.col("feature").isin(*FT.TEMPORAL), F.col("_new")).otherwise(F.col("value"))).drop("_new"), family)
+
+
+def sampling_rows(spark, sf):
+    return _reordered(spark, sf, sampled_order(spark, sf), "temporal_sampling", ["severity", "seed"])
+
+
+def delay_rows(spark, sf):
+    return _reordered(spark, sf, delayed_order(spark, sf), "delay", ["severity"])
+
+
+def test_points(spark, sf):
+    """Every test row at every point of the grid, the clean one included."""
+    parts = [_with_points(test_rows(spark, sf), "clean"), missing_rows(spark, sf), noise_rows(spark, sf), loss_rows(spark, sf), sampling_rows(spark, sf), delay_rows(spark, sf)]
+    return reduce(lambda a, b: a.unionByName(b), parts)
+
+
+def evidence_model(spark, sf):
+    """Directions, group scales and thresholds of every model, fitted once on clean training rows."""
+    registry = FT.evidence_registry(spark)
+    train = training_rows(spark, sf)
+    meta = V.keep("robust-meta", spark, sf, lambda: G.feature_meta(train, MODEL, registry.select("cause", "feature").distinct()))
+    scores = V.keep("robust-train", spark, sf, lambda: G.group_scores(G.directional_z(train, meta, MODEL), MODEL, registry))
+    stats = V.keep("robust-stats", spark, sf, lambda: G.group_stats(scores, MODEL))
+    tau = V.keep("robust-tau", spark, sf, lambda: G.thresholds(G.evidence(G.with_group_stats(scores, stats, MODEL)), MODEL))
+    return meta, stats, tau
+
+
+def evidence_points(spark, sf, rows):
+    meta, stats, tau = evidence_model(spark, sf)
+    scores = G.group_scores(G.directional_z(rows, meta, MODEL), [*MODEL, *POINT], FT.evidence_registry(spark))
+    found = G.evidence(G.with_group_stats(scores, stats, MODEL)).where(F.col("method").isin(*FULL_EVIDENCE))
+    return G.ranked_sets(G.over_thresholds(found, tau, MODEL), [*MODEL, *POINT])
+
+
+def centroid_points(spark, sf, rows):
+    def fitted():
+        train = training_rows(spark, sf).where(F.col("feature").isin(*FT.F2))
+        scale = V.keep("robust-scale", spark, sf, lambda: G.scaling(train, MODEL))
+        vecs = G.vectors(G.standardize(train, scale, MODEL), MODEL, FT.F2)
+        return scale, V.keep("robust-centres", spark, sf, lambda: G.centroids(vecs, MODEL, len(FT.F2)))
+
+    scale, centre = fitted()
+    return R.score_centroid(rows.where(F.col("feature").isin(*FT.F2)), scale, centre, MODEL, POINT, FT.F2).withColumn("method", F.lit("M1/F2"))
+
+
+def point_predictions(spark, sf):
+    """Predictions of every method at every point."""
+
     def build():
-        train = split(spark, sf, "F2", "P2").where("role = 'train'")
-        scale = G.scaling(train, FOLD)
-        vecs = G.vectors(G.standardize(train, scale, FOLD), FOLD, FT.F2)
-        centre = G.centroids(vecs, FOLD, len(FT.F2))
-        rows = missing_rows(spark, sf).unionByName(noise_rows(spark, sf), allowMissingColumns=True).unionByName(loss_rows(spark, sf), allowMissingColumns=True)
-        scored = R.score_centroid(rows, scale, centre, FOLD, POINT, FT.F2)
-        return _with_point(scored)
+        rows = V.keep("robust-rows", spark, sf, lambda: test_points(spark, sf))
+        scored = _with_point(centroid_points(spark, sf, rows)).unionByName(_with_point(evidence_points(spark, sf, rows)))
+        anchor = F.coalesce(F.col("lost").startswith("C8") & ~F.col("method").startswith("D4"), F.lit(False))
+        direct = F.coalesce(F.col("lost").startswith("C9") & (F.col("method") != "D4-FULL-F3"), F.lit(False))
+        return scored.where(~anchor & ~direct)
 
-    return V.keep("degraded", spark, sf, build)
+    return V.keep("robust-predictions", spark, sf, build)
 
 
 def _with_point(scored):
     has = {f"pred_{c}": F.array_contains(F.split("predicted_set", r"\+"), c).cast("int") for c in DS.CAUSES}
     return scored.withColumns(has).select(
-        *POINT, *RUN, "fold", F.col("degree").alias("true_degree"), "truth_set", "predicted_set", *[F.col(f"label_{c}").alias(f"true_{c}") for c in DS.CAUSES],
+        "method", *POINT, *RUN, "fold", F.col("degree").alias("true_degree"), "truth_set", "predicted_set", *[F.col(f"label_{c}").alias(f"true_{c}") for c in DS.CAUSES],
         *[f"pred_{c}" for c in DS.CAUSES], (F.col("truth_set") == F.col("predicted_set")).cast("int").alias("correct"))
 
 
-def clean_predictions(spark, sf):
-    def build():
-        rows = split(spark, sf, "F2", "P2")
-        vecs = G.vectors(G.standardize(rows, G.scaling(rows.where("role = 'train'"), FOLD), FOLD), FOLD, FT.F2)
-        return G.predictions_from_key(G.nearest_centroid(vecs, FOLD, len(FT.F2)), "M1/F2")
+def degraded_predictions(spark, sf):
+    return point_predictions(spark, sf).where("family <> 'clean'")
+
 
-    return V.keep("clean", spark, sf, build)
+def clean_predictions(spark, sf):
+    return point_predictions(spark, sf).where("family = 'clean'")
 
 
 def retained(spark, sf):
-    return R.retention(degraded_predictions(spark, sf), clean_predictions(spark, sf), ["campaign_id", *POINT], ["campaign_id"])
+    return V.keep("robust-retained", spark, sf, lambda: R.retention(
+        degraded_predictions(spark, sf), clean_predictions(spark, sf), ["campaign_id", "method", *POINT], ["campaign_id", "method"]))
 
 
-@query("degrade_missing", "R1", "SELECT run_id, feature, severity, seed, value FROM gmiss", "severity value")
+@query("degrade_missing", "R1", "SELECT run_id, feature, severity, seed, value FROM rmiss", "severity value")
 def degrade_missing(spark, sf):
     return missing_rows(spark, sf).select("run_id", "feature", "severity", "seed", "value")
 
 
-@query("degrade_noise", "R2 P22", "SELECT run_id, feature, severity, seed, value FROM gnoise", "severity value")
+@query("degrade_noise", "R2 P22", "SELECT run_id, feature, severity, seed, value FROM rnoise", "severity value")
 def degrade_noise(spark, sf):
     return noise_rows(spark, sf).select("run_id", "feature", "severity", "seed", "value")
 
 
-@query("degrade_channel", "R3", "SELECT run_id, feature, lost, value FROM gloss", "value")
+@query("degrade_channel", "R3", "SELECT run_id, feature, lost, value FROM rloss", "value")
 def degrade_channel(spark, sf):
     return loss_rows(spark, sf).select("run_id", "feature", "lost", "value")
 
@@ -140,28 +256,32 @@ def robustness_grid(spark, sf):
     return retained(spark, sf)
 
 
+_CURVES = "family IN ('missingness', 'temporal_sampling', 'noise', 'delay')"
+
+
 @query(
     "robustness_seeds", "A33 R13",
-    f"""SELECT campaign_id, family, severity, n, mean, sd, min, max, mean - CASE WHEN sd > 0 THEN {t_half('n', 'sd')} ELSE 0 END AS ci_low, mean + CASE WHEN sd > 0 THEN {t_half('n', 'sd')} ELSE 0 END AS ci_high,
+    f"""SELECT campaign_id, method, family, severity, n, mean, sd, min, max, mean - CASE WHEN sd > 0 THEN {t_half('n', 'sd')} ELSE 0 END AS ci_low, mean + CASE WHEN sd > 0 THEN {t_half('n', 'sd')} ELSE 0 END AS ci_high,
       complete_cause_recall, jaccard, macro_f1, control_false_alarm_rate, clean_exact, mean / nullif(clean_exact, 0) AS retention FROM (
-      SELECT campaign_id, family, severity, count(*) AS n, avg(compound_exact) AS mean, stddev_samp(compound_exact) AS sd, min(compound_exact) AS min, max(compound_exact) AS max,
+      SELECT campaign_id, method, family, severity, count(*) AS n, avg(compound_exact) AS mean, stddev_samp(compound_exact) AS sd, min(compound_exact) AS min, max(compound_exact) AS max,
       avg(complete_cause_recall) AS complete_cause_recall, avg(jaccard) AS jaccard, avg(macro_f1) AS macro_f1, avg(control_false_alarm_rate) AS control_false_alarm_rate, max(clean_exact) AS clean_exact
-      FROM gret WHERE family <> 'channel_loss' GROUP BY ALL)""",
+      FROM gret WHERE family NOT IN ('channel_loss', 'delay') GROUP BY ALL)""",
     "severity mean sd min max ci_low ci_high complete_cause_recall jaccard macro_f1 control_false_alarm_rate clean_exact retention",
 )
 def robustness_seeds(spark, sf):
-    return R.over_seeds(retained(spark, sf).where("family <> 'channel_loss'"), ["campaign_id", "family", "severity"])
+    return R.over_seeds(retained(spark, sf).where("family not in ('channel_loss', 'delay')"), ["campaign_id", "method", "family", "severity"])
 
 
-_AUC = """SELECT campaign_id, family, sum((y + coalesce(py, clean)) / 2 * (x - coalesce(px, 0))) / max(x) AS robustness_auc FROM (
-  SELECT *, lag(y) OVER w AS py, lag(x) OVER w AS px FROM (SELECT campaign_id, family, severity AS x, avg(compound_exact) AS y, max(clean_exact) AS clean FROM gret WHERE family <> 'channel_loss' GROUP BY ALL)
-  WINDOW w AS (PARTITION BY campaign_id, family ORDER BY x)) GROUP BY campaign_id, family"""
+_AXIS = f"CASE family WHEN 'temporal_sampling' THEN 1 - severity WHEN 'delay' THEN severity / {max(R.DELAY_LEVELS)} ELSE severity END"
+_AUC = f"""SELECT campaign_id, method, family, sum((y + coalesce(py, clean)) / 2 * (x - coalesce(px, 0))) / max(x) AS robustness_auc FROM (
+  SELECT *, lag(y) OVER w AS py, lag(x) OVER w AS px FROM (SELECT campaign_id, method, family, {_AXIS} AS x, avg(compound_exact) AS y, max(clean_exact) AS clean FROM gret WHERE {_CURVES} GROUP BY ALL)
+  WINDOW w AS (PARTITION BY campaign_id, method, family ORDER BY x)) GROUP BY campaign_id, method, family"""
 
 
 def auc(spark, sf):
-    points = retained(spark, sf).where("family <> 'channel_loss'").groupBy(
-        "campaign_id", "family", R.severity_axis(F.col("family"), F.col("severity")).alias("axis")).agg(F.avg("compound_exact").alias("y"), F.first("clean_exact").alias("clean"))
-    return R.robustness_auc(points, ["campaign_id", "family"])
+    points = retained(spark, sf).where(_CURVES).groupBy(
+        "campaign_id", "method", "family", R.severity_axis(F.col("family"), F.col("severity")).alias("axis")).agg(F.avg("compound_exact").alias("y"), F.first("clean_exact").alias("clean"))
+    return R.robustness_auc(points, ["campaign_id", "method", "family"])
 
 
 @query("robustness_auc", "R8", _AUC, "robustness_auc")
@@ -169,32 +289,38 @@ def robustness_auc(spark, sf):
     return auc(spark, sf)
 
 
-@query("auc_difference", "R9 J21", f"""SELECT *, target_auc - source_auc AS target_minus_source_auc FROM (SELECT CAST(floor(campaign_id / 2) AS BIGINT) AS pair_id, family,
+@query("auc_difference", "R9 J21", f"""SELECT *, target_auc - source_auc AS target_minus_source_auc FROM (SELECT CAST(floor(campaign_id / 2) AS BIGINT) AS pair_id, method, family,
   max(robustness_auc) FILTER (WHERE campaign_id % 2 = 0) AS source_auc, max(robustness_auc) FILTER (WHERE campaign_id % 2 = 1) AS target_auc FROM ({_AUC}) GROUP BY ALL)""", "source_auc target_auc target_minus_source_auc")
 def auc_difference(spark, sf):
-    return R.domain_difference(domains(auc(spark, sf)), ["pair_id", "family"])
+    return R.domain_difference(domains(auc(spark, sf)), ["pair_id", "method", "family"])
 
 
-_SCREEN = "SELECT campaign_id, lost, retention, control_false_alarm_change, CASE WHEN retention >= 0.9 AND control_false_alarm_change <= 0.1 THEN 1 ELSE 0 END AS passes_quality_screen FROM gret WHERE family = 'channel_loss'"
+_SCREEN = """SELECT campaign_id, method, lost, retention, control_false_alarm_change, CASE WHEN retention >= 0.9 AND control_false_alarm_change <= 0.1 THEN 1 ELSE 0 END AS passes_quality_screen FROM gret WHERE family = 'channel_loss'"""
 
 
 @query("quality_screen", "R10", _SCREEN, "retention control_false_alarm_change")
 def quality_screen(spark, sf):
-    return R.quality_screen(retained(spark, sf).where("family = 'channel_loss'")).select("campaign_id", "lost", "retention", "control_false_alarm_change", "passes_quality_screen")
+    return R.quality_screen(retained(spark, sf).where("family = 'channel_loss'")).select("campaign_id", "method", "lost", "retention", "control_false_alarm_change", "passes_quality_screen")
 
 
-@query("cause_robustness", "R11", f"""SELECT g.campaign_id, g.family, g.severity, g.lost, g.cause, g.precision, g.recall, g.f1, c.recall AS clean_recall, c.recall - g.recall AS recall_loss
-  FROM ({cause_metrics_sql('gpred', 'campaign_id, family, severity, lost')}) g JOIN ({cause_metrics_sql('clean', 'campaign_id')}) c USING (campaign_id, cause)""", "severity precision recall f1 clean_recall recall_loss")
+@query("cause_robustness", "R11", f"""SELECT g.campaign_id, g.method, g.family, g.severity, g.seed, g.lost, g.cause, g.precision, g.recall, g.f1, c.recall AS clean_recall, c.recall - g.recall AS recall_loss
+  FROM ({cause_metrics_sql('rpred', f'campaign_id, method, {_POINTS}')}) g JOIN ({cause_metrics_sql('rclean', 'campaign_id, method')}) c USING (campaign_id, method, cause)""", "severity precision recall f1 clean_recall recall_loss")
 def cause_robustness(spark, sf):
-    table = S.cause_metrics(degraded_predictions(spark, sf), ["campaign_id", "family", "severity", "lost"])
-    clean = S.cause_metrics(clean_predictions(spark, sf), ["campaign_id"])
-    return R.recall_loss(table, clean, [], ["campaign_id"]).select("campaign_id", "family", "severity", "lost", "cause", "precision", "recall", "f1", "clean_recall", "recall_loss")
+    """Every point, the clean one included."""
+    table = S.cause_metrics(point_predictions(spark, sf), ["campaign_id", "method", *POINT])
+    clean = S.cause_metrics(clean_predictions(spark, sf), ["campaign_id", "method"])
+    return R.recall_loss(table, clean, [], ["campaign_id", "method"]).select("campaign_id", "method", *POINT, "cause", "precision", "recall", "f1", "clean_recall", "recall_loss")
 
 
-@query("pair_robustness", "R12", """SELECT campaign_id, condition_id AS compound_pair, avg(CASE WHEN family = 'missingness' AND severity = 0.5 THEN correct::DOUBLE END) AS missing_50, avg(CASE WHEN family = 'noise' AND severity = 0.5 THEN correct::DOUBLE END) AS noise_50,
-  avg(CASE WHEN family = 'channel_loss' THEN correct::DOUBLE END) AS channel_loss_mean FROM gpred WHERE true_degree = 2 GROUP BY ALL""", "missing_50 noise_50 channel_loss_mean")
+_CASES = {"clean_exact": ("clean", None), "missing_50": ("missingness", 0.5), "sampling_25": ("temporal_sampling", 0.25), "noise_50": ("noise", 0.5), "delay_5": ("delay", 5.0)}
+_case_sql = lambda f, s: f"avg(y) FILTER (WHERE family = '{f}'" + (f" AND severity = {s}" if s is not None else "") + ")"
+
+
+@query("pair_robustness", "R12", f"""SELECT campaign_id, method, compound_pair, {', '.join(f"{_case_sql(*c)} AS {n}" for n, c in _CASES.items())}, min(y) FILTER (WHERE family = 'channel_loss') AS worst_channel FROM (
+    SELECT campaign_id, method, condition_id AS compound_pair, {_POINTS}, avg(correct::DOUBLE) AS y FROM rpred WHERE true_degree = 2 GROUP BY ALL) GROUP BY campaign_id, method, compound_pair""", f"{' '.join(_CASES)} worst_channel")
 def pair_robustness(spark, sf):
-    return R.pair_worst_cases(degraded_predictions(spark, sf), ["campaign_id"], {"missing_50": ("missingness", 0.5), "noise_50": ("noise", 0.5), "channel_loss_mean": ("channel_loss", None)})
+    """Exact accuracy of each pair of faults in named cases, and under the channel whose loss hurts it most."""
+    return R.pair_worst_cases(point_predictions(spark, sf), ["campaign_id", "method"], POINT, _CASES)
 
 
 # --- control pairing ------------------------------------------------------------------------------
@@ -379,30 +505,35 @@ def cost_table(spark, sf):
 
 
 _FRONT = """SELECT c.campaign_id, c.workload, c.telemetry_config, c.opt, c.lat, q.quality FROM (SELECT campaign_id, workload, telemetry_config, avg(optional_bytes_per_request) AS opt, avg(total_latency_p95) AS lat FROM cruns GROUP BY ALL) c
-  JOIN (SELECT campaign_id, config AS telemetry_config, quality FROM (SELECT campaign_id, clean_exact AS quality, unnest(['T0_FULL', 'T2_NO_RUNTIME']) AS config FROM gret WHERE lost = 'C1_HOST_CPU'
-    UNION ALL SELECT campaign_id, compound_exact, unnest(['T1_NO_HOST', 'T3_LIGHT']) FROM gret WHERE lost = 'C1_HOST_CPU')) q USING (campaign_id, telemetry_config)"""
+  JOIN (SELECT campaign_id, config AS telemetry_config, quality FROM (SELECT campaign_id, clean_exact AS quality, unnest(['T0_FULL', 'T2_NO_RUNTIME']) AS config FROM gret WHERE lost = 'C1_HOST_CPU' AND method = 'D4-FULL'
+    UNION ALL SELECT campaign_id, compound_exact, unnest(['T1_NO_HOST', 'T3_LIGHT']) FROM gret WHERE lost = 'C1_HOST_CPU' AND method = 'D4-FULL')) q USING (campaign_id, telemetry_config)"""
 
 
 @query("pareto_frontier", "T25 J14", f"""WITH p AS ({_FRONT}) SELECT *, CASE WHEN EXISTS (SELECT 1 FROM p o WHERE o.campaign_id = p.campaign_id AND o.workload = p.workload AND o.quality >= p.quality AND o.opt <= p.opt AND o.lat <= p.lat
   AND (o.quality > p.quality OR o.opt < p.opt OR o.lat < p.lat)) THEN 1 ELSE 0 END AS pareto_dominated FROM p""", "opt lat quality")
 def pareto_frontier(spark, sf):
     costs = cost_runs(spark, sf).groupBy("campaign_id", "workload", "telemetry_config").agg(F.avg("optional_bytes_per_request").alias("opt"), F.avg("total_latency_p95").alias("lat"))
-    ref = retained(spark, sf).where("lost = 'C1_HOST_CPU'")
+    ref = retained(spark, sf).where("lost = 'C1_HOST_CPU' and method = 'D4-FULL'")
     rows = F.explode(F.array(*[F.struct(F.lit(c).alias("telemetry_config"), F.col("compound_exact" if c in ("T1_NO_HOST", "T3_LIGHT") else "clean_exact").alias("quality")) for c in K.CONFIGS]))
     quality = ref.select("campaign_id", rows.alias("r")).select("campaign_id", "r.*")
     return K.pareto(costs.join(quality, ["campaign_id", "telemetry_config"]), ["campaign_id", "workload"], "quality", ("opt", "lat"))
 
 
-@query("multi_criteria", "T26", f"""SELECT campaign_id, count(*) AS criteria, CASE WHEN min(holds) = 1 THEN 'SUPPORTED' ELSE 'NOT_SUPPORTED' END AS decision FROM (
-  SELECT campaign_id, passes_quality_screen AS holds FROM ({_SCREEN}) WHERE lost = 'C1_HOST_CPU'
-  UNION ALL SELECT campaign_id, CASE WHEN min(storage_reduction) > 0 THEN 1 ELSE 0 END FROM ({_PAIRED}) WHERE comparison LIKE 'T1_%' GROUP BY campaign_id
-  UNION ALL SELECT campaign_id, min(passes_guard) FROM ({_GUARD}) WHERE comparison LIKE 'T1_%' GROUP BY campaign_id) GROUP BY campaign_id""")
+_T1 = "comparison LIKE 'T1_%'"
+
+
+@query("multi_criteria", "T26", f"""SELECT pair_id, count(*) AS criteria, CASE WHEN min(holds) = 1 THEN 'SUPPORTED' ELSE 'NOT_SUPPORTED' END AS decision FROM (
+  SELECT {_PAIR} AS pair_id, passes_quality_screen AS holds FROM ({_SCREEN}) WHERE lost = 'C1_HOST_CPU' AND method = 'D4-FULL'
+  UNION ALL SELECT {_PAIR}, CASE WHEN min(storage_reduction) > 0 THEN 1 ELSE 0 END FROM ({_PAIRED}) WHERE {_T1} GROUP BY 1
+  UNION ALL SELECT {_PAIR}, min(passes_guard) FROM ({_GUARD}) WHERE {_T1} GROUP BY 1) GROUP BY pair_id""")
 def multi_criteria(spark, sf):
+    """Quality on the source, quality on the target, storage and service of each pair of campaigns."""
+    pair = F.floor(F.col("campaign_id") / 2).cast("bigint").alias("pair_id")
     paired = K.paired_costs(cost_runs(spark, sf), COST_BLOCK).where("comparison like 'T1_%'")
-    screen = quality_screen(spark, sf).where("lost = 'C1_HOST_CPU'").select("campaign_id", F.col("passes_quality_screen").alias("holds"))
-    saves = paired.groupBy("campaign_id").agg((F.min("storage_reduction") > 0).cast("int").alias("holds"))
-    guard = K.service_guard(paired, ["campaign_id", "workload"]).groupBy("campaign_id").agg(F.min("passes_guard").alias("holds"))
-    return K.decision(screen.unionByName(saves).unionByName(guard), ["campaign_id"])
+    screen = quality_screen(spark, sf).where("lost = 'C1_HOST_CPU' and method = 'D4-FULL'").select(pair, F.col("passes_quality_screen").alias("holds"))
+    saves = paired.groupBy(pair).agg((F.min("storage_reduction") > 0).cast("int").alias("holds"))
+    guard = K.service_guard(paired, ["campaign_id", "workload"]).groupBy(pair).agg(F.min("passes_guard").alias("holds"))
+    return K.decision(screen.unionByName(saves).unionByName(guard), ["pair_id"])
 
 
 @query("integrity_totals", "A30", """SELECT campaign_id, sum(valid)::BIGINT AS valid_runs, (count(*) - sum(valid))::BIGINT AS invalid_runs, sum(request_rows)::BIGINT AS measured_requests, sum(successful_requests)::BIGINT AS successful_measured,

@@ -6,9 +6,10 @@ from pyspark.sql import functions as F
 
 from ..operators import runs as R
 from ..operators import temporal as T
+from ..operators.degrade import DELAY_LEVELS, SAMPLING_LEVELS
 from . import tables as V
 from .oracle import RUN as RUN_SQL
-from .oracle import TABLES, unpivot_sql
+from .oracle import TABLES, uniform, unpivot_sql
 from .registry import query
 
 TABLES["ser"] = f"""SELECT {RUN_SQL}, r.request_id, r.sequence AS ordinal, row_number() OVER w AS rn, count(*) OVER (PARTITION BY run_id) AS n,
@@ -22,17 +23,18 @@ TABLES["el10"] = f"""SELECT {RUN_SQL}, metric, max(n) AS n, median(value) FILTER
   CASE WHEN count(value) = count(*) AND count(*) >= 2 THEN regr_slope(value, (rn - 1) / nullif(n - 1, 0)::DOUBLE) END AS normalized_slope FROM serlong GROUP BY {RUN_SQL}, metric"""
 
 
-def _skip_slope(source: str) -> str:
-    return f"""SELECT run_id, metric, CASE WHEN max(m) >= 2 THEN regr_slope(value, (r - 1) / nullif(m - 1, 0)::DOUBLE) END AS normalized_slope FROM (
-      SELECT run_id, metric, value, row_number() OVER (PARTITION BY run_id, metric ORDER BY rn) AS r, count(*) OVER (PARTITION BY run_id, metric) AS m FROM {source} WHERE value IS NOT NULL) GROUP BY run_id, metric"""
+def _skip_slope(source: str, keys: str) -> str:
+    return f"""SELECT {keys}, metric, CASE WHEN max(m) >= 2 THEN regr_slope(value, (r - 1) / nullif(m - 1, 0)::DOUBLE) END AS normalized_slope FROM (
+      SELECT {keys}, metric, value, row_number() OVER (PARTITION BY {keys}, metric ORDER BY rn) AS r, count(*) OVER (PARTITION BY {keys}, metric) AS m FROM {source} WHERE value IS NOT NULL) GROUP BY {keys}, metric"""
 
 
-def quarter_sql(source: str) -> str:
+def quarter_sql(source: str, keys: str = "run_id") -> str:
     q = "greatest(3, CAST(floor(n * 0.25) AS INT))"
-    return f"""SELECT e.run_id, e.metric, e.n, CASE WHEN fits THEN early_median END AS early_median, CASE WHEN fits THEN late_median END AS late_median,
+    out = ", ".join(f"e.{k.strip()}" for k in keys.split(","))
+    return f"""SELECT {out}, e.metric, e.n, CASE WHEN fits THEN early_median END AS early_median, CASE WHEN fits THEN late_median END AS late_median,
       CASE WHEN fits THEN late_median - early_median END AS late_minus_early, CASE WHEN fits THEN s.normalized_slope END AS normalized_slope FROM (
-        SELECT run_id, metric, max(n) AS n, max(n) >= 2 * greatest(3, CAST(floor(max(n) * 0.25) AS INT)) AS fits, median(value) FILTER (WHERE rn <= {q}) AS early_median,
-        median(value) FILTER (WHERE rn > n - {q}) AS late_median FROM {source} GROUP BY run_id, metric) e LEFT JOIN ({_skip_slope(source)}) s USING (run_id, metric)"""
+        SELECT {keys}, metric, max(n) AS n, max(n) >= 2 * greatest(3, CAST(floor(max(n) * 0.25) AS INT)) AS fits, median(value) FILTER (WHERE rn <= {q}) AS early_median,
+        median(value) FILTER (WHERE rn > n - {q}) AS late_median FROM {source} GROUP BY {keys}, metric) e LEFT JOIN ({_skip_slope(source, keys)}) s USING ({keys}, metric)"""
 
 
 def series(spark, sf):
@@ -71,19 +73,46 @@ def slope(spark, sf):
     return T.strict_slope(positioned(spark, sf), T.RUN)
 
 
-@query("slope_skipnull", "W4", _skip_slope("serlong"), "normalized_slope")
+@query("slope_skipnull", "W4", _skip_slope("serlong", "run_id"), "normalized_slope")
 def slope_skipnull(spark, sf):
     return T.null_skipping_slope(positioned(spark, sf), T.RUN).select("run_id", "metric", "normalized_slope")
 
 
 @query("quarter_window", "W5", quarter_sql("serlong"), _EL + " normalized_slope")
 def quarter_window(spark, sf):
-    return T.quarter_features(positioned(spark, sf), T.RUN).drop("campaign_id", "condition_id", "repetition")
+    return T.order_features(series(spark, sf), T.RUN).drop("campaign_id", "condition_id", "repetition")
 
 
-@query("degrade_delay", "R5 W10", quarter_sql("(SELECT * REPLACE (rn + 3 AS rn) FROM serlong WHERE rn + 3 <= n)"), _EL + " normalized_slope")
+_MASKED = f"""SELECT * EXCLUDE (u, k, m), row_number() OVER (PARTITION BY run_id, seed, severity ORDER BY ordinal) AS rn, count(*) OVER (PARTITION BY run_id, seed, severity) AS n FROM (
+  SELECT *, row_number() OVER (PARTITION BY run_id, seed ORDER BY u, ordinal) AS k, count(*) OVER (PARTITION BY run_id, seed) AS m FROM (
+    SELECT * EXCLUDE (rn, n, s), s + CAST(100 * (campaign_id % 2) AS INT) AS seed, {uniform('CAST(s + CAST(100 * (campaign_id % 2) AS INT) AS VARCHAR)', 'run_id', 'CAST(ordinal AS VARCHAR)')} AS u
+    FROM ser, (SELECT unnest(range(8301, 8311))::INT AS s))), (SELECT unnest([0.75::DOUBLE, 0.5::DOUBLE, 0.25::DOUBLE]) AS severity)
+  WHERE k <= greatest(1, CAST(round_even(m * severity, 0) AS INT))"""
+TABLES["mask"] = _MASKED
+TABLES["masklong"] = unpivot_sql("mask", "run_id, severity, seed, rn, n", T.SERIES_METRICS, "metric")
+TABLES["osamp"] = quarter_sql("masklong", "run_id, severity, seed")
+TABLES["latelong"] = "SELECT * REPLACE (rn + d AS rn), d::DOUBLE AS severity, 0 AS seed FROM serlong, (SELECT unnest([1, 3, 5]) AS d) WHERE rn + d <= n"
+TABLES["odelay"] = quarter_sql("latelong", "run_id, severity, seed")
+
+
+def sampled_order(spark, sf):
+    """Order features of every run under every mask: fraction of requests kept, and seed."""
+    def build():
+        base = F.array(*[F.lit(s) for s in range(8301, 8311)])
+        seeds = F.transform(base, lambda s: (s + 100 * (F.col("campaign_id") % 2)).cast("int"))
+        return T.order_features(T.sampled_grid(series(spark, sf), T.RUN, SAMPLING_LEVELS, seeds), [*T.RUN, "severity", "seed"])
+
+    return V.keep("sampled-order", spark, sf, build)
+
+
+def delayed_order(spark, sf):
+    """Order features of every run with values that come some positions late."""
+    return V.keep("delayed-order", spark, sf, lambda: T.order_features(T.delayed_grid(series(spark, sf), DELAY_LEVELS), [*T.RUN, "severity"]))
+
+
+@query("degrade_delay", "R5 W10", "SELECT * EXCLUDE (seed) FROM odelay", _EL + " normalized_slope severity")
 def degrade_delay(spark, sf):
-    return T.quarter_features(T.delayed(positioned(spark, sf), T.RUN, 3), T.RUN).drop("campaign_id", "condition_id", "repetition")
+    return delayed_order(spark, sf).drop("campaign_id", "condition_id", "repetition")
 
 
 @query(
@@ -95,15 +124,9 @@ def shifted_rows(spark, sf):
     return T.shifted_rows(series(spark, sf), T.RUN, {"ttft_late": "ttft", "total_late": "total_latency"}, 3).select("run_id", "ordinal", "ttft_late", "total_late")
 
 
-_SAMPLED = f"""(SELECT run_id, metric, value, row_number() OVER (PARTITION BY run_id, metric ORDER BY ordinal) AS rn, count(*) OVER (PARTITION BY run_id, metric) AS n FROM (
-  SELECT *, row_number() OVER (PARTITION BY run_id, metric ORDER BY u, ordinal) AS k FROM (
-    SELECT *, CAST('0x' || substr(md5(concat_ws('|', '8301', run_id, CAST(ordinal AS STRING))), 1, 8) AS BIGINT) / 4294967296e0 AS u FROM serlong)) WHERE k <= greatest(1, CAST(round_even(n * 0.5, 0) AS INT)))"""
-
-
-@query("degrade_sample", "R4", quarter_sql(_SAMPLED), _EL + " normalized_slope")
+@query("degrade_sample", "R4", "SELECT * FROM osamp", _EL + " normalized_slope severity")
 def degrade_sample(spark, sf):
-    kept = T.subsampled(series(spark, sf).drop("rn", "n"), T.RUN, 0.5, 8301)
-    return T.quarter_features(T.melt(kept, T.RUN, ("ordinal", "rn", "n")), T.RUN).drop("campaign_id", "condition_id", "repetition")
+    return sampled_order(spark, sf).drop("campaign_id", "condition_id", "repetition")
 
 
 @query(
