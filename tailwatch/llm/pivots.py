@@ -39,6 +39,8 @@ FEWEST_PIVOTS, MOST_PIVOTS = 64, (1 << 20) - 1
 #: Vectors drawn for each pivot, and the cosine above which two are not both chosen.
 DRAWN, APART = 4, 0.7
 BLOCK_ROWS = 1024
+#: Rows compared at a time, and the length up to which lists are compared many at once.
+CHUNK_ROWS, SMALL_LIST = 8192, 64
 
 
 def pivot_count(rows: int) -> int:
@@ -155,49 +157,91 @@ def _compared(reps: DataFrame, pivots: dict[int, np.ndarray], least: float) -> D
                          (F.col("mine") <= F.col("other")).cast("int").alias("side"), "u", "v", "n", "near", "list", "d", (F.col("mine") == F.col("other")).alias("within"))
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows in _groups(batches):
-            if rows.num_rows < 2:
-                continue
-            d, own = rows["d"][0].as_py(), rows["list"][0].as_py()
-            ids, mult = rows["u"].to_numpy(), rows["n"].to_numpy()
-            units, near = _unit(_matrix(rows["v"].combine_chunks(), d)), _matrix(rows["near"].combine_chunks(), len(rows["near"][0]))
-            close = units @ units.T >= least
-            np.fill_diagonal(close, False)
-            if not rows["within"][0].as_py():
-                side = rows["side"].to_numpy()
-                close &= side[:, None] != side[None, :]
-            at = np.argwhere(np.triu(close))
-            if not len(at):
-                continue
-            links = np.zeros(len(ids), np.int64)
-            for lo in range(0, len(at), 1 << 17):
-                a, b = at[lo:lo + (1 << 17)].T
-                counted = _first_lists(near[a], near[b]) == own
-                np.add.at(links, a[counted], mult[b[counted]])
-                np.add.at(links, b[counted], mult[a[counted]])
-            root = _roots(close, ids)
-            keep = (links > 0) | (root < ids)
-            yield pa.RecordBatch.from_arrays([pa.array(ids[keep]), pa.array(links[keep]), pa.array(root[keep])], ["u", "links", "root"])
+        for rows in _whole_groups(batches):
+            names = rows["task"].to_numpy()
+            group = np.concatenate(([0], np.cumsum(names[1:] != names[:-1])))
+            size = np.bincount(group)
+            small = ((size <= SMALL_LIST) & rows["within"].to_numpy()[np.searchsorted(group, np.arange(len(size)))])[group]
+            length = rows["d"].to_numpy()
+            for d in np.unique(length[small]):
+                yield from _links(_small_lists(rows.filter(pa.array(small & (length == d))), int(d), least))
+            for g in np.flatnonzero(~small[np.searchsorted(group, np.arange(len(size)))] & (size > 1)):
+                lo = int(np.searchsorted(group, g))
+                yield from _links(_block_pair(rows.slice(lo, int(size[g])), int(length[lo]), least))
 
     spread = dealt.repartition("task").sortWithinPartitions("task")
     return spread.mapInArrow(compare, "u long, links long, root long")
 
 
-def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
-    """Rows of one task name together, from batches in which they follow each other."""
+def _whole_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """Batches put together to about ``CHUNK_ROWS`` rows; rows of one task name, which follow each other, stay together."""
     held: list[pa.RecordBatch] = []
     for batch in batches:
-        names = batch.column(0).to_numpy(zero_copy_only=False)
-        edges = np.flatnonzero(names[1:] != names[:-1]) + 1
-        for a, b in zip([0, *edges], [*edges, len(names)], strict=True):
-            if held and held[-1].column(0)[0].as_py() != names[a]:
-                yield pa.Table.from_batches(held)
-                held = []
-            held.append(batch.slice(a, b - a))
+        if not batch.num_rows:
+            continue
+        if sum(b.num_rows for b in held) >= CHUNK_ROWS:
+            names, last = batch.column(0).to_numpy(zero_copy_only=False), held[-1].column(0)[-1].as_py()
+            other = np.flatnonzero(names != last)
+            if len(other):
+                yield pa.Table.from_batches([*held, batch.slice(0, int(other[0]))])
+                held, batch = [], batch.slice(int(other[0]))  # noqa: PLW2901
+        held.append(batch)
     if held:
         yield pa.Table.from_batches(held)
 
 
+def _links(found: tuple[np.ndarray, np.ndarray, np.ndarray]) -> Iterator[pa.RecordBatch]:
+    ids, links, root = found
+    keep = (links > 0) | (root < ids)
+    if keep.any():
+        yield pa.RecordBatch.from_arrays([pa.array(ids[keep]), pa.array(links[keep]), pa.array(root[keep])], ["u", "links", "root"])
+
+
+def _small_lists(rows: pa.Table, d: int, least: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """All pairs within each of many short lists, by the distance of their rows."""
+    names, ids = rows["task"].to_numpy(), rows["u"].to_numpy()
+    group = np.concatenate(([0], np.cumsum(names[1:] != names[:-1])))
+    units, near = _unit(_matrix(rows["v"].combine_chunks(), d)), _matrix(rows["near"].combine_chunks(), len(rows["near"][0]))
+    first, second = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    for step in range(1, len(ids)):
+        i = np.flatnonzero(group[:-step] == group[step:])
+        if not len(i):
+            break
+        i = i[np.einsum("ij,ij->i", units[i], units[i + step]) >= least]
+        first.append(i), second.append(i + step)
+    a, b = np.concatenate(first), np.concatenate(second)
+    root, before = ids.copy(), None
+    while before is None or (root != before).any():
+        before, low = root.copy(), np.minimum(root[a], root[b])
+        np.minimum.at(root, a, low)
+        np.minimum.at(root, b, low)
+    return ids, _counted(near, a, b, rows["list"].to_numpy()[a], rows["n"].to_numpy()), root
+
+
+def _block_pair(rows: pa.Table, d: int, least: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """All pairs of a long list's block, or of two blocks."""
+    ids = rows["u"].to_numpy()
+    units, near = _unit(_matrix(rows["v"].combine_chunks(), d)), _matrix(rows["near"].combine_chunks(), len(rows["near"][0]))
+    close = units @ units.T >= least
+    np.fill_diagonal(close, False)
+    if not rows["within"][0].as_py():
+        side = rows["side"].to_numpy()
+        close &= side[:, None] != side[None, :]
+    a, b = np.nonzero(np.triu(close))
+    return ids, _counted(near, a, b, np.full(len(a), rows["list"][0].as_py()), rows["n"].to_numpy()), _roots(close, ids)
+
+
+def _counted(near: np.ndarray, a: np.ndarray, b: np.ndarray, own: np.ndarray, mult: np.ndarray) -> np.ndarray:
+    """Links of each row: those of the pairs that count in this list."""
+    links = np.zeros(len(near), np.int64)
+    for lo in range(0, len(a), 1 << 17):
+        x, y = a[lo:lo + (1 << 17)], b[lo:lo + (1 << 17)]
+        here = _first_lists(near[x], near[y]) == own[lo:lo + (1 << 17)]
+        np.add.at(links, x[here], mult[y[here]])
+        np.add.at(links, y[here], mult[x[here]])
+    return links
+
+
 def _roots(close: np.ndarray, ids: np.ndarray) -> np.ndarray:
     """Least id of each connected part of a block pair."""
     root = ids.copy()
