@@ -10,6 +10,7 @@ MODULES = [
     "robustness_queries",
     "quality_queries",
     "learner_queries",
+    "comparison_queries",
     "source_queries",
 ]
 
