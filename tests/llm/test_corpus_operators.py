@@ -140,10 +140,35 @@ def test_kd_shards(spark, small, odd, empty):
     copies = spark.range(400).select(F.col("id").alias("doc_id"), F.lit("same text").alias("text"), F.lit("en").alias("lang"), F.lit("s").alias("source"), F.lit(9).cast("long").alias("n_chars"))
     counts = kd_shards.kd_shards(copies, shards=5).groupBy("_part").count().toPandas()["count"]
     assert len(counts) == 5 and counts.max() - counts.min() <= 2  # a group that outweighs a shard is split evenly
+    alone = kd_shards.with_slots(kd_shards.kd_shards(copies.withColumn("doc_id", F.lit(None).cast("long")), shards=5)).toPandas()
+    counts = alone.groupby("_part").size()
+    assert len(alone) == 400 and len(counts) == 5 and counts.max() - counts.min() <= 3  # without keys as well
+    assert all(sorted(g) == list(range(len(g))) for _, g in alone.groupby("_part")["_slot"])
     assert kd_shards.kd_shards(odd, target_bytes=1 << 16).count() == odd.count()
     assert kd_shards.kd_shards(empty, shards=3).count() == 0
 
 
+def test_kd_tree_splits_the_widest_dimension(spark):
+    """Against sums over all pairs of bytes: a category that hardly varies does not win over a number that does."""
+    rng = np.random.default_rng(7)
+    n = 400
+    rows = [(i, "x" * int(rng.integers(0, 60)), "rare" if i % 50 == 0 else "common", "en", int(2 ** rng.uniform(0, 20))) for i in range(n)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, lang string, n_chars long")
+    measured = kd_shards.measured(docs, "doc_id", "text", ["source", "lang"], ["n_chars"]).withColumns({"_part": F.lit(0), "_leaves": F.lit(2)})
+    ranges = kd_shards._ranges(measured, 2, 3)
+    got = kd_shards._widest(measured, 2, 3, ranges).first()
+    size = np.array([len(r[1]) + 16 for r in rows], float)
+    value = {"source": np.array([r[2] == "rare" for r in rows], float), "lang": np.zeros(n), "n_chars": np.log2(np.array([r[4] for r in rows], float) + 2)}
+    value["n_chars"] /= np.ptp(value["n_chars"])
+    weight = size[:, None] * size[None, :]
+    spread = {k: math.sqrt((weight * (v[:, None] - v[None, :]) ** 2).sum() / weight.sum()) for k, v in value.items()}
+    assert spread["n_chars"] > spread["source"] > spread["lang"] == 0
+    assert got["_dim"] == 2 and got["_bytes"] == size.sum()
+    mixed = docs.withColumn("source", F.when(F.col("doc_id") % 2 == 0, "a").otherwise("b"))
+    measured = kd_shards.measured(mixed, "doc_id", "text", ["source", "lang"], ["n_chars"]).withColumns({"_part": F.lit(0), "_leaves": F.lit(2)})
+    assert kd_shards._widest(measured, 2, 3, ranges).first()["_dim"] == 0
+
+
 def test_warc_packages(spark, tmp_path):
     pages = spark.createDataFrame([(3, "http://a", "<p>x</p>"), (1, "http://b", "<p>x</p>"), (2, None, None), (4, "", ""), (5, "u\r\nX: y", "é" * 300_000), (None, "n", "<p>x</p>"), (1, "http://b", "<p>x</p>")],
                                   "page_id long, url string, html string")
