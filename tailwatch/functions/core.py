@@ -11,10 +11,11 @@ NUMERICAL_FLOOR = 1e-12
 
 
 def stable_round(col: Column) -> Column:
-    """Six decimal places with the tie point moved off round decimals, so that values that
+    """Six decimal places, nine below a thousandth, with the tie point moved off round decimals, so that values that
     differ by float noise only land on the same side. Values too large for six places keep their own."""
     scaled = col * F.lit(1e6) + F.lit(0.50013)
-    return F.when(F.abs(scaled) < F.lit(9e18), F.floor(scaled).cast("double")).otherwise(scaled) / F.lit(1e6)
+    small = F.floor(col * F.lit(1e9) + F.lit(0.50013)).cast("double") / F.lit(1e9)
+    return F.when(F.abs(col) < F.lit(1e-3), small).otherwise(F.when(F.abs(scaled) < F.lit(9e18), F.floor(scaled).cast("double")).otherwise(scaled) / F.lit(1e6))
 
 
 def round_doubles(df: DataFrame) -> DataFrame:

@@ -42,12 +42,17 @@ def _sums(x: np.ndarray, y: np.ndarray, s: np.ndarray, w: np.ndarray, loss: str)
 
 def newton_fit(x: np.ndarray, y: np.ndarray, loss: str) -> np.ndarray:
     """Balanced fit of one group; y is -1 or +1, the last weight is the intercept."""
+    return damped_newton(x, y, loss)[0]
+
+
+def damped_newton(x: np.ndarray, y: np.ndarray, loss: str, most_steps: int = 100) -> tuple[np.ndarray, bool]:
+    """Weights, and whether the steps became too small to matter within ``most_steps``."""
     x = np.hstack([x, np.ones((len(x), 1))])
     n, pos = len(y), int((y > 0).sum())
     s = np.where(y > 0, n / (2.0 * pos), n / (2.0 * (n - pos)))
     w = np.zeros(x.shape[1])
     value = lambda v: 0.5 * v @ v + float((s * _terms(loss, y * (x @ v))[0]).sum())
-    for _ in range(100):
+    for _ in range(most_steps):
         g, h = _sums(x, y, s, w, loss)
         step = np.linalg.solve(h + np.eye(len(w)), g + w)
         size, now = 1.0, value(w)
@@ -55,8 +60,8 @@ def newton_fit(x: np.ndarray, y: np.ndarray, loss: str) -> np.ndarray:
             size *= 0.5
         w = w - size * step
         if np.abs(size * step).max() < 1e-10:
-            break
-    return w
+            return w, True
+    return w, False
 
 
 def descent_fit(x: np.ndarray, y: np.ndarray, steps: int = DESCENT_STEPS, rate: float = 0.05, penalty: float = 1.0) -> np.ndarray:
@@ -84,21 +89,22 @@ def _fit_group(keys: Sequence[str], loss: str):
         out = pdf[list(keys)].head(1).copy()
         if (y > 0).all() or (y < 0).all():
             # One class only: a constant answer, far on its side.
-            w = np.append(np.zeros(x.shape[1]), 30.0 * y[0])
+            w, settled = np.append(np.zeros(x.shape[1]), 30.0 * y[0]), True
         else:
-            w = descent_fit(x, y) if loss == "descent" else newton_fit(x, y, loss)
-        out["w"] = [w.tolist()]
+            w, settled = (descent_fit(x, y), True) if loss == "descent" else damped_newton(x, y, loss)
+        out["w"], out["settled"] = [w.tolist()], settled
         return out
 
     return fit
 
 
 def _model_schema(rows: DataFrame, keys: Sequence[str]) -> T.StructType:
-    return T.StructType([rows.schema[k] for k in keys] + [T.StructField("w", T.ArrayType(T.DoubleType()))])
+    return T.StructType([rows.schema[k] for k in keys] + [T.StructField("w", T.ArrayType(T.DoubleType())), T.StructField("settled", T.BooleanType())])
 
 
 def fit(train: DataFrame, keys: Sequence[str], loss: str = "logistic", hot_rows: int | None = None) -> DataFrame:
-    """One weight vector per group of ``keys``. ``train`` has ``x`` and ``y`` (0/1)."""
+    """One weight vector per group of ``keys``, and whether its steps settled: a group that does not keeps its last weights
+    and holds up no other. ``train`` has ``x`` and ``y`` (0/1)."""
     keys = list(keys)
     rows = train.select(*keys, "x", "y")
     hot, n_hot = hot_groups(rows, keys, HOT_TRAIN_ROWS if hot_rows is None else hot_rows)
@@ -171,13 +177,10 @@ def fit_together(rows: DataFrame, keys: Sequence[str], groups: int, loss: str, s
         joined = rows.join(sized_broadcast(state.where("not done_"), groups), keys)
         moved = joined.mapInPandas(partials, partial_schema).groupBy(*keys).applyInPandas(update, state.schema)
         state = pin(moved.unionByName(state.where("done_")))
-    else:
-        if not descent and state.where("not done_").limit(1).count():
-            raise RuntimeError("the fit did not settle")
     one = F.when(F.col("pos_") == 0, -30.0).when(F.col("pos_") == F.col("rows_"), 30.0)
     none = F.transform("w", lambda v: v * 0)
     constant = F.concat(F.slice(none, 1, F.size("w") - 1), F.array(one))
-    return state.select(*keys, F.when(one.isNotNull(), constant).otherwise(F.col("w")).alias("w"))
+    return state.select(*keys, F.when(one.isNotNull(), constant).otherwise(F.col("w")).alias("w"), (F.col("done_") | F.lit(descent)).alias("settled"))
 
 
 def linear_score(x: Column, w: Column) -> Column:

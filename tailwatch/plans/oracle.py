@@ -15,7 +15,7 @@ RUN = "campaign_id, condition_id, repetition, run_id"
 
 
 def r6(expr: str) -> str:
-    return f"floor(({expr}) * 1e6 + 0.50013::DOUBLE) / 1e6"
+    return f"CASE WHEN abs({expr}) < 1e-3 THEN floor(({expr}) * 1e9 + 0.50013::DOUBLE) / 1e9 ELSE floor(({expr}) * 1e6 + 0.50013::DOUBLE) / 1e6 END"
 
 
 def values(rows: list[tuple], names: str) -> str:

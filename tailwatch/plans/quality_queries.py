@@ -254,11 +254,21 @@ def dq_windows(spark, sf):
     return Q.outside_windows(V.requests(spark, sf), mechanisms(spark, sf), need).select("run_id", "subject", "code")
 
 
-@query("dq_bounds", "J18", """SELECT s.run_id, CAST(s.event_id AS VARCHAR) AS subject, 'runtime_metric_out_of_bounds' AS code FROM rtm s JOIN (SELECT run_id, min(monotonic_time) AS a, max(monotonic_time) AS b FROM revt GROUP BY run_id) e USING (run_id)
-  WHERE s.timestamp + 1e-9 < a OR s.timestamp - 1e-9 > b""")
+_OUT = "s.timestamp + 1e-9 < e.a OR s.timestamp - 1e-9 > e.b"
+_SPAN = "(SELECT run_id, min(monotonic_time) AS a, max(monotonic_time) AS b FROM revt GROUP BY run_id) e USING (run_id)"
+
+
+@query("dq_bounds", "J18", f"""SELECT s.run_id, CAST(s.event_id AS VARCHAR) AS subject, 'runtime_metric_out_of_bounds' AS code FROM rtm s JOIN {_SPAN} WHERE {_OUT}
+  UNION ALL SELECT s.run_id, CAST(s.event_id AS VARCHAR), 'system_metric_out_of_bounds' FROM sysm s JOIN {_SPAN} WHERE {_OUT}""")
 def dq_bounds(spark, sf):
-    samples = V.runtime(spark, sf).withColumn("event_id", F.col("event_id").cast("string"))
-    return Q.outside_bounds(samples, Q.event_bounds(run_events(spark, sf)), "event_id", "runtime_metric_out_of_bounds").select("run_id", "subject", "code")
+    """Runtime and system samples outside the time that the run's events span."""
+    spans = Q.event_bounds(run_events(spark, sf))
+
+    def outside(samples, code):
+        named = samples.withColumn("event_id", F.col("event_id").cast("string"))
+        return Q.outside_bounds(named, spans, "event_id", code).select("run_id", "subject", "code")
+
+    return outside(V.runtime(spark, sf), "runtime_metric_out_of_bounds").unionByName(outside(V.system(spark, sf), "system_metric_out_of_bounds"))
 
 
 _LEGAL = ", ".join(f"'{a}>{b}'" for a, bs in Q.TRANSITIONS.items() for b in bs)
@@ -357,11 +367,18 @@ RULE_FAMILIES = (
 ).split()
 
 
+#: Families whose queries list every run: what in them is a finding.
+CONDITIONED_FAMILIES = {"dq_accounting": "accounting_ok = 0"}
+_families = [f"SELECT run_id, '{q}' AS family FROM ({QUERIES[q].body})" for q in RULE_FAMILIES] + [
+    f"SELECT run_id, '{q}' FROM ({QUERIES[q].body}) WHERE {bad}" for q, bad in CONDITIONED_FAMILIES.items()]
+
+
 @query("dq_verdict", "V24 S11", f"""SELECT r.{RUN_SQL.replace(', ', ', r.')}, coalesce(i.n, 0) AS issues, coalesce(i.f, 0) AS families, CASE WHEN i.n IS NULL THEN 1 ELSE 0 END AS valid FROM rb r LEFT JOIN (
-  SELECT run_id, count(*) AS n, count(DISTINCT family) AS f FROM ({' UNION ALL '.join(f"SELECT run_id, '{q}' AS family FROM ({QUERIES[q].body})" for q in RULE_FAMILIES)}) GROUP BY run_id) i USING (run_id)""")
+  SELECT run_id, count(*) AS n, count(DISTINCT family) AS f FROM ({' UNION ALL '.join(_families)}) GROUP BY run_id) i USING (run_id)""")
 def dq_verdict(spark, sf):
     """A run is valid when no rule family finds anything. Findings are counted by run and family before they meet."""
-    found = [globals()[q](spark, sf).groupBy("run_id").agg(F.count(F.lit(1)).alias("n")) for q in RULE_FAMILIES]
+    lists = [globals()[q](spark, sf) for q in RULE_FAMILIES] + [globals()[q](spark, sf).where(bad) for q, bad in CONDITIONED_FAMILIES.items()]
+    found = [rows.groupBy("run_id").agg(F.count(F.lit(1)).alias("n")) for rows in lists]
     counts = reduce(DataFrame.unionByName, found).groupBy("run_id").agg(F.sum("n").alias("issues"), F.count(F.lit(1)).alias("families"))
     out = bounds(spark, sf).select(*RUN).join(counts, "run_id", "left").fillna(0, ["issues", "families"])
     return out.select(*RUN, "issues", "families", (F.col("issues") == 0).cast("int").alias("valid"))

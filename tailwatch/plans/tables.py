@@ -13,9 +13,17 @@ from ..sources.spans import expand_spans
 _kept: dict[tuple, DataFrame] = {}
 
 
+def file_state(spark: SparkSession, sf_dir: str, table: str = "events") -> tuple:
+    """What tells one state of a table's files from another: bytes, files and time of the last change of its path."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{sf_dir}/{table}.parquet")
+    files = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    content = files.getContentSummary(path)
+    return content.getLength(), content.getFileCount(), files.getFileStatus(path).getModificationTime()
+
+
 def keep(name: str, spark: SparkSession, sf_dir: str, build) -> DataFrame:
-    """Build once per session and folder, written to the checkpoint folder."""
-    key = (name, spark.sparkContext.applicationId, sf_dir)
+    """Build once per session, folder and state of its events, written to the checkpoint folder."""
+    key = (name, spark.sparkContext.applicationId, sf_dir, *file_state(spark, sf_dir))
     if key not in _kept:
         _kept[key] = pin(build())
     return _kept[key]

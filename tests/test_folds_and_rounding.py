@@ -11,6 +11,7 @@ from tailwatch.operators import diagnose as G
 from tailwatch.operators.quality import TRANSITIONS
 from tailwatch.session import checkpoint_dir
 from tailwatch.streaming import monitors as M
+from tailwatch.streaming import stateful as ST
 
 
 @pytest.mark.parametrize("repetitions", [6, 8, 10])
@@ -29,6 +30,11 @@ def test_rounding_keeps_large_values(spark):
     assert [r.x for r in round_doubles(rows).collect()] == [pytest.approx(1e14, rel=1e-12), pytest.approx(-3e15, rel=1e-12), 0.123457, None, 2.5]
 
 
+def test_rounding_keeps_small_p_values(spark):
+    rows = spark.createDataFrame([(4e-7,), (1.23456e-4,), (-2.5e-6,), (3e-13,), (-3e-13,), (0.0009999999,)], "x double")
+    assert [r.x for r in round_doubles(rows).collect()] == [4e-7, 1.23456e-4, -2.5e-6, 0.0, 0.0, 0.001]
+
+
 def test_lifecycle_stream_orders_over_batches(spark):
     """One good run in shuffled order over several files and Arrow batches: nothing is found."""
     path, at = ["PLANNED"], "PLANNED"
@@ -38,13 +44,13 @@ def test_lifecycle_stream_orders_over_batches(spark):
             break
         path.append(at)
     events = [("r", i, float(i), "state", s) for i, s in enumerate(path)] + [("r", len(path) + i, float(len(path) + i), "note", None) for i in range(400)]
-    rows = spark.createDataFrame(events, "run_id string, event_seq long, monotonic_time double, event_type string, state string")
+    rows = spark.createDataFrame(events, "run_id string, event_seq long, monotonic_time double, event_type string, state string").withColumn("event_time", F.timestamp_seconds(F.lit(86_400) + F.col("monotonic_time")))
     folder = f"{checkpoint_dir(spark)}/shuffled-{uuid.uuid4().hex}"
     rows.orderBy(F.xxhash64("event_seq")).repartition(3).write.parquet(folder)
     before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "50")
     try:
-        assert M.run_available(M.lifecycle(spark.readStream.schema(rows.schema).parquet(folder))).collect() == []
+        assert M.run_available(ST.lifecycle(spark.readStream.schema(rows.schema).parquet(folder))).collect() == []
     finally:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
 

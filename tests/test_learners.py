@@ -63,3 +63,17 @@ def test_large_groups_settle_on_features_of_unlike_scale(spark):
     for loss in ("logistic", "hinge"):
         got = L.fit(df, ["g"], loss, hot_rows=100).collect()[0].w
         assert got == pytest.approx(L.newton_fit(x, y, loss), abs=1e-6)
+
+
+def test_unsettled_groups_are_flagged_and_hold_up_no_other(spark, monkeypatch):
+    """One pass is too few for the large group; the small one beside it is fitted as ever."""
+    rng = np.random.default_rng(3)
+    rows = [(g, rng.normal(size=3).tolist(), int(rng.random() < 0.5)) for g, n in (("large", 300), ("small", 40)) for _ in range(n)]
+    df = spark.createDataFrame(rows, "g string, x array<double>, y int")
+    monkeypatch.setattr(L, "MOST_PASSES", 2)
+    got = {r.g: r for r in L.fit(df, ["g"], "logistic", hot_rows=100).collect()}
+    assert (got["large"].settled, got["small"].settled) == (False, True)
+    x, y = (np.array([r[i] for r in rows if r[0] == "small"]) for i in (1, 2))
+    assert got["small"].w == pytest.approx(L.newton_fit(x, np.where(y == 1, 1.0, -1.0), "logistic"), abs=1e-9)
+    monkeypatch.undo()
+    assert {r.settled for r in L.fit(df, ["g"], "logistic", hot_rows=100).collect()} == {True}
