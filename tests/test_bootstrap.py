@@ -11,3 +11,11 @@ def test_intervals_of_both_ways_agree_and_small_groups_shuffle_no_draws(spark):
     as_rows, in_task = C.bootstrap_interval(res, 200, most=2), C.bootstrap_interval(res, 200)
     assert read(in_task) == read(as_rows) and len(read(in_task)) == 2
     assert "Generate" not in in_task._jdf.queryExecution().executedPlan().toString()
+
+
+def test_a_rest_of_cancelled_sums_has_no_direction(spark):
+    names = ["control_mean", "a_only_mean", "b_only_mean", "observed_mean", "predicted_mean", "raw_residual", "scale"]
+    means = spark.createDataFrame([(1, "INPUT_LOAD", f, z, *[1.0] * 7) for f, z in (("a", -3e-15), ("b", 2e-14), ("c", 0.5), ("d", -0.5))],
+                                  "campaign_id long, compound string, feature string, zbar double, " + ", ".join(f"{n} double" for n in names))
+    found = {r.feature: r.interaction_direction for r in C.signature(means).collect()}
+    assert found == {"a": "zero", "b": "zero", "c": "positive", "d": "negative"}
