@@ -53,3 +53,22 @@ def test_folds_multiply_rows_after_the_shuffle(spark, long):
     split = G.split_folds(long).where("role = 'train'")
     both = [{tuple(r) for r in df.select("campaign_id", "fold", "cause", "feature", "dir", F.round("mu0", 9), F.round("sigma", 9)).collect()} for df in (found, G.feature_meta(split, KEYS, wanted))]
     assert both[0] == both[1]
+
+
+def test_scales_and_vectors_equal_those_of_rows(spark, long):
+    split = G.split_folds(long)
+    train = split.where("role = 'train'")
+    filled = train.join(train.groupBy(*KEYS, "feature").agg(F.median("value").alias("fill")), [*KEYS, "feature"]).withColumn("_x", F.coalesce("value", "fill"))
+    rounded = lambda df: {tuple(round(v, 6) if isinstance(v, float) else v for v in r) for r in df.collect()}
+    for sample in (False, True):
+        sd = (F.stddev_samp if sample else F.stddev_pop)("_x")
+        plain = filled.groupBy(*KEYS, "feature").agg(F.first("fill"), F.avg("_x"), F.when(F.coalesce(sd, F.lit(0.0)) > 1e-12, sd).otherwise(1.0))
+        scale = G.fold_scaling(long, sample=sample)
+        assert rounded(scale.select(*KEYS, "feature", "fill", "mu", "sd")) == rounded(plain)
+    scale = G.scaling(train, KEYS)
+    rows = G.standardize(split, scale, KEYS)
+    names = ["run_id", "fold", "role", "feature", "z"]
+    assert rounded(G.standard_folds(long, scale).select(*names)) == rounded(rows.select(*names))
+    flat = lambda df: rounded(df.select("run_id", "fold", "role", F.posexplode("x")))
+    features = G.PAIR_FEATURES[:6]
+    assert flat(G.standard_vectors(long.where(F.col("feature").isin(*features)), scale, features)) == flat(G.vectors(rows, ["fold"], features))
