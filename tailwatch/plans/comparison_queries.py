@@ -19,7 +19,7 @@ from ..operators.grouped import grouped_stats
 from ..session import pin
 from . import tables as V
 from .diagnosis_oracle import METRIC_DOUBLES, PRED_COLS, WHO, mean_present, ranked_sql, set_metrics_sql
-from .diagnosis_queries import FOLD, features, predictions, split
+from .diagnosis_queries import FOLD, features, predictions
 from .oracle import RUN as RUN_SQL
 from .oracle import TABLES, t_half, unpivot_sql
 from .registry import query
@@ -233,7 +233,7 @@ def earlier_predictions(spark, sf):
     """Predictions of the earlier, ungrouped evidence: every variant that the corrected one has without direct evidence."""
 
     def build():
-        raw = G.plain_evidence(split(spark, sf)).drop("method", "E")
+        raw = G.plain_evidence(G.labelled(features(spark, sf))).drop("method", "E")
         zero = lambda e: F.coalesce(e, F.lit(0.0))
         s, m, t, x = (F.col(c) for c in "SMTX")
         forms = {"D4-S": zero(s), "D4-SM": zero(mean_of_present(s, m)), "D4-SMT": zero(mean_of_present(s, m, t)), "D4-FULL": zero(mean_of_present(s, m, t)) - zero(x)}

@@ -72,3 +72,15 @@ def test_scales_and_vectors_equal_those_of_rows(spark, long):
     flat = lambda df: rounded(df.select("run_id", "fold", "role", F.posexplode("x")))
     features = G.PAIR_FEATURES[:6]
     assert flat(G.standard_vectors(long.where(F.col("feature").isin(*features)), scale, features)) == flat(G.vectors(rows, ["fold"], features))
+
+
+def test_plain_vector_evidence_equals_row_evidence(spark, long):
+    registry = FT.plain_registry(spark)
+    split = G.split_folds(long)
+    meta = G.feature_meta(split.where("role = 'train'"), KEYS, registry.select("cause", "feature"))
+    z = G.directional_z(split, meta, KEYS).join(registry, ["cause", "feature"])
+    of = lambda g, e: F.avg(F.when(F.col("grp") == g, e))
+    names = ["run_id", "fold", "role", "cause", "label"]
+    rows = z.groupBy(*names).agg(*[of(g, F.col("z")).alias(g) for g in "SMT"], of("M", F.greatest(F.lit(0.0), -F.col("z"))).alias("X"))
+    rounded = lambda df: {tuple(round(v, 6) if isinstance(v, float) else v for v in r) for r in df.select(*names, *"SMTX").collect()}
+    assert rounded(G.plain_evidence(long)) == rounded(rows)
