@@ -190,9 +190,8 @@ def window_predictions(spark, sf):
     """Evidence refitted on the features of first and last windows of each length; one ordering serves all lengths."""
 
     def build():
-        grown = positioned(spark, sf).withColumn("k", F.explode(F.array(*[F.lit(k) for k in WINDOWS])))
         keys = [*T.RUN, "k"]
-        windows = T.early_late(grown, keys, F.col("k")).join(T.strict_slope(grown, keys), [*keys, "metric"], "left")
+        windows = T.window_features(series(spark, sf), T.RUN, WINDOWS)
         wanted = F.col("metric").isin(*FT.TEMPORAL_METRICS) | F.col("stat").isin(*FT.WINDOW_STATS[2:])
         temporal = unpivot(windows, [*keys, "metric"], FT.WINDOW_STATS, "stat").where(wanted).select(*keys, F.concat_ws("_", "metric", "stat").alias("feature"), "value")
         prefill = unpivot(grouped_stats(series(spark, sf), T.RUN, (), {"prefill_proxy": dict(zip(FT.PREFILL, (0.5, 0.95)))}), T.RUN, FT.PREFILL)
