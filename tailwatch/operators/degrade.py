@@ -59,6 +59,69 @@ def channel_loss(rows: DataFrame, channels: Sequence[str]) -> DataFrame:
         "value", F.when(F.col("_hit").isNull(), F.col("value"))).drop("_hit")
 
 
+def point(family: str, x: Column, severity: Column | None = None, seed: Column | None = None, lost: Column | None = None) -> Column:
+    held = {"severity": (severity, "double"), "seed": (seed, "int"), "lost": (lost, "string")}
+    return F.struct(F.lit(family).alias("family"), *[(F.lit(None) if v is None else v).cast(t).alias(n) for n, (v, t) in held.items()], x.alias("x"))
+
+
+def _drawn(features: Sequence[str], seeds: Column, draw, levels: Sequence[float], entry) -> Column:
+    """Points of every seed and level. A seed's draws, one a feature, are made once and serve all levels."""
+    names, steps = F.array(*[F.lit(f) for f in features]), F.array(*[F.lit(float(s)) for s in levels])
+    draws = F.transform(seeds, lambda s: F.struct(s.alias("seed"), F.transform(names, lambda f: draw(s, f)).alias("u")))
+    return F.flatten(F.transform(draws, lambda e: F.transform(steps, lambda level: entry(e, level))))
+
+
+def missing_points(features: Sequence[str], seeds: Column) -> Column:
+    """``random_missing`` of a run's array ``x`` at every level and seed, as an array of points."""
+    draw = lambda s, f: portable_uniform(s, F.col("run_id"), f)
+    return _drawn(features, seeds, draw, MISSING_LEVELS, lambda e, level: point(
+        "missingness", F.zip_with("x", e["u"], lambda v, u: F.when(u >= level, v)), level, e["seed"]))
+
+
+def noise_points(features: Sequence[str], seeds: Column) -> Column:
+    """``gaussian_noise`` of a run's array ``x`` with the training SDs ``noise_sd``, as an array of points."""
+    floored = nonnegative_flags(features)
+    draw = lambda s, f: portable_normal(s, F.col("run_id"), f)
+
+    def noisy(e, level):
+        def change(v, i):
+            scale = F.get("noise_sd", i) * level
+            moved = v + scale * F.get(e["u"], i)
+            clipped = F.when(F.get(floored, i), F.greatest(F.lit(0.0), moved)).otherwise(moved)
+            return F.when((scale > 0) & v.isNotNull(), clipped).otherwise(v)
+
+        return point("noise", F.transform("x", change), level, e["seed"])
+
+    return _drawn(features, seeds, draw, NOISE_LEVELS, noisy)
+
+
+def nonnegative_flags(features: Sequence[str]) -> Column:
+    return F.array(*[F.lit(any(t in f for t in NONNEGATIVE_TOKENS)) for f in features])
+
+
+def loss_points(features: Sequence[str], channels: dict[str, Sequence[str]]) -> Column:
+    """A run's array ``x`` once a lost channel."""
+    none = F.lit(None).cast("double")
+    each = [F.array(*[none if f in lost else F.get("x", F.lit(i)) for i, f in enumerate(features)]) for lost in channels.values()]
+    return F.array(*[point("channel_loss", x, lost=F.lit(c)) for c, x in zip(channels, each, strict=True)])
+
+
+def reordered_points(features: Sequence[str], replaced: Sequence[str], orders: str, family: str, seeded: bool) -> Column:
+    """A run's array ``x`` with the ``replaced`` features taken from each entry of the column ``orders``, null without one."""
+    at = {f: i for i, f in enumerate(replaced)}
+    return F.transform(F.coalesce(orders, F.array()), lambda o: point(
+        family, F.array(*[F.get(o["values"], F.lit(at[f])) if f in at else F.get("x", F.lit(i)) for i, f in enumerate(features)]),
+        o["severity"], o["seed"] if seeded else None))
+
+
+def packed_orders(order: DataFrame, replaced: Sequence[str], stats: Sequence[str], keys: Sequence[str], name: str) -> DataFrame:
+    """One row a run with the order features of all its realisations, each an array in the order of ``replaced``."""
+    value = lambda f: F.coalesce(*[F.max(F.when(F.concat_ws("_", "metric", F.lit(s)) == f, F.col(s))) for s in stats if f.endswith(s)])
+    dealt = order.select("run_id", *keys, "metric", *stats).repartition("run_id")
+    each = dealt.groupBy("run_id", *keys).agg(F.array(*[value(f) for f in replaced]).alias("values"))
+    return each.groupBy("run_id").agg(F.collect_list(F.struct(*keys, "values")).alias(name))
+
+
 def score_centroid(test: DataFrame, scale: DataFrame, centre: DataFrame, keys: Sequence[str], point: Sequence[str],
                    features: Sequence[str]) -> DataFrame:
     """Predict degraded test rows with scaling and centroids fitted once on clean training rows."""
