@@ -191,10 +191,8 @@ def linear_score(x: Column, w: Column) -> Column:
 def score(test: DataFrame, models: DataFrame, keys: Sequence[str], loss: str = "logistic") -> DataFrame:
     """Score and decision per (run, cause)."""
     out = test.join(models, list(keys)).withColumn("f", linear_score(F.col("x"), F.col("w")))
-    if loss == "hinge":
-        return out.withColumns({"score": F.col("f"), "decision": (F.col("f") > 0).cast("int")})
-    p = 1 / (1 + F.exp(-F.col("f")))
-    return out.withColumns({"score": p, "decision": (p >= 0.5).cast("int")})
+    found, decision = decided(F.col("f"), loss)
+    return out.withColumns({"score": found, "decision": decision})
 
 
 def predictions(scored: DataFrame, keys: Sequence[str], method: str) -> DataFrame:
@@ -208,6 +206,35 @@ def predictions(scored: DataFrame, keys: Sequence[str], method: str) -> DataFram
     return finish_predictions(wide.withColumns({"predicted_set": set_key_from_indicators("pred_"), "method": F.lit(method)}))
 
 
+def fitted_values(vecs: DataFrame, keys: Sequence[str], loss: str) -> DataFrame:
+    """Value ``f_<cause>`` of the fitted function at every test run, from ``vectors`` of training and test runs."""
+    from .diagnose import LABELS, RUN
+
+    rows = pin(cause_targets(vecs.withColumn("x", F.transform("x", lambda v: F.coalesce(v, F.lit(0.0))))))
+    models = pin(fit(rows.where("role = 'train'"), [*keys, "cause"], loss))
+    scored = score(rows.where("role = 'test'"), models, [*keys, "cause"], loss)
+    who = [*keys, *[k for k in RUN if k not in keys], "degree", "truth_set", *LABELS]
+    return scored.groupBy(*who).agg(*[F.max(F.when(F.col("cause") == c, F.col("f"))).alias(f"f_{c}") for c in CAUSES])
+
+
+def decided(f: Column, loss: str) -> tuple[Column, Column]:
+    """Score and decision of a value of the fitted function."""
+    if loss == "hinge":
+        return f, (f > 0).cast("int")
+    p = 1 / (1 + F.exp(-f))
+    return p, (p >= 0.5).cast("int")
+
+
+def value_predictions(values: DataFrame, method: str, loss: str) -> DataFrame:
+    """Common prediction columns from the values of ``fitted_values``."""
+    from .derive import set_key_from_indicators
+    from .diagnose import finish_predictions
+
+    each = {c: decided(F.col(f"f_{c}"), loss) for c in CAUSES}
+    wide = values.withColumns({f"pred_{c}": d for c, (_, d) in each.items()} | {f"{c.lower()}_score": s for c, (s, _) in each.items()})
+    return finish_predictions(wide.withColumns({"predicted_set": set_key_from_indicators("pred_"), "method": F.lit(method)}))
+
+
 def coefficient_stability(models: DataFrame, keys: Sequence[str], features: Sequence[str]) -> DataFrame:
     """Mean, SD, share positive and sign changes of each coefficient over folds; zeros do not count as a sign."""
     names = F.array(*[F.lit(f) for f in features])
