@@ -195,17 +195,6 @@ def score(test: DataFrame, models: DataFrame, keys: Sequence[str], loss: str = "
     return out.withColumns({"score": found, "decision": decision})
 
 
-def predictions(scored: DataFrame, keys: Sequence[str], method: str) -> DataFrame:
-    """Cause decisions gathered back to one row per run."""
-    from .derive import set_key_from_indicators
-    from .diagnose import LABELS, RUN, finish_predictions
-
-    who = [*keys, *[k for k in RUN if k not in keys], "degree", "truth_set", *LABELS]
-    pick = lambda c, col: F.max(F.when(F.col("cause") == c, F.col(col)))
-    wide = scored.groupBy(*who).agg(*[pick(c, "decision").alias(f"pred_{c}") for c in CAUSES], *[pick(c, "score").alias(f"{c.lower()}_score") for c in CAUSES])
-    return finish_predictions(wide.withColumns({"predicted_set": set_key_from_indicators("pred_"), "method": F.lit(method)}))
-
-
 def fitted_values(vecs: DataFrame, keys: Sequence[str], loss: str) -> DataFrame:
     """Value ``f_<cause>`` of the fitted function at every test run, from ``vectors`` of training and test runs."""
     from .diagnose import LABELS, RUN

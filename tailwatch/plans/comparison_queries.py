@@ -7,6 +7,7 @@ import re
 from pyspark.sql import functions as F
 
 from ..functions.core import mean_of_present, unpivot
+from ..operators import campaigns as CM
 from ..operators import compare as CP
 from ..operators import diagnose as G
 from ..operators import features as FT
@@ -19,7 +20,7 @@ from ..operators.grouped import grouped_stats
 from ..session import pin
 from . import tables as V
 from .diagnosis_oracle import METRIC_DOUBLES, PRED_COLS, WHO, mean_present, ranked_sql, set_metrics_sql
-from .diagnosis_queries import FOLD, features, predictions
+from .diagnosis_queries import FOLD, by_campaign, features, predictions, vectors
 from .oracle import RUN as RUN_SQL
 from .oracle import TABLES, t_half, unpivot_sql
 from .registry import query
@@ -53,38 +54,31 @@ TABLES["tpred"] = f"""SELECT tier, protocol, method, {PRED_COLS} FROM (
     FROM tzz t JOIN tzz c ON {_same('t', 'c')} AND c.role = 'train' WHERE t.role = 'test' GROUP BY ALL)) WHERE k = 1)"""
 
 
-def grid_rows(spark, sf):
+def grid_rows(long):
     """Every run's features once a tier, protocol and fold that they serve."""
-    tiers = F.broadcast(FT.tier_registry(spark))
-    carried = features(spark, sf).unionByName(unpivot(V.runs(spark, sf), T.RUN, FT.F0))
-    long = G.labelled(carried.join(tiers, "feature"))
-    both = G.split_folds(long, "P2").withColumn("protocol", F.explode(F.array(*[F.lit(p) for p in PROTOCOLS])))
+    both = G.split_folds(long.join(F.broadcast(FT.tier_registry(long.sparkSession)), "feature"), "P2").withColumn("protocol", F.explode(F.array(*[F.lit(p) for p in PROTOCOLS])))
     return both.where("role = 'test' or protocol = 'P2' or degree <= 1")
 
 
-def grid_vectors(spark, sf):
-    def build():
-        rows = grid_rows(spark, sf)
-        scale = G.scaling(rows.where("role = 'train'"), GRID)
-        return G.vectors(G.standardize(rows, scale, GRID), GRID, GRID_FEATURES)
+def grid_vectors(long):
+    rows = grid_rows(long)
+    scale = G.scaling(rows.where("role = 'train'"), GRID)
+    return pin(G.vectors(G.standardize(rows, scale, GRID), GRID, GRID_FEATURES))
+
 
-    return V.keep("grid-vectors", spark, sf, build)
+def _closest_rows(long):
+    vecs, width = grid_vectors(long), len(GRID_FEATURES)
+    return G.nearest_neighbour(vecs, GRID, width).withColumn("method", F.lit("M0")).unionByName(
+        G.nearest_centroid(vecs, GRID, width).withColumns({"method": F.lit("M1"), "neighbour_id": F.lit(None).cast("string")}))
 
 
 def grid_predictions(spark, sf):
     """M0 and M1 on every tier under both protocols."""
 
-    def build():
-        vecs, width = grid_vectors(spark, sf), len(GRID_FEATURES)
-        parts = []
-        for method, scored in (("M1", G.nearest_centroid(vecs, GRID, width)), ("M0", G.nearest_neighbour(vecs, GRID, width))):
-            # predictions are finished one column set for all; the tier rides along in the method's name
-            named = G.finish_predictions(scored.withColumns({f"pred_{c}": F.array_contains(F.split("predicted_set", r"\+"), c).cast("int") for c in CAUSES})
-                                         .withColumn("method", F.concat_ws("/", F.lit(method), "tier")))
-            parts.append(named.withColumns({"tier": F.element_at(F.split("method", "/"), 2), "method": F.element_at(F.split("method", "/"), 1)}))
-        return parts[0].unionByName(parts[1], allowMissingColumns=True)
-
-    return V.keep("grid-predictions", spark, sf, build)
+    build = lambda: by_campaign(
+        spark, sf, vectors(spark, sf, GRID_FEATURES), lambda v: CM.closest_sets(v, GRID_FEATURES, FT.TIERS, PROTOCOLS), _closest_rows)
+    found = V.keep("grid-closest", spark, sf, build)
+    return G.finish_predictions(found.withColumns({f"pred_{c}": F.array_contains(F.split("predicted_set", r"\+"), c).cast("int") for c in CAUSES}))
 
 
 _T_SUBSETS = """(SELECT *, 'ALL' AS subset FROM tpred UNION ALL SELECT *, 'CONTROL' FROM tpred WHERE true_degree = 0 UNION ALL SELECT *, 'SINGLE' FROM tpred WHERE true_degree = 1
@@ -98,22 +92,15 @@ def model_grid(spark, sf):
 
 
 def linear_grid(spark, sf):
-    """M2 and M3 on every tier under both protocols. A feature that a tier lacks is zero for all rows, and gets no weight."""
-
-    def build():
-        filled = grid_vectors(spark, sf).withColumn("x", F.transform("x", lambda v: F.coalesce(v, F.lit(0.0))))
-        keys = [*GRID, "cause"]
-        rows = V.keep("grid-targets", spark, sf, lambda: L.cause_targets(filled))
-        out = None
-        for method, loss in (("M2", "logistic"), ("M3", "hinge")):
-            models = V.keep(f"grid-models-{loss}", spark, sf, lambda loss=loss: L.fit(rows.where("role = 'train'"), keys, loss))
-            scored = L.score(rows.where("role = 'test'"), models, keys, loss)
-            preds = L.predictions(scored.withColumn("fold", F.struct(*GRID[1:])), ["campaign_id", "fold"], method)
-            preds = preds.withColumns({"tier": F.col("fold.tier"), "protocol": F.col("fold.protocol"), "fold": F.col("fold.fold")})
-            out = preds if out is None else out.unionByName(preds)
-        return out
-
-    return V.keep("grid-linear", spark, sf, build)
+    """M2 and M3 on every tier under both protocols. A feature that a tier lacks gets no weight."""
+    out = None
+    for method, loss in (("M2", "logistic"), ("M3", "hinge")):
+        build = lambda loss=loss: by_campaign(
+            spark, sf, vectors(spark, sf, GRID_FEATURES), lambda v: CM.linear_values(v, GRID_FEATURES, loss, FT.TIERS, PROTOCOLS),
+            lambda long: L.fitted_values(grid_vectors(long), GRID, loss))
+        preds = L.value_predictions(V.keep(f"grid-linear-{loss}", spark, sf, build), method, loss)
+        out = preds if out is None else out.unionByName(preds)
+    return out
 
 
 @query("model_grid_linear", "M6 M7 M19")
