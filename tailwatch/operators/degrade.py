@@ -43,12 +43,27 @@ def nonnegative(feature: Column) -> Column:
 def gaussian_noise(rows: DataFrame, train_sd: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Add normal noise of severity times the training SD; quantities that cannot be negative are clipped."""
     sd = train_sd.select(*keys, "feature", F.col("sd").alias("_sd"))
+    drawn = rows.withColumn("_u", portable_normal(F.col("seed"), F.col("run_id"), F.col("feature")))
+    return _moved(drawn.join(sd, [*keys, "feature"], "left"))
+
+
+def noise_grid(rows: DataFrame, train_sd: DataFrame, keys: Sequence[str], levels: Sequence[float], seeds: Column) -> DataFrame:
+    """``gaussian_noise`` of each row once a seed of the array ``seeds`` and a level. Rows meet their SD before seeds and
+    levels multiply them, and a seed's draw serves all levels."""
+    sd = train_sd.select(*keys, "feature", F.col("sd").alias("_sd"))
+    seeded = rows.join(sd, [*keys, "feature"], "left").withColumn("seed", F.explode(seeds))
+    drawn = seeded.withColumn("_u", portable_normal(F.col("seed"), F.col("run_id"), F.col("feature")))
+    return _moved(drawn.withColumn("severity", F.explode(F.array(*[F.lit(float(s)) for s in levels]))))
+
+
+def _moved(rows: DataFrame) -> DataFrame:
+    """Values moved by severity times SD ``_sd`` times draw ``_u``."""
     scale = F.col("_sd") * F.col("severity")
-    noisy = F.col("value") + scale * portable_normal(F.col("seed"), F.col("run_id"), F.col("feature"))
+    noisy = F.col("value") + scale * F.col("_u")
     clipped = F.when(nonnegative(F.col("feature")), F.greatest(F.lit(0.0), noisy)).otherwise(noisy)
     # greatest skips nulls, so a missing value must be kept missing explicitly.
     changed = F.when((scale > 0) & F.col("value").isNotNull(), clipped).otherwise(F.col("value"))
-    return rows.join(sd, [*keys, "feature"], "left").withColumn("value", changed).drop("_sd")
+    return rows.withColumn("value", changed).drop("_sd", "_u")
 
 
 def channel_loss(rows: DataFrame, channels: Sequence[str]) -> DataFrame:
