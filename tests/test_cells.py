@@ -17,7 +17,8 @@ def test_scales_come_from_one_pass_on_both_routes(spark):
         assert found.keys() == sd.keys() and sd
         for k, r in found.items():
             assert (r.sd_scale, r.mad_scale) == (pytest.approx(sd[k]), pytest.approx(mad[k]))
-    assert " Join" not in C.pooled_scales(long)._jdf.queryExecution().optimizedPlan().toString().replace("Join Inner, (condition_id", "")
+    # the only join places conditions in cells
+    assert C.pooled_scales(long)._jdf.queryExecution().optimizedPlan().toString().count("Join") == 1
 
 
 def test_design_audit_builds_no_run_table(spark, monkeypatch):
@@ -25,4 +26,4 @@ def test_design_audit_builds_no_run_table(spark, monkeypatch):
     from tailwatch.plans import tables as V
 
     monkeypatch.setattr(V, "runs", lambda *_: pytest.fail("the run table was built"))
-    assert load()["dq_design"].build(spark, "/root/testdata/sf0.001").count() > 0
+    assert load()["dq_design"].build(spark, "/root/testdata/sf0.01").count() > 0
