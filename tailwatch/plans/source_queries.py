@@ -283,7 +283,7 @@ CLOCK = "timestamp_micros(cast((campaign_id + 1) * 86400000000 as bigint) + cast
 def stream_inflight(spark, sf):
     """The gauge of the batch query kept by a stream: arrivals the watermark has passed."""
     clock = CLOCK.replace("{at}", "at")
-    return M.run_available(ST.in_flight(ST.moves(requests_from(event_stream(spark, sf)), clock, RUN), RUN, cap=8)).withColumnRenamed("at", "arrival_time")
+    return M.run_available(ST.in_flight(ST.moves(requests_from(event_stream(spark, sf)), clock, RUN), RUN, cap=8, held_by=["campaign_id"])).withColumnRenamed("at", "arrival_time")
 
 
 @query("stream_drift", "X5", """SELECT r.request_id, r.dependency_duration FROM req r JOIN mech m USING (run_id) WHERE m.verification_state = 'STOPPED' AND r.actual_arrival >= m.actual_onset AND r.actual_arrival <= m.actual_stop AND abs(r.dependency_duration - 0.1::DOUBLE) > 0.01::DOUBLE""", "dependency_duration")

@@ -61,6 +61,26 @@ def test_gauge_equals_batch_over_triggers(spark):
     assert len(kept) >= 10 and kept[-1] <= 2 and max(kept) < len(events) / 2
 
 
+def test_gauge_holds_the_runs_of_a_campaign_together(spark):
+    rng = random.Random(11)
+    requests = [(i % 2, [None, "C", "D", "D"][i % 4], i % 4, f"r{i % 4}", f"q{i:04d}", round(i * 0.7, 3), round(i * 0.7 + rng.choice([0.0, 0.5, 9.0, 45.0]), 3)) for i in range(240)]
+    events = []
+    for *run, name, a, c in requests:
+        events += [(*run, name, a, 1, moment(a)), (*run, name, c, -1, moment(c))]
+    events.sort(key=lambda e: e[5] + rng.uniform(0, 30))
+    parts = [events[i:i + 60] for i in range(0, len(events), 60)]
+    parts += [[(9, "beat", 1, "beat", "beat", 0.0, 0, moment(10_000))], [(9, "beat", 1, "beat", "beat2", 0.0, 0, moment(20_000))]]
+    rows, progress = streamed(spark, parts, GAUGE, lambda s: ST.in_flight(s, RUN, cap=2, delay="40 seconds", held_by=["campaign_id"]))
+    got = sorted((r.campaign_id, str(r.condition_id), r.repetition, r.run_id, r.request_id, r["at"], r.outstanding, r.breach) for r in rows)
+    # a key of the batch query is not null
+    batch = T.in_flight(spark.createDataFrame([(r[0], str(r[1]), *r[2:]) for r in requests], REQUESTS), RUN, cap=2).collect()
+    assert got == sorted((r.campaign_id, r.condition_id, r.repetition, r.run_id, r.request_id, r["at"], r.outstanding, r.breach) for r in batch)
+    assert any(g[-1] for g in got)
+    operators = [p["stateOperators"][0] for p in progress if p["stateOperators"]]
+    # two campaigns and the heartbeat: a state, a timer and the parts of some blocks each, however many runs they have
+    assert operators[-1]["numRowsTotal"] <= 4 and max(o["numRowsTotal"] for o in operators) < 120
+
+
 LIFE = "campaign_id long, condition_id string, repetition int, run_id string, event_seq int, event_type string, state string, monotonic_time double, event_time timestamp"
 GOOD = ["PLANNED", "PREPARING", "WARMUP", "BASELINE", "RECOVERY", "COMPLETE"]
 
