@@ -259,11 +259,11 @@ def stream_lifecycle(spark, sf):
     folder = f"{checkpoint_dir(spark)}/events-{uuid.uuid4().hex}"
     timed = run_events(spark, sf).withColumn("event_time", F.expr(CLOCK.replace("{at}", "monotonic_time")))
     beat = timed.groupBy().agg(F.max("event_time").alias("event_time")).select(
-        F.lit("heartbeat").alias("run_id"), F.lit(0).alias("event_seq"), F.lit("heartbeat").alias("event_type"), F.lit(None).cast("string").alias("state"),
+        F.lit(-1).cast("long").alias("campaign_id"), F.lit("heartbeat").alias("run_id"), F.lit(0).alias("event_seq"), F.lit("heartbeat").alias("event_type"), F.lit(None).cast("string").alias("state"),
         F.lit(0.0).alias("monotonic_time"), (F.col("event_time") + F.expr("interval 1 day")).alias("event_time"))
     rows = timed.select(beat.columns).unionByName(beat)
     rows.write.parquet(folder)
-    return M.run_available(ST.lifecycle(spark.readStream.schema(rows.schema).parquet(folder)))
+    return M.run_available(ST.lifecycle(spark.readStream.schema(rows.schema).parquet(folder), held_by=["campaign_id"]))
 
 
 #: One clock for all campaigns: a day for each, and the seconds of the campaign's own time, which may be a little below zero.

@@ -117,6 +117,24 @@ def test_lifecycle_is_in_order_over_triggers(spark):
     assert max(kept) > 4 and kept[-1] <= 2
 
 
+def test_lifecycle_holds_the_runs_of_a_campaign_together(spark):
+    runs = {
+        "back": life("back", ["PLANNED", "PREPARING", ("WARMUP", 5.0), *GOOD[3:]]), "jump": life("jump", ["PLANNED", "RECOVERY", "COMPLETE"]), "first": life("first", GOOD[1:]),
+        "twice": life("twice", [*GOOD, "COMPLETE"]), "odd": life("odd", ["PLANNED", "NEW", "PREPARING", "FAILED"]), "lost": life("lost", GOOD, skip=(2,)), "later": life("later", GOOD, 35.0),
+    } | {f"good{i}": life(f"good{i}", GOOD, float(i)) for i in range(40)}
+    events = [(len(name) % 2, *e[1:]) for name, rows in runs.items() for e in rows]
+    rng = random.Random(3)
+    events.sort(key=lambda e: e[7] + rng.uniform(0, 25))
+    parts = [events[i:i + 60] for i in range(0, len(events), 60)]
+    beats = [[(9, "beat", 1, "beat", i, "heartbeat", None, 0.0, moment(100_000 * (i + 1)))] for i in range(2)]
+    rows, progress = streamed(spark, parts + beats, LIFE, lambda s: ST.lifecycle(s, delay="40 seconds", linger_seconds=60, held_by=["campaign_id"]))
+    got = sorted((r.run_id, r.subject, r.code) for r in rows)
+    assert got == sorted((r.run_id, r.subject, r.code) for r in Q.lifecycle_issues(spark.createDataFrame(events, LIFE)).collect())
+    kept = [p["stateOperators"][0]["numRowsTotal"] for p in progress if p["stateOperators"]]
+    # a state and a timer for each of two campaigns and the heartbeat, not for each of 47 runs
+    assert 2 <= max(kept) <= 12 and kept[-1] <= 2
+
+
 def test_lifecycle_events_after_their_turn(spark):
     first = life("a", GOOD[:3])
     rows, _ = streamed(spark, [first, [first[1]], life("a", GOOD)[3:]], LIFE, lambda s: ST.lifecycle(s, delay="10 minutes"))
