@@ -27,14 +27,26 @@ TRANSITIONS = {
 }
 
 
+def _codes(rules: Mapping[str, Column]) -> Column:
+    return F.array_compact(F.array(*[F.when(cond, F.lit(code)) for code, cond in rules.items()]))
+
+
 def findings(rows: DataFrame, keys: Sequence[str], subject: Column, rules: Mapping[str, Column]) -> DataFrame:
     """One issue row per rule that holds."""
-    hits = F.array_compact(F.array(*[F.when(cond, F.lit(code)) for code, cond in rules.items()]))
-    return rows.select(*keys, subject.alias("subject"), F.explode(hits).alias("code"))
+    return rows.select(*keys, subject.alias("subject"), F.explode(_codes(rules)).alias("code"))
+
+
+def held(rules: Mapping[str, Column]) -> Column:
+    """How many rules hold: the rows that ``findings`` would make of one."""
+    return F.size(_codes(rules))
 
 
 def request_issues(requests: DataFrame, keys: Sequence[str] = tuple(RUN)) -> DataFrame:
     """Status, timestamp order, error metadata, gateway timing, slip and admission rules."""
+    return findings(requests, keys, F.col("request_id"), request_rules())
+
+
+def request_rules() -> dict[str, Column]:
     c = F.col
     failed, known = c("status") == "failed", c("status").isin("success", "failed", "admission_failed")
     arrived, sent = c("actual_arrival").isNotNull(), c("dispatch_time").isNotNull()
@@ -47,7 +59,7 @@ def request_issues(requests: DataFrame, keys: Sequence[str] = tuple(RUN)) -> Dat
         ordered = ordered & (a <= b)
     model = c("llama_first_token_time")
     blank = lambda x: F.coalesce(x, F.lit("")) == ""
-    rules = {
+    return {
         "unknown_status": ~known,
         "arrival_missing": ~arrived & ~failed,
         "dispatch_missing": arrived & ~sent & ~failed,
@@ -67,23 +79,28 @@ def request_issues(requests: DataFrame, keys: Sequence[str] = tuple(RUN)) -> Dat
         "scheduler_slip_mismatch": (c("status") != "admission_failed") & (F.abs(c("scheduler_slip") - (c("actual_arrival") - c("scheduled_arrival"))) > 1e-6),
         "outstanding_limit_exceeded": c("status") == "admission_failed",
     }
-    return findings(requests, keys, c("request_id"), rules)
 
 
 def identity_issues(requests: DataFrame, configs: DataFrame, keys: Sequence[str] = tuple(RUN)) -> DataFrame:
     """Runtime or model other than the configured one. ``configs`` has one row per run."""
     conf = configs.select(*keys, F.col("runtime_id").alias("_r"), F.col("model_id").alias("_m"))
-    rule = ~(F.col("runtime_id").eqNullSafe(F.col("_r")) & F.col("model_id").eqNullSafe(F.col("_m")))
-    return findings(requests.join(conf, list(keys)), keys, F.col("request_id"), {"unknown_runtime_or_model": rule})
+    return findings(requests.join(conf, list(keys)), keys, F.col("request_id"), {"unknown_runtime_or_model": other_identity(F.col("_r"), F.col("_m"))})
+
+
+def other_identity(runtime: Column, model: Column) -> Column:
+    return ~(F.col("runtime_id").eqNullSafe(runtime) & F.col("model_id").eqNullSafe(model))
 
 
 def gateway_gaps(requests: DataFrame, keys: Sequence[str] = tuple(RUN)) -> DataFrame:
     """Names of the missing gateway columns of successful requests."""
-    names = F.array_compact(F.array(*[F.when(F.col(f).isNull(), F.lit(f)) for f in GATEWAY_FIELDS]))
-    out = requests.where("status = 'success'").select(*keys, F.col("request_id").alias("subject"), F.array_join(names, ",").alias("missing"))
+    out = requests.where("status = 'success'").select(*keys, F.col("request_id").alias("subject"), F.array_join(missing_gateway_fields(), ",").alias("missing"))
     return out.where("missing <> ''").withColumn("code", F.lit("missing_gateway_timing"))
 
 
+def missing_gateway_fields() -> Column:
+    return F.array_compact(F.array(*[F.when(F.col(f).isNull(), F.lit(f)) for f in GATEWAY_FIELDS]))
+
+
 def duplicates(rows: DataFrame, keys: Sequence[str], column: str, code: str) -> DataFrame:
     """Ids occurring more than once, with how often beyond the first. Counts combine on the map side."""
     return rows.groupBy(*keys, F.col(column).alias("subject")).agg((F.count(F.lit(1)) - 1).alias("extra")).where("extra > 0").withColumn("code", F.lit(code))
@@ -103,14 +120,17 @@ def accounting(requests: DataFrame, plan: DataFrame, keys: Sequence[str] = tuple
 
 
 def span_format_issues(spans: DataFrame, keys: Sequence[str] = tuple(RUN)) -> DataFrame:
+    return findings(spans, keys, F.col("span_id"), span_format_rules())
+
+
+def span_format_rules() -> dict[str, Column]:
     c = F.col
-    rules = {
+    return {
         "malformed_trace_id": ~F.coalesce(c("trace_id").rlike("^[0-9a-f]{32}$"), F.lit(False)),
         "malformed_span_id": ~F.coalesce(c("span_id").rlike("^[0-9a-f]{16}$"), F.lit(False)),
         "malformed_parent_id": c("parent_span_id").isNotNull() & ~c("parent_span_id").rlike("^[0-9a-f]{16}$"),
         "malformed_attributes": F.get_json_object("attributes", "$").isNull(),
     }
-    return findings(spans, keys, c("span_id"), rules)
 
 
 def foreign_spans(spans: DataFrame, plan: DataFrame, keys: Sequence[str] = tuple(RUN)) -> DataFrame:
@@ -126,20 +146,54 @@ def span_trees(requests: DataFrame, spans: DataFrame, keys: Sequence[str] = tupl
     The tree test is conditional counts per request, so no span joins another span.
     """
     tagged = spans.withColumn("request_id", F.get_json_object("attributes", "$.request_id"))
+    per = tagged.groupBy(*keys, "request_id").agg(*_tree_columns(F.lit(1)))
+    out = requests.where("status = 'success'").select(*keys, "request_id").join(per, [*keys, "request_id"], "left")
+    return findings(out, keys, F.col("request_id"), _tree_rules())
+
+
+def _tree_columns(row: Column) -> list[Column]:
+    """Aggregates over a request's spans; ``row`` is not null in rows that are spans."""
     is_ = lambda n: F.col("span_name") == n
     root = is_(SPAN_NAMES[0])
-    per = tagged.groupBy(*keys, "request_id").agg(
-        F.count(F.lit(1)).alias("spans"), *[F.count_if(is_(n)).alias(f"_n{i}") for i, n in enumerate(SPAN_NAMES)],
+    return [
+        F.count(row).alias("spans"), *[F.count_if(is_(n)).alias(f"_n{i}") for i, n in enumerate(SPAN_NAMES)],
         F.count_if(root & F.col("parent_span_id").isNull()).alias("_roots"), F.max(F.when(root, F.col("span_id"))).alias("_root"),
         F.max(F.when(root, F.col("trace_id"))).alias("_trace"),
         *[F.max(F.when(is_(n), F.col(k))).alias(f"_{k}{i}") for i, n in enumerate(SPAN_NAMES[1:], 1) for k in ("parent_span_id", "trace_id")],
-    )
-    out = requests.where("status = 'success'").select(*keys, "request_id").join(per, [*keys, "request_id"], "left")
+    ]
+
+
+def _tree_rules() -> dict[str, Column]:
     three = (F.col("spans") == 3) & (F.col("_n0") == 1) & (F.col("_n1") == 1) & (F.col("_n2") == 1)
     whole = F.coalesce(three & (F.col("_roots") == 1), F.lit(False))
     child = lambda i: ~(F.col(f"_trace_id{i}").eqNullSafe(F.col("_trace")) & F.col(f"_parent_span_id{i}").eqNullSafe(F.col("_root")))
-    return findings(out, keys, F.col("request_id"), {
-        "missing_request_span": ~whole, "orphan_dependency_span": whole & child(1), "orphan_model_span": whole & child(2)})
+    return {"missing_request_span": ~whole, "orphan_dependency_span": whole & child(1), "orphan_model_span": whole & child(2)}
+
+
+def ledger_counts(requests: DataFrame, spans: DataFrame, keys: Sequence[str] = tuple(RUN)) -> DataFrame:
+    """Findings of all rules on a run's requests, plan and spans, counted by run from one row a request.
+
+    ``requests``: keys, request_id, status, copies (rows of the plan); ``spans``: span columns and copies (further rows of the
+    same span). Columns dq_duplicates, dq_unplanned, dq_accounting, dq_spans, dq_foreign_spans, dq_span_duplicates and
+    dq_span_trees have the numbers of rows of the rules of that name. Both frames are best dealt by the keys.
+    """
+    keys = list(keys)
+    c = F.col
+    tagged = spans.withColumns({"request_id": F.get_json_object("attributes", "$.request_id"), "_format": held(span_format_rules())})
+    one = requests.select(*keys, "request_id", c("copies").alias("_plan"), F.lit(1).alias("_row"), (c("status") == "success").cast("int").alias("_success"))
+    both = one.unionByName(tagged.select(*keys, "request_id", "span_name", "trace_id", "span_id", "parent_span_id", "_format", c("copies").alias("_again")), allowMissingColumns=True)
+    total = lambda name: F.coalesce(F.sum(name), F.lit(0)).alias(name)
+    named = [F.sum(F.when(c("span_name") == n, 1 + c("_again"))).alias(f"_all{i}") for i, n in enumerate(SPAN_NAMES)]
+    per = both.groupBy(*keys, "request_id").agg(total("_plan"), total("_row"), total("_success"), total("_format"), *_tree_columns(c("_again")), *named)
+    foreign = (c("_plan") == 0) | c("request_id").isNull()  # null meets no plan
+    twice = sum((F.coalesce(c(f"_all{i}") > 1, F.lit(False)).cast("int") for i in range(1, len(SPAN_NAMES))), F.coalesce(c("_all0") > 1, F.lit(False)).cast("int"))
+    counts = {
+        "dq_duplicates": (c("_plan") > 1).cast("int"), "dq_unplanned": F.when(foreign, c("_row")).otherwise(0), "dq_spans": c("_format"),
+        "dq_foreign_spans": F.when(foreign, c("spans")).otherwise(0), "dq_span_duplicates": F.when(c("request_id").isNotNull(), twice).otherwise(0),
+        "dq_span_trees": c("_success") * F.when(c("request_id").isNull(), 1).otherwise(held(_tree_rules())),
+    }
+    rows = per.select(*keys, "_plan", "_row", *[n.alias(name) for name, n in counts.items()])
+    return rows.groupBy(*keys).agg(*[F.sum(name).alias(name) for name in counts], (F.sum("_plan") != F.sum("_row")).cast("long").alias("dq_accounting"))
 
 
 def mechanism_match(configured: DataFrame, recorded: DataFrame, keys: Sequence[str] = tuple(RUN)) -> DataFrame:
@@ -189,13 +243,23 @@ def outside_windows(requests: DataFrame, mechanisms: DataFrame, required: DataFr
     interval join becomes one bounds row per run.
     """
     c = F.col
+    out = requests.where("status = 'success'").join(needed_windows(mechanisms, required, keys), list(keys))
+    return findings(out, keys, c("request_id"), {"outside_mechanism_window": outside_window()})
+
+
+def needed_windows(mechanisms: DataFrame, required: DataFrame, keys: Sequence[str] = tuple(RUN)) -> DataFrame:
+    """Latest start and earliest stop of each run that requires a window."""
+    c = F.col
     stopped = mechanisms.where("verification_state = 'STOPPED'").groupBy(*keys).agg(
         F.max("actual_onset").alias("_start"), F.min("actual_stop").alias("_stop"),
         F.count_if(c("actual_onset").isNull() | c("actual_stop").isNull()).alias("_open"))
-    need = required.select(*keys).join(stopped, list(keys), "left")
-    out = requests.where("status = 'success'").join(need, list(keys))
+    return required.select(*keys).join(stopped, list(keys), "left")
+
+
+def outside_window() -> Column:
+    c = F.col
     covered = (c("_open") == 0) & (c("actual_arrival") + TIME_SLACK >= c("_start")) & (c("completion_time") <= c("_stop") + TIME_SLACK)
-    return findings(out, keys, c("request_id"), {"outside_mechanism_window": ~F.coalesce(covered, F.lit(False))})
+    return ~F.coalesce(covered, F.lit(False))
 
 
 def event_bounds(events: DataFrame, keys: Sequence[str] = tuple(RUN)) -> DataFrame:
@@ -204,8 +268,11 @@ def event_bounds(events: DataFrame, keys: Sequence[str] = tuple(RUN)) -> DataFra
 
 def outside_bounds(samples: DataFrame, bounds: DataFrame, subject: str, code: str, keys: Sequence[str] = tuple(RUN)) -> DataFrame:
     """Samples taken outside the event span of their run."""
-    t = F.col("timestamp")
-    return findings(samples.join(bounds, list(keys)), keys, F.col(subject), {code: (t + TIME_SLACK < F.col("_first")) | (t - TIME_SLACK > F.col("_last"))})
+    return findings(samples.join(bounds, list(keys)), keys, F.col(subject), {code: out_of_bounds(F.col("timestamp"))})
+
+
+def out_of_bounds(t: Column) -> Column:
+    return (t + TIME_SLACK < F.col("_first")) | (t - TIME_SLACK > F.col("_last"))
 
 
 def lifecycle_issues(events: DataFrame, keys: Sequence[str] = tuple(RUN), hot_rows: int | None = None) -> DataFrame:
@@ -242,13 +309,18 @@ def terminal_issues(events: DataFrame, requests: DataFrame, mechanisms: DataFram
 
 def phase_issues(events: DataFrame, requests: DataFrame, keys: Sequence[str] = tuple(RUN)) -> DataFrame:
     """Arrivals at or after the first RECOVERY, and timeout events."""
-    state = lambda s: F.min(F.when((F.col("event_type") == "state") & (F.col("state") == s), F.col("monotonic_time")))
-    per = events.groupBy(*keys).agg(state("BASELINE").alias("_b"), state("RECOVERY").alias("_r"), F.count_if(F.col("event_type") == "experiment_timeout").alias("_t"))
+    per = phase_times(events, keys)
     late = requests.join(per.where("_b is not null"), list(keys))
     a = findings(late, keys, F.col("request_id"), {"workload_after_recovery": F.col("actual_arrival") >= F.col("_r")})
     return a.unionByName(findings(per, keys, F.col("run_id"), {"experiment_timeout": F.col("_t") > 0}))
 
 
+def phase_times(events: DataFrame, keys: Sequence[str] = tuple(RUN)) -> DataFrame:
+    """First BASELINE and RECOVERY and number of timeouts of each run."""
+    state = lambda s: F.min(F.when((F.col("event_type") == "state") & (F.col("state") == s), F.col("monotonic_time")))
+    return events.groupBy(*keys).agg(state("BASELINE").alias("_b"), state("RECOVERY").alias("_r"), F.count_if(F.col("event_type") == "experiment_timeout").alias("_t"))
+
+
 def telemetry_switches(flags: DataFrame, counts: DataFrame, keys: Sequence[str] = tuple(RUN)) -> DataFrame:
     """Telemetry that is required but absent, or disabled but present."""
     df = flags.join(counts, list(keys), "left")
@@ -265,9 +337,11 @@ def process_ids(samples: DataFrame, configs: DataFrame, keys: Sequence[str] = tu
     conf = configs.select(*keys, *[F.col(f"{r}_pid").cast("bigint").alias(f"_{r}") for r in roles])
     cells = F.array(*[F.struct(F.lit(r).alias("role"), F.col(f"{r}_pid").cast("bigint").alias("seen"), F.col(f"_{r}").alias("want")) for r in roles])
     rows = samples.join(conf, list(keys)).select(*keys, F.explode(cells).alias("p")).select(*keys, "p.*")
-    code = F.when(F.col("want").isNull() & F.col("seen").isNotNull(), "unexpected_process").when(
-        F.col("want").isNotNull() & ~F.col("seen").eqNullSafe(F.col("want")), "pid_mismatch")
-    return rows.withColumn("code", code).where("code is not null").groupBy(*keys, "role", "code").agg(F.count(F.lit(1)).alias("rows"))
+    return rows.withColumn("code", process_fault(F.col("seen"), F.col("want"))).where("code is not null").groupBy(*keys, "role", "code").agg(F.count(F.lit(1)).alias("rows"))
+
+
+def process_fault(seen: Column, want: Column) -> Column:
+    return F.when(want.isNull() & seen.isNotNull(), "unexpected_process").when(want.isNotNull() & ~seen.eqNullSafe(want), "pid_mismatch")
 
 
 def version_issues(manifests: DataFrame, supported: Sequence[str], keys: Sequence[str] = tuple(RUN)) -> DataFrame:
