@@ -150,17 +150,17 @@ def score_centroid(test: DataFrame, scale: DataFrame, centre: DataFrame, keys: S
     return best.select(*who, F.col("b.cell").alias("predicted_set"), (-F.col("b.d")).alias("score"))
 
 
-def retention(preds: DataFrame, clean: DataFrame, point: Sequence[str], base: Sequence[str]) -> DataFrame:
+def retention(preds: DataFrame, clean: DataFrame, point: Sequence[str], base: Sequence[str], weight: str | None = None) -> DataFrame:
     """Compound accuracy at each grid point against the clean one, and the change in false alarms.
 
-    ``point`` names the grid keys, ``base`` the keys the clean reference shares with them.
+    ``point`` names the grid keys, ``base`` the keys the clean reference shares with them; ``weight`` as in ``set_metrics``.
     """
     names = ["complete_cause_recall", "jaccard", "macro_f1", "over_attribution", "under_attribution"]
 
     def block(df, keys):
         # Both subsets in one aggregate; a second group-by on the same keys needs no further shuffle,
         # and unlike a join it keeps grid points with null keys.
-        parts = set_metrics(by_subset(df).where("subset in ('ALL', 'COMPOUND')"), [*keys, "subset"])
+        parts = set_metrics(by_subset(df).where("subset in ('ALL', 'COMPOUND')"), [*keys, "subset"], weight)
         of = lambda subset, name: F.max(F.when(F.col("subset") == subset, F.col(name)))
         return parts.groupBy(*keys).agg(
             of("COMPOUND", "exact_set_accuracy").alias("compound_exact"), *[of("COMPOUND", n).alias(n) for n in names],
@@ -223,11 +223,11 @@ def recall_loss(cause_table: DataFrame, clean: DataFrame, point: Sequence[str],
     return cause_table.join(ref, [*base, "cause"]).withColumn("recall_loss", F.col("clean_recall") - F.col("recall"))
 
 
-def pair_worst_cases(preds: DataFrame, keys: Sequence[str], point: Sequence[str], cases: dict[str, tuple[str, float | None]]) -> DataFrame:
+def pair_worst_cases(preds: DataFrame, keys: Sequence[str], point: Sequence[str], cases: dict[str, tuple[str, float | None]], weight: str | None = None) -> DataFrame:
     """Exact accuracy of each compound pair in named (family, severity) cases, as columns: the mean over realisations, and
-    the worst of all lost channels."""
-    who = [*keys, "condition_id"]
-    at = preds.where("true_degree = 2").groupBy(*who, *point).agg(F.avg(F.col("correct").cast("double")).alias("y"))
+    the worst of all lost channels. ``weight`` as in ``set_metrics``."""
+    who, held = [*keys, "condition_id"], F.lit(1) if weight is None else F.col(weight)
+    at = preds.where("true_degree = 2").groupBy(*who, *point).agg((F.sum(F.col("correct").cast("double") * held) / F.sum(held)).alias("y"))
 
     def case(family, severity):
         hit = F.col("family") == family
