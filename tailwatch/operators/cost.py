@@ -9,6 +9,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.core import unpivot
+from ..session import pin
+from .grouped import hot_groups, sized_broadcast
 from .runs import summarize_long
 
 FULL = "T0_FULL"
@@ -68,23 +70,60 @@ def frontier_rows(names: Sequence[str]):
     return keep
 
 
-def pareto(points: DataFrame, keys: Sequence[str], quality: str, costs: tuple[str, str], salts: int = 16) -> DataFrame:
-    """Flag points beaten on quality and both costs, one strictly.
+#: Most points of a group that are compared with each other inside one row.
+FEW_POINTS = 128
 
-    Distinct points are thinned to local frontiers level by level, in ``salts`` squared hashed slices, then ``salts``, so
-    only frontier points of a group ever meet in one task. Equal points do not beat each other.
+
+def pareto(points: DataFrame, keys: Sequence[str], quality: str, costs: tuple[str, str], salts: int = 16, few: int = FEW_POINTS) -> DataFrame:
+    """Flag points beaten on quality and both costs, one strictly. Equal points do not beat each other; one that lacks a
+    value neither beats nor is beaten.
+
+    A group of ``few`` points is one row, whose points are compared there; larger groups are swept.
     """
-    keys = list(keys)
-    dims = [F.col(quality).cast("double").alias("q_"), F.col(costs[0]).cast("double").alias("a_"), F.col(costs[1]).cast("double").alias("b_")]
-    distinct = points.select(*keys, *dims).distinct()
+    keys, points = list(keys), pin(points)
+    large, n = hot_groups(points, keys, few)
+    if not n:
+        return _compared(points, keys, quality, costs)
+    large = sized_broadcast(large, n)
+    same = [points[k].eqNullSafe(large[k]) for k in keys]
+    return _compared(points.join(large, same, "left_anti"), keys, quality, costs).unionByName(_swept(points.join(large, same, "left_semi"), keys, quality, costs, salts))
+
+
+def _compared(points: DataFrame, keys: list[str], quality: str, costs: tuple[str, str]) -> DataFrame:
+    rest = [c for c in points.columns if c not in keys]
+    groups = points.groupBy(*keys).agg(F.collect_list(F.struct(*rest)).alias("_points"))
+    value = lambda p, c: p[c].cast("double")
+
+    def beaten(p):
+        def beats(o):
+            more, less = value(o, quality), [(value(o, c), value(p, c)) for c in costs]
+            strictly = (more > value(p, quality)) | (less[0][0] < less[0][1]) | (less[1][0] < less[1][1])
+            return (more >= value(p, quality)) & (less[0][0] <= less[0][1]) & (less[1][0] <= less[1][1]) & strictly
+
+        return F.coalesce(F.exists("_points", beats), F.lit(False)).cast("int")
+
+    judged = F.transform("_points", lambda p: F.struct(*[p[c].alias(c) for c in rest], beaten(p).alias("pareto_dominated")))
+    return groups.select(*keys, F.inline(judged))
+
+
+def _swept(points: DataFrame, keys: list[str], quality: str, costs: tuple[str, str], salts: int) -> DataFrame:
+    """Distinct points are thinned to local frontiers level by level, in ``salts`` squared hashed slices, then ``salts``, so
+    only frontier points of a group ever meet in one task."""
+    dims = {"q_": F.col(quality).cast("double"), "a_": F.col(costs[0]).cast("double"), "b_": F.col(costs[1]).cast("double")}
+    distinct = points.select(*keys, *[c.alias(n) for n, c in dims.items()]).dropna(subset=list(dims)).distinct()
     schema = distinct.schema
-    local = distinct
+    local, tasks = distinct, int(points.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     for slices in (salts * salts, salts):
-        dealt = local.withColumn("slice_", F.pmod(F.xxhash64("q_", "a_", "b_"), F.lit(slices)))
+        # slices are few rows and much work, so their number is not left to the bytes that they have
+        dealt = local.withColumn("slice_", F.pmod(F.xxhash64("q_", "a_", "b_"), F.lit(slices))).repartition(tasks, *keys, "slice_")
         local = dealt.groupBy(*keys, "slice_").applyInPandas(frontier_rows(schema.names), schema)
     best = local.groupBy(*keys).applyInPandas(frontier_rows(schema.names), schema).withColumn("_keep", F.lit(1))
-    tagged = points.withColumns({"q_": dims[0], "a_": dims[1], "b_": dims[2]}).join(best, [*keys, "q_", "a_", "b_"], "left")
-    return tagged.withColumn("pareto_dominated", F.col("_keep").isNull().cast("int")).drop("q_", "a_", "b_", "_keep")
+    left, right = points.withColumns(dims).alias("p"), best.alias("b")
+    tagged = left.join(right, [F.col(f"p.{k}").eqNullSafe(F.col(f"b.{k}")) for k in [*keys, *dims]], "left")
+    known = F.lit(True)
+    for n in dims:
+        known = known & F.col(f"p.{n}").isNotNull()
+    return tagged.select(*[F.col(f"p.{c}") for c in points.columns], (known & F.col("b._keep").isNull()).cast("int").alias("pareto_dominated"))
 
 
 def decision(criteria: DataFrame, keys: Sequence[str]) -> DataFrame:
