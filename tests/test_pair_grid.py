@@ -107,3 +107,19 @@ def test_equal_scores_as_channel_by_channel():
             value, any_ = G._mean([p[0] for p in parts], [p[1] for p in parts])
             at = s * len(G.GROUPS) + g
             assert (values[:, at] == value).all() and (there[:, at] == any_).all()
+
+
+PLAIN, WHOLE = {"robust-counts-plain", "robust-retained-plain"}, {"robust-counts", "robust-retained"}
+
+
+@pytest.mark.parametrize("name, tables", [
+    ("quality_screen", PLAIN),
+])
+def test_only_counts_are_kept(spark, folder, name, tables):
+    """No query of the grid writes runs, series, masks or a row a (run, point)."""
+    kept = dict(V._kept)
+    V._kept = {}
+    try:
+        assert load()[name].build(spark, folder).count() > 0 and {k[0] for k in V._kept} == tables
+    finally:
+        V._kept = kept
