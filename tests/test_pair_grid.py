@@ -114,6 +114,7 @@ PLAIN, WHOLE = {"robust-counts-plain", "robust-retained-plain"}, {"robust-counts
 
 @pytest.mark.parametrize("name, tables", [
     ("quality_screen", PLAIN),
+    ("cause_robustness", {"robust-counts"}),
 ])
 def test_only_counts_are_kept(spark, folder, name, tables):
     """No query of the grid writes runs, series, masks or a row a (run, point)."""
