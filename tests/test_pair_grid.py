@@ -116,6 +116,7 @@ PLAIN, WHOLE = {"robust-counts-plain", "robust-retained-plain"}, {"robust-counts
     ("quality_screen", PLAIN),
     ("cause_robustness", {"robust-counts"}),
     ("robustness_seeds", WHOLE),
+    ("auc_difference", WHOLE),
 ])
 def test_only_counts_are_kept(spark, folder, name, tables):
     """No query of the grid writes runs, series, masks or a row a (run, point)."""
