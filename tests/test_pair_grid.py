@@ -114,6 +114,7 @@ PLAIN, WHOLE = {"robust-counts-plain", "robust-retained-plain"}, {"robust-counts
 
 @pytest.mark.parametrize("name, tables", [
     ("quality_screen", PLAIN),
+    ("multi_criteria", PLAIN | {"cost_runs"}),
     ("cause_robustness", {"robust-counts"}),
     ("robustness_seeds", WHOLE),
     ("auc_difference", WHOLE),
